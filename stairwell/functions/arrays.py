@@ -84,34 +84,43 @@ def multiset_overlap(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0)).otherwise(let(both, walk))
 
 
-def running_offsets(lengths: Column, chunk: int = 128) -> Column:
-    """Exclusive running sums of an int array.
+def running_offsets(lengths: Column, chunk: int = 32) -> Column:
+    """Exclusive running sums of an int array, one element longer than the array.
 
     Appending inside one long fold copies the output at every step; folding
     chunk by chunk keeps each copy short, so long texts stay near linear.
     """
 
-    def fold(values: Column, base: Column) -> Column:
-        start = F.struct(base.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    def fold(values: Column) -> Column:
         return F.aggregate(
             values,
-            start,
-            lambda s, n: F.struct(
-                (s["at"] + n).cast("int").alias("at"),
-                F.concat(s["out"], F.array(s["at"])).alias("out"),
+            F.array(F.lit(0)),
+            lambda sums, n: F.concat(sums, F.array((F.get(sums, F.size(sums) - 1) + n).cast("int"))),
+        )
+
+    def last(sums: Column) -> Column:
+        return F.get(sums, F.size(sums) - 1)
+
+    def merge(folds: Column) -> Column:
+        return let(
+            fold(F.transform(folds, last)),
+            lambda bases: F.concat(
+                F.flatten(
+                    F.transform(
+                        folds,
+                        lambda sums, k: let(
+                            F.get(bases, k),
+                            lambda base: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda x: x + base),
+                        ),
+                    )
+                ),
+                F.array(last(bases)),
             ),
-            lambda s: s["out"],
         )
 
     def whole(v: Column) -> Column:
-        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / chunk).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * chunk + 1, F.lit(chunk)))
-
-        def join(p: Column) -> Column:
-            sums = F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda acc, n: (acc + n).cast("int")))
-            bases = let(sums, lambda t: fold(t, F.lit(0)))
-            return let(bases, lambda b: F.flatten(F.transform(p, lambda c, k: fold(c, F.get(b, k)))))
-
-        return let(pieces, join)
+        count = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / chunk).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(v, k * chunk + 1, F.lit(chunk)))
+        return let(F.transform(pieces, fold), merge)
 
     return let(lengths.cast("array<int>"), whole)

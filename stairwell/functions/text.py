@@ -34,29 +34,29 @@ def space_tokens(text: Column) -> Column:
 def token_offsets(text: Column) -> Column:
     """``array<struct<tok,start,end>>``: words and single symbols with character offsets.
 
-    The text is cut into words, symbols and gaps that cover it completely, so
-    the running length of the pieces gives every offset.
+    A token starts after the gap before the text and the lengths of all earlier
+    tokens with the gaps behind them, which is a running sum over the tokens.
     """
-    pieces = F.regexp_extract_all(text, F.lit(rf"([{WORD}]+|[{SPACE}]+|[^{WORD}{SPACE}])"), 1)
+    pattern = F.lit(rf"[{WORD}]+|[^{WORD}{SPACE}]")
+    parts = F.struct(
+        F.regexp_extract_all(text, pattern, 0).alias("toks"), F.split(text, rf"[{WORD}]+|[^{WORD}{SPACE}]").alias("gaps")
+    )
 
     def located(p: Column) -> Column:
-        lengths = F.transform(p, lambda t: F.length(t))
-        spans = let(
-            running_offsets(lengths),
+        toks, gaps = p["toks"], p["gaps"]
+        steps = F.transform(toks, lambda t, i: F.length(t) + F.length(F.get(gaps, i + 1)))
+        return let(
+            running_offsets(steps),
             lambda at: F.transform(
-                p,
-                lambda t, i: F.struct(
-                    t.alias("tok"),
-                    F.get(at, i).alias("start"),
-                    (F.get(at, i) + F.length(t)).alias("end"),
+                toks,
+                lambda t, i: let(
+                    F.get(at, i) + F.length(F.get(gaps, F.lit(0))),
+                    lambda start: F.struct(t.alias("tok"), start.alias("start"), (start + F.length(t)).alias("end")),
                 ),
             ),
         )
-        return F.filter(spans, lambda s: ~s["tok"].rlike(f"^[{SPACE}]"))
 
-    return F.when(F.length(text) == 0, F.expr("cast(array() as array<struct<tok:string,start:int,end:int>>)")).otherwise(
-        let(pieces, located)
-    )
+    return let(parts, located)
 
 
 # The substitutions of the standard machine-translation tokeniser

@@ -192,7 +192,7 @@ def example_nbest(
     )
     rows = candidates.select(example, F.col(window).alias("__w"), F.inline(F.concat(span_row, F.array(null_row))))
     # spans sort by descending score (key = -score), null rows by ascending score
-    order = Window.partitionBy(example, "kind").orderBy("key", "__w", "start_index", "end_index")
+    order = Window.partitionBy(example, "kind").orderBy("key", "__w", "start_index", "end_index", "start_logit")
     ranked = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n_best)
     ranked = ranked.filter((F.col("kind") == 0) | (F.col("__rank") == 1))
     answer = F.struct(

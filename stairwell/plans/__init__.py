@@ -1 +1 @@
-
+"""Registered queries over the given tables, each with its check in plain SQL."""
