@@ -49,17 +49,12 @@ def chunks(tags: Column) -> Column:
 def _type_counts(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     both = df.select(chunks(F.col(gold)).alias("g"), chunks(F.col(predicted)).alias("p"))
     matched = both.select("g", "p", F.array_intersect("g", "p").alias("m"))
-    flags = F.concat(
-        *[
-            F.transform(
-                side,
-                lambda c, one=one: F.struct(
-                    c["type"].alias("type"), *[F.lit(int(one == n)).alias(n) for n in ("g", "p", "m")]
-                ),
-            )
-            for side, one in (("g", "g"), ("p", "p"), ("m", "m"))
-        ]
-    )
+
+    def flagged(side: str) -> Column:
+        marks = [F.lit(int(side == n)).alias(n) for n in ("g", "p", "m")]
+        return F.transform(side, lambda c: F.struct(c["type"].alias("type"), *marks))
+
+    flags = F.concat(*[flagged(side) for side in ("g", "p", "m")])
     rows = matched.select(F.inline(flags))
     return rows.groupBy("type").agg(
         F.sum("m").alias("correct"), F.sum("p").alias("found"), F.sum("g").alias("support")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stairwell.plans import answers, spans
+from stairwell.plans import answers, curricula, labels, spans, tables
 
-_MODULES = (answers, spans)
+_MODULES = (tables, spans, answers, labels, curricula)
 
 
 def all_queries() -> dict:
