@@ -70,15 +70,15 @@ def multiset_overlap(left: Column, right: Column) -> Column:
         start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("hits"))
 
         def step(s: Column, _: Column) -> Column:
+            # past either end the comparisons are null and nothing is counted
             x, y = F.get(a, s["i"]), F.get(b, s["j"])
-            return (
-                F.when(x.isNull() | y.isNull(), s)
-                .when(x == y, F.struct((s["i"] + 1).alias("i"), (s["j"] + 1).alias("j"), (s["hits"] + 1).alias("hits")))
-                .when(x < y, F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), s["hits"].alias("hits")))
-                .otherwise(F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), s["hits"].alias("hits")))
+            return F.struct(
+                (s["i"] + F.when(x > y, 0).otherwise(1)).alias("i"),
+                (s["j"] + F.when(x < y, 0).otherwise(1)).alias("j"),
+                (s["hits"] + F.when(x == y, 1).otherwise(0)).alias("hits"),
             )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(a) + F.size(b)), start, step, lambda s: s["hits"])
+        return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, step, lambda s: s["hits"])
 
     both = F.struct(F.sort_array(left).alias("a"), F.sort_array(right).alias("b"))
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0)).otherwise(let(both, walk))
@@ -95,11 +95,11 @@ def running_offsets(lengths: Column, chunk: int = 32) -> Column:
         return F.aggregate(
             values,
             F.array(F.lit(0)),
-            lambda sums, n: F.concat(sums, F.array((F.get(sums, F.size(sums) - 1) + n).cast("int"))),
+            lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n),
         )
 
     def last(sums: Column) -> Column:
-        return F.get(sums, F.size(sums) - 1)
+        return F.element_at(sums, -1)
 
     def merge(folds: Column) -> Column:
         return let(

@@ -15,6 +15,10 @@ SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CHARS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 # Letters, numbers and the underscore make up words.
 WORD = r"\p{L}\p{N}_"
 
@@ -26,6 +30,11 @@ def normalize_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(no_articles, f"[{SPACE}]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
 def space_tokens(text: Column) -> Column:
     """Split on runs of white space; an empty text has no tokens."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda t: t != "")
@@ -44,14 +53,15 @@ def token_offsets(text: Column) -> Column:
 
     def located(p: Column) -> Column:
         toks, gaps = p["toks"], p["gaps"]
-        steps = F.transform(toks, lambda t, i: F.length(t) + F.length(F.get(gaps, i + 1)))
+        steps = F.transform(
+            gaps, lambda g, i: F.length(g) + F.when(i == 0, 0).otherwise(F.length(F.get(toks, i - 1)))
+        )
         return let(
             running_offsets(steps),
             lambda at: F.transform(
                 toks,
-                lambda t, i: let(
-                    F.get(at, i) + F.length(F.get(gaps, F.lit(0))),
-                    lambda start: F.struct(t.alias("tok"), start.alias("start"), (start + F.length(t)).alias("end")),
+                lambda t, i: F.struct(
+                    t.alias("tok"), F.get(at, i + 1).alias("start"), (F.get(at, i + 1) + F.length(t)).alias("end")
                 ),
             ),
         )
@@ -60,7 +70,8 @@ def token_offsets(text: Column) -> Column:
 
 
 # The substitutions of the standard machine-translation tokeniser
-# ("13a"), in the order in which they apply.
+# ("13a"), in the order in which they apply.  The space is left out of the first
+# class: it separates tokens whether or not more spaces are put around it.
 BLEU_RULES = (
     ("<skipped>", ""),
     ("-\n", ""),
@@ -71,7 +82,7 @@ BLEU_RULES = (
     ("&gt;", ">"),
 )
 BLEU_SPLITS = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", r" $1 "),
     (r"([^0-9])([\.,])", r"$1 $2 "),
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
@@ -79,21 +90,10 @@ BLEU_SPLITS = (
 
 
 def bleu_tokens(text: Column) -> Column:
-    out = F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    out = strip(text)
     for old, new in BLEU_RULES:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for pattern, replacement in BLEU_SPLITS:
         out = F.regexp_replace(out, pattern, replacement)
     return space_tokens(out)
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, each joined by a space."""
-    last = F.size(tokens) - n
-    return F.when(last < 0, F.expr("cast(array() as array<string>)")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(last + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-        )
-    )

@@ -1,50 +1,74 @@
-"""Corpus BLEU: n-gram matches are counted inside each pair's row, then summed once."""
+"""Corpus BLEU.
+
+The texts of a pair are shuffled once to their key, or not at all when the table
+is already partitioned by it.  N-grams are produced and counted where the pair
+lies: the counting groups start with the key, so the expanded n-grams never
+cross the network, and only sums per order leave a task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stairwell.functions.arrays import multiset_overlap
-from stairwell.functions.text import bleu_tokens, ngrams
+from stairwell.functions.text import bleu_tokens
 
 ORDERS = (1, 2, 3, 4)
 
 
-def corpus_bleu(df: DataFrame, predicted: str, reference: str, length: Column | None = None) -> DataFrame:
+def _grams(tokens: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``n``, ``gram``, ``p``, ``r``): every n-gram of either side."""
+    # neighbouring tokens side by side: each array is the previous one shifted by one
+    shifted = [
+        F.slice("t", F.lit(n), F.greatest(F.size("t") - (n - 1), F.lit(0))).alias(f"t{n}") for n in ORDERS
+    ]
+    both = F.array(
+        F.struct(F.col("p").alias("t"), F.lit(1).alias("p"), F.lit(0).alias("r")),
+        F.struct(F.col("r").alias("t"), F.lit(0).alias("p"), F.lit(1).alias("r")),
+    )
+    places = tokens.select(key, F.inline(both)).select(key, "p", "r", F.inline(F.arrays_zip(*shifted)))
+    runs = [
+        F.struct(
+            F.lit(n).alias("n"),
+            F.when(F.col(f"t{n}").isNotNull(), F.concat_ws(" ", *[f"t{i}" for i in ORDERS[:n]])).alias("gram"),
+        )
+        for n in ORDERS
+    ]
+    return places.select(key, "p", "r", F.inline(F.array(*runs))).filter("gram is not null")
+
+
+def corpus_bleu(
+    df: DataFrame, key: str, predicted: str, reference: str, length: Column | None = None
+) -> DataFrame:
     """One row ``bleu, gen_len`` rounded to four places.
 
-    One reference per prediction; both are trimmed and tokenised the standard
-    way.  An order without a match counts as half, then a quarter, ... of one
-    match; no match at all scores 0.  ``length`` is the generated length of a row
-    (default: the number of tokens).
+    One reference per prediction, ``key`` unique per pair; both texts are trimmed
+    and tokenised the standard way.  An order without a match counts as half,
+    then a quarter, ... of one match; no match at all scores 0.  ``length`` is the
+    generated length of a row (default: the number of tokens).
     """
-    pairs = df.select(
-        bleu_tokens(F.col(predicted)).alias("p"),
-        bleu_tokens(F.col(reference)).alias("r"),
-        *([length.alias("len")] if length is not None else []),
-    )
-    hits = [multiset_overlap(ngrams(F.col("p"), n), ngrams(F.col("r"), n)).alias(f"m{n}") for n in ORDERS]
-    rows = pairs.select(
-        F.size("p").alias("sys"),
-        F.size("r").alias("ref"),
-        (F.col("len") if length is not None else F.size("p")).alias("len"),
-        *hits,
-    )
-    sums = rows.agg(
-        F.sum("sys").cast("double").alias("sys"),
-        F.sum("ref").cast("double").alias("ref"),
-        F.avg("len").alias("gen_len"),
-        *[F.sum(f"m{n}").cast("double").alias(f"m{n}") for n in ORDERS],
-        *[F.sum(F.greatest(F.col("sys") - (n - 1), F.lit(0))).cast("double").alias(f"t{n}") for n in ORDERS],
+    placed = df.select(key, F.col(predicted).alias("p"), F.col(reference).alias("r")).repartition(key)
+    tokens = placed.select(key, bleu_tokens(F.col("p")).alias("p"), bleu_tokens(F.col("r")).alias("r"))
+    counts = _grams(tokens, key).groupBy(key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+
+    def total(n: int, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0)).cast("double")
+
+    sums = counts.agg(
+        total(1, F.col("r")).alias("ref"),
+        *[total(n, F.least("p", "r")).alias(f"m{n}") for n in ORDERS],
+        *[total(n, F.col("p")).alias(f"t{n}") for n in ORDERS],
     )
+    pairs = df.agg(F.count("*").cast("double").alias("n")).scalar()
+    gen_len = df.agg(F.avg(length)).scalar() if length is not None else F.col("t1") / pairs
     misses = F.lit(0)
     logs = F.lit(0.0)
     for n in ORDERS:
-        match, total = F.col(f"m{n}"), F.col(f"t{n}")
+        match, shown = F.col(f"m{n}"), F.col(f"t{n}")
         misses = misses + F.when(match == 0, 1).otherwise(0)
         counted = F.when(match == 0, F.pow(F.lit(2.0), -misses)).otherwise(match)
-        logs = logs + F.log(100.0 * counted / total)
-    penalty = F.when(F.col("sys") < F.col("ref"), F.exp(1 - F.col("ref") / F.col("sys"))).otherwise(1.0)
+        logs = logs + F.log(100.0 * counted / F.nullif(shown, F.lit(0.0)))
+    short = F.col("t1") < F.col("ref")
+    penalty = F.when(short, F.exp(1 - F.col("ref") / F.nullif(F.col("t1"), F.lit(0.0)))).otherwise(1.0)
     empty = (F.col("m1") == 0) | (F.col(f"t{ORDERS[-1]}") == 0)
     score = F.when(empty, F.lit(0.0)).otherwise(penalty * F.exp(logs / len(ORDERS)))
-    return sums.select(F.round(score, 4).alias("bleu"), F.round("gen_len", 4).alias("gen_len"))
+    return sums.select(F.round(score, 4).alias("bleu"), F.round(gen_len, 4).alias("gen_len"))

@@ -29,12 +29,14 @@ def _top(values: Column, n: int) -> Column:
     return F.slice(ordered, F.lit(1), F.lit(n))
 
 
-def _usable(start: Column, end: Column, offsets: Column, max_answer: int, best_context: Column | None) -> Column:
-    begin, finish = F.get(offsets, start), F.get(offsets, end)
-    ok = begin.isNotNull() & finish.isNotNull() & (end >= start) & (end - start + 1 <= max_answer)
-    if best_context is not None:
-        ok = ok & F.coalesce(F.get(best_context, start), F.lit(False))
-    return ok
+def _in_context(offsets: Column, best_context: Column | None, start: Column) -> Column:
+    """Whether an answer may start at a position."""
+    known = F.get(offsets, start).isNotNull()
+    return known if best_context is None else known & F.coalesce(F.get(best_context, start), F.lit(False))
+
+
+def _fits(start: Column, end: Column, max_answer: int) -> Column:
+    return (end >= start) & (end - start < max_answer)
 
 
 def _candidate(start: Column, end: Column, s: Column, e: Column, offsets: Column) -> Column:
@@ -65,16 +67,16 @@ def window_candidates(
     """
     off = F.col(offsets)
     best_context = F.col(max_context) if max_context else None
-    tops = F.struct(
-        _top(F.col(start_logits), n_best).alias("starts"), _top(F.col(end_logits), n_best).alias("ends")
-    )
+    starts = F.filter(_top(F.col(start_logits), n_best), lambda s: _in_context(off, best_context, s["idx"]))
+    ends = F.filter(_top(F.col(end_logits), n_best), lambda e: F.get(off, e["idx"]).isNotNull())
+    tops = F.struct(starts.alias("starts"), ends.alias("ends"))
 
     def pairs(t: Column) -> Column:
         return F.flatten(
             F.transform(
                 t["starts"],
                 lambda s: F.transform(
-                    F.filter(t["ends"], lambda e: _usable(s["idx"], e["idx"], off, max_answer, best_context)),
+                    F.filter(t["ends"], lambda e: _fits(s["idx"], e["idx"], max_answer)),
                     lambda e: _candidate(s["idx"], e["idx"], -s["neg"], -e["neg"], off),
                 ),
             )
@@ -115,7 +117,12 @@ def beam_candidates(
             F.get("end_log_probs", k).alias("pe"),
         ),
     )
-    usable = F.filter(picked, lambda x: _usable(x["s"], x["e"], off, max_answer, best_context))
+    usable = F.filter(
+        picked,
+        lambda x: _fits(x["s"], x["e"], max_answer)
+        & _in_context(off, best_context, x["s"])
+        & F.get(off, x["e"]).isNotNull(),
+    )
     spans = F.transform(usable, lambda x: _candidate(x["s"], x["e"], x["ps"], x["pe"], off))
     return df.withColumns(
         {
@@ -131,10 +138,14 @@ def beam_candidates(
 
 def span_rows(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One row per candidate span of a window, best first."""
-    exploded = candidates.select(*keys, F.posexplode("candidates").alias("rank", "c"))
-    return exploded.select(
-        *keys, (F.col("rank") + 1).alias("rank"), "c.*", (-F.col("c.neg_score")).alias("score")
-    ).drop("neg_score")
+    names = ("start_index", "end_index", "start_logit", "end_logit", "start_char", "end_char")
+    rows = F.transform(
+        "candidates",
+        lambda c, i: F.struct(
+            (i + 1).alias("rank"), *[c[n].alias(n) for n in names], (-c["neg_score"]).alias("score")
+        ),
+    )
+    return candidates.select(*keys, F.inline(rows))
 
 
 def null_scores(candidates: DataFrame, example: str, window: str = "window") -> DataFrame:
@@ -279,8 +290,9 @@ def example_nbest(
 
 def nbest_rows(nbest: DataFrame, example: str) -> DataFrame:
     """One row per ranked answer."""
-    exploded = nbest.select(example, F.posexplode("nbest").alias("rank", "a"))
-    return exploded.select(example, (F.col("rank") + 1).alias("rank"), "a.*")
+    names = ("text", "start_logit", "end_logit", "score", "probability")
+    rows = F.transform("nbest", lambda a, i: F.struct((i + 1).alias("rank"), *[a[n].alias(n) for n in names]))
+    return nbest.select(example, F.inline(rows))
 
 
 def best_answer(nbest: DataFrame, example: str) -> DataFrame:

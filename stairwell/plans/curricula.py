@@ -13,8 +13,7 @@ VECTOR_BATCH = 16
 
 
 def _components(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    rows = df.select(*keys, F.posexplode(vector).alias("dim", "value"))
-    return rows.withColumn("value", F.round("value", 6))
+    return df.select(*keys, F.posexplode(F.transform(vector, lambda v: F.round(v, 6))).alias("dim", "value"))
 
 
 def _scaled(kind: str):

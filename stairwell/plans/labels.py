@@ -139,8 +139,8 @@ def _pairs(spark, folder):
 
 
 def _bleu(spark, folder):
-    pairs = translation_pairs(views.translations(spark, folder), "src", "ref")
-    return bleu.corpus_bleu(pairs, "source", "target")
+    pairs = translation_pairs(views.translations(spark, folder), "src", "ref", keys=["doc_id"])
+    return bleu.corpus_bleu(pairs, "doc_id", "source", "target")
 
 
 QUERIES = {

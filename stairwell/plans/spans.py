@@ -93,9 +93,7 @@ def _batch_pad(spark, folder):
 
 
 def _candidates(spark, folder):
-    features = views.windows(spark, folder)
-    joined = nb.attach_logits(features, views.span_logits(features), ["doc_id", "window"])
-    return nb.window_candidates(joined, N_BEST, MAX_ANSWER)
+    return nb.window_candidates(views.with_span_logits(views.windows(spark, folder)), N_BEST, MAX_ANSWER)
 
 
 def _nbest(spark, folder):
@@ -104,11 +102,10 @@ def _nbest(spark, folder):
 
 
 def _beam(spark, folder):
-    features = views.windows(spark, folder, context_first=True)
-    joined = nb.attach_logits(features, views.beam_logits(features), ["doc_id", "window"])
+    scored = views.with_beam_logits(views.windows(spark, folder, context_first=True))
     contexts = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("context"))
     return nb.example_nbest(
-        nb.beam_candidates(joined, N_BEST, MAX_ANSWER), contexts, "doc_id", n_best=N_BEST, beam=True
+        nb.beam_candidates(scored, N_BEST, MAX_ANSWER), contexts, "doc_id", n_best=N_BEST, beam=True
     )
 
 

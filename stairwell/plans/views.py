@@ -99,7 +99,7 @@ def windows(spark: SparkSession, folder: str, context_first: bool = False) -> Da
     )
 
 
-def span_logits(features: DataFrame) -> DataFrame:
+def with_span_logits(features: DataFrame) -> DataFrame:
     """Stand-in model output: one start and one end logit per position, with exact ties."""
 
     def logit(a: int, b: int, c: int, m: int):
@@ -109,14 +109,13 @@ def span_logits(features: DataFrame) -> DataFrame:
         )
 
     return features.select(
-        "doc_id",
-        "window",
+        "*",
         logit(7919, 104729, 31, 1009).alias("start_logits"),
         logit(6271, 15485863, 17, 1013).alias("end_logits"),
     )
 
 
-def beam_logits(features: DataFrame, start_n_top: int = 5, end_n_top: int = 5) -> DataFrame:
+def with_beam_logits(features: DataFrame, start_n_top: int = 5, end_n_top: int = 5) -> DataFrame:
     """Stand-in beam output: top start and end positions, their log probabilities, the CLS logit."""
     size = F.size("tokens")
     doc, window = F.col("doc_id"), F.col("window")
@@ -130,8 +129,7 @@ def beam_logits(features: DataFrame, start_n_top: int = 5, end_n_top: int = 5) -
         slots, lambda k: ((start_of(F.floor(k / end_n_top)) + (k % end_n_top) * 4) % size).cast("int")
     )
     return features.select(
-        "doc_id",
-        "window",
+        "*",
         starts.alias("start_index"),
         ends.alias("end_index"),
         F.transform(F.sequence(F.lit(0), F.lit(start_n_top - 1)), lambda i: -((doc * 3 + window + i * 5) % 97).cast("double") / 16.0).alias("start_log_probs"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stairwell.functions.text import SPACE
+from stairwell.functions.text import strip
 from stairwell.operators.classify import capped_samples
 
 
@@ -47,13 +47,9 @@ def write_tag_lines(df: DataFrame, path: str, tags: str, order: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
-
-
 def write_generated(df: DataFrame, path: str, text: str, order: str) -> None:
     """One stripped prediction per line, in ``order``."""
-    lines = df.orderBy(order).select(stripped(F.col(text)).alias("value"))
+    lines = df.orderBy(order).select(strip(F.col(text)).alias("value"))
     lines.write.mode("overwrite").text(path)
 
 
