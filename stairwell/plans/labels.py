@@ -251,12 +251,26 @@ ranks AS (
 """
 
 
-def _sql_ngrams(n: int) -> str:
-    side = lambda c: f"SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i+{n - 1}], ' '))) AS g FROM toks) GROUP BY ALL"
-    return f"""
-a{n} AS ({side('p')}), b{n} AS ({side('r')}),
-m{n} AS (SELECT CAST(coalesce(sum(least(a{n}.c, b{n}.c)), 0) AS DOUBLE) AS m FROM a{n} JOIN b{n} USING (doc_id, g)),
-t{n} AS (SELECT CAST(sum(greatest(len(p) - {n - 1}, 0)) AS DOUBLE) AS t FROM toks)"""
+SQL_GRAMS = f"""{SQL_PAIRS},
+toks AS MATERIALIZED (SELECT doc_id, {_sql_bleu_tokens('cand')} AS p, {_sql_bleu_tokens('ref')} AS r FROM pairs),
+word AS (
+  SELECT doc_id, 'p' AS side, unnest(range(len(p))) AS i, unnest(p) AS w FROM toks
+  UNION ALL SELECT doc_id, 'r', unnest(range(len(r))), unnest(r) FROM toks),
+run AS (
+  SELECT doc_id, side, w AS g1, w || ' ' || lead(w, 1) OVER o AS g2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g3,
+         w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g4
+  FROM word WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+gram AS (
+  SELECT doc_id, side, unnest([1, 2, 3, 4]) AS n, unnest([g1, g2, g3, g4]) AS g FROM run),
+tally AS (
+  SELECT doc_id, n, g, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'r') AS r
+  FROM gram WHERE g IS NOT NULL GROUP BY ALL),
+size AS (SELECT n, CAST(sum(least(p, r)) AS DOUBLE) AS m, CAST(sum(p) AS DOUBLE) AS t FROM tally GROUP BY n)
+"""
+
+
+def _sql_size(n: int) -> str:
+    return f"m{n} AS (SELECT m FROM size WHERE n = {n}), t{n} AS (SELECT t FROM size WHERE n = {n})"
 
 
 _SMOOTH = (
@@ -324,9 +338,8 @@ SELECT type, {_sql_prf('c', 'f', 's')}, s AS number FROM n""",
 s AS (SELECT lang, avg(CAST(quality = predicted AS DOUBLE)) AS a, avg(CAST(quality <> predicted AS DOUBLE)) AS e FROM cls GROUP BY lang)
 SELECT 'accuracy_' || lang AS key, round(a, 6) AS value FROM s UNION ALL SELECT 'error_' || lang, round(e, 6) FROM s""",
     "translation_pairs": f"WITH {SQL_PAIRS} SELECT doc_id, 'translate: ' || cand AS source, ref AS target FROM pairs",
-    "corpus_bleu": f"""WITH {SQL_PAIRS},
-toks AS MATERIALIZED (SELECT doc_id, {_sql_bleu_tokens('cand')} AS p, {_sql_bleu_tokens('ref')} AS r FROM pairs),
-{','.join(_sql_ngrams(n) for n in bleu.ORDERS)},
+    "corpus_bleu": f"""WITH {SQL_GRAMS},
+{', '.join(_sql_size(n) for n in bleu.ORDERS)},
 len_ AS (SELECT CAST(sum(len(p)) AS DOUBLE) AS sys, CAST(sum(len(r)) AS DOUBLE) AS ref, avg(len(p)) AS g FROM toks),
 bp AS (SELECT CASE WHEN sys < ref THEN exp(1 - ref / sys) ELSE 1 END AS bp, g FROM len_)
 SELECT round({_SMOOTH}, 4) AS bleu, round(g, 4) AS gen_len FROM bp, m1, m2, m3, m4, t1, t2, t3, t4""",

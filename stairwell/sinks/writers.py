@@ -62,3 +62,8 @@ def with_samples(metrics: DataFrame, rows: DataFrame, split: str, max_samples: i
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """The one-row metric table as JSON."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
+    """Store a table bucketed and sorted by ``keys``, so joins of equally bucketed tables need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
