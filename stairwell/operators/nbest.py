@@ -296,8 +296,8 @@ def nbest_rows(nbest: DataFrame, example: str) -> DataFrame:
 
 
 def best_answer(nbest: DataFrame, example: str) -> DataFrame:
-    """(``example``, ``prediction_text``): the top answer; used without negatives and for beams."""
-    return nbest.select(example, F.get("nbest", F.lit(0))["text"].alias("prediction_text"))
+    """(``example``, ``prediction_text``, ``null_score``): the top answer, without negatives and for beams."""
+    return nbest.select(example, F.get("nbest", F.lit(0))["text"].alias("prediction_text"), "null_score")
 
 
 def null_decision(nbest: DataFrame, example: str, threshold: float = 0.0) -> DataFrame:

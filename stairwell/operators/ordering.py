@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from stairwell.session import materialise
+
 BUCKET = "__bucket"
 MAX_EDGES = 512
 
@@ -97,6 +99,6 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", tie: str | None = No
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """(``value``, ``name``): average 1-based rank of every distinct value."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
+    counts = materialise(df.groupBy(value).agg(F.count("*").alias("__n")))
     ranked = running_totals(counts, value, {"__upto": F.col("__n")})
     return ranked.select(value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))

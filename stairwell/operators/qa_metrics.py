@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stairwell.functions.arrays import let, multiset_overlap
 from stairwell.functions.text import normalize_answer, space_tokens
 from stairwell.operators.ordering import running_totals
+from stairwell.session import materialise
 
 # Scores are summed as decimals: the total does not depend on the order of addition,
 # so the first maximum of a sweep is the same on every run.
@@ -154,8 +155,9 @@ def best_threshold(
         wrong = F.when(F.col(prediction) != "", F.lit(-1)).otherwise(F.lit(0))
         return F.when(F.col("has_ans"), F.col(score).cast(EXACT_SUM)).otherwise(wrong.cast(EXACT_SUM))
 
-    rows = scored.select(na_prob, pos, "has_ans", prediction, "exact", "f1")
-    walked = running_totals(rows, na_prob, {"c_exact": gain("exact"), "c_f1": gain("f1")}, tie=pos)
+    # several passes follow over four narrow columns; the texts are left behind here
+    gains = materialise(scored.select(na_prob, pos, gain("exact").alias("g_exact"), gain("f1").alias("g_f1")))
+    walked = running_totals(gains, na_prob, {"c_exact": F.col("g_exact"), "c_f1": F.col("g_f1")}, tie=pos)
 
     def peak(cum: str, out: str) -> Column:
         order = F.struct(F.col(cum), -F.col(na_prob), -F.col(pos))
@@ -190,7 +192,7 @@ def _pr_points(scored: DataFrame, na_prob: str) -> DataFrame:
         F.sum(answered.cast(EXACT_SUM)).alias("__oracle"),
     )
     measures = {"upto": F.col("__n"), **{f"cum_{k}": F.col(f"__{k}") for k in PR_KINDS}}
-    return running_totals(groups, na_prob, measures)
+    return running_totals(materialise(groups), na_prob, measures)
 
 
 def _answerable(scored: DataFrame) -> Column:

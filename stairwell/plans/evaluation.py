@@ -68,7 +68,7 @@ def answer_questions(
     scored = nb.window_candidates(nb.attach_logits(features, logits, [example, "window"]), n_best, max_answer)
     nbest = nb.example_nbest(scored, contexts, example, n_best=n_best, with_negatives=with_negatives)
     if not with_negatives:
-        return nb.best_answer(nbest, example), nbest, None
+        return nb.best_answer(nbest, example).drop("null_score"), nbest, None
     decided = nb.null_decision(nbest, example, threshold)
     return decided.select(example, "prediction_text"), nbest, decided.select(example, "score_diff")
 
@@ -87,4 +87,5 @@ def answer_questions_beam(
     joined = nb.attach_logits(features, logits, [example, "window"])
     scored = nb.beam_candidates(joined, n_best, max_answer, start_n_top, end_n_top)
     nbest = nb.example_nbest(scored, contexts, example, n_best=n_best, beam=True)
-    return nb.best_answer(nbest, example), nbest, nbest.select(example, "null_score")
+    best = nb.best_answer(nbest, example)
+    return best.drop("null_score"), nbest, best.drop("prediction_text")

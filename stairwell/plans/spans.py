@@ -137,10 +137,8 @@ def _beam_rows(spark, folder):
 
 
 def _formatted(spark, folder):
-    nbest = _beam(spark, folder)
     answers = views.contexts(spark, folder).select("doc_id", F.col("answer").alias("answers"))
-    best = nb.best_answer(nbest, "doc_id").join(nbest.select("doc_id", "null_score"), "doc_id")
-    return nb.format_predictions(best, answers, "doc_id", F.col("null_score"))
+    return nb.format_predictions(nb.best_answer(_beam(spark, folder), "doc_id"), answers, "doc_id", F.col("null_score"))
 
 
 QUERIES = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stairwell.functions.arrays import let
+from stairwell.functions.text import space_tokens
 from stairwell.operators import rows as rw
 from stairwell.plans import views
 from stairwell.plans.answers import SQL_QA
@@ -16,64 +18,79 @@ SEED, PEEK = 7, 3
 
 
 def nested_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """The questions as nested documents: one per conversation, one paragraph per question."""
-    answer = F.transform("golds", lambda g: F.struct(g.alias("text"), F.lit(0).cast("long").alias("answer_start")))
-    paragraph = F.struct(
-        "turn",
-        F.coalesce("reply", F.lit("")).alias("context"),
-        F.array(
-            F.struct(
-                F.col("qid").cast("string").alias("id"),
-                "question",
-                (~F.col("has_ans")).alias("is_impossible"),
-                answer.alias("answers"),
-            )
-        ).alias("qas"),
-    )
-    # a conversation holds its few turns
-    articles = views.questions(spark, folder).groupBy("conv_id").agg(F.sort_array(F.collect_list(paragraph)).alias("paragraphs"))
-    article = F.struct(F.col("conv_id").cast("string").alias("title"), "paragraphs")
-    return articles.select(F.array(article).alias("data"))
+    """Each question as a nested document with one paragraph per line of its reply."""
+    lines = F.when(F.col("has_ans"), F.col("golds")).otherwise(F.array(F.lit("")))
+
+    def paragraph(line, i):
+        answers = F.array(F.struct(line.alias("text"), F.lit(0).cast("long").alias("answer_start")))
+        question = F.struct(
+            F.concat_ws("-", "qid", i).alias("id"),
+            "question",
+            (~F.col("has_ans")).alias("is_impossible"),
+            F.when(F.col("has_ans"), answers).otherwise(F.slice(answers, 1, 0)).alias("answers"),
+        )
+        return F.struct(line.alias("context"), F.array(question).alias("qas"))
+
+    article = F.struct(F.col("qid").cast("string").alias("title"), F.transform(lines, paragraph).alias("paragraphs"))
+    return views.questions(spark, folder).select(F.array(article).alias("data"))
 
 
 def _flatten(spark, folder):
     flat = flatten_squad(nested_questions(spark, folder))
     return flat.select(
-        F.col("id").cast("long").alias("qid"),
-        F.col("title").cast("long").alias("conv_id"),
+        "id",
+        F.col("title").cast("long").alias("qid"),
         "paragraph",
         "place",
         "question",
         "context",
         "is_impossible",
-        F.array_join(F.transform("answers", lambda a: a["text"]), "\n").alias("answers"),
+        F.get("answers", F.lit(0))["text"].alias("answer"),
     )
 
 
 def _view(spark, folder):
     shown = qa_view(flatten_squad(nested_questions(spark, folder)))
-    return shown.select(F.col("id").cast("long").alias("qid"), "question", F.array_join("answers", "\n").alias("answers"))
+    return shown.select("id", "question", F.array_join("answers", "\n").alias("answers"))
 
 
 def _lookup(spark, folder):
-    view = qa_view(flatten_squad(nested_questions(spark, folder)))
+    """The browsable questions with the reply as their answers, beside the predictions."""
+    answers = F.transform("golds", lambda g: F.struct(g.alias("text")))
+    flat = views.questions(spark, folder).select(
+        F.col("qid").cast("string").alias("id"), "question", answers.alias("answers"), (~F.col("has_ans")).alias("is_impossible")
+    )
     said = views.predictions(spark, folder).select(F.col("qid").cast("string").alias("id"), F.col("prediction").alias("prediction_text"))
-    return qa_lookup(view, said).select(F.col("id").cast("long").alias("qid"), "question", "first_answer", "prediction")
+    return qa_lookup(qa_view(flat), said).select(F.col("id").cast("long").alias("qid"), "question", "first_answer", "prediction")
 
 
 def _conll(spark, folder):
     """Documents as token-per-line text with a document start, parsed back into sentences."""
-    rows = views.tagged(spark, folder)
-    lines = F.transform(
-        "tokens", lambda t, i: F.concat(t, F.lit(" X "), F.when(i == 0, "B").otherwise("I"), F.lit(" "), F.get("ner_tags", i))
-    )
-    blocks = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", lines.alias("lines")))).alias("b"))
+
+    def block(line):
+        return let(
+            space_tokens(line),
+            lambda tokens: let(
+                views.gold_tags(tokens),
+                lambda tags: F.array_join(
+                    F.transform(
+                        tokens,
+                        lambda t, i: F.concat(
+                            t, F.lit(" X "), F.when(i == 0, "B").otherwise("I"), F.lit(" "), F.get(tags, i)
+                        ),
+                    ),
+                    "\n",
+                ),
+            ),
+        )
+
     text = F.concat(
         F.lit("-DOCSTART- -X- -X- O\n\n"),
-        F.array_join(F.transform("b", lambda s: F.array_join(s["lines"], "\n")), "\n\n"),
+        F.array_join(F.transform(F.split("text", "\n"), block), "\n\n"),
         F.lit("\n"),
     )
-    parsed = parse_conll(blocks.select("doc_id", text.alias("text")), "text", ["doc_id"])
+    docs = views.documents(spark, folder).select("doc_id", text.alias("text"))
+    parsed = parse_conll(docs, "text", ["doc_id"])
     joined = [F.array_join(c, " ").alias(c) for c in ("tokens", "pos_tags", "chunk_tags", "ner_tags")]
     return parsed.select("doc_id", "sentence", *joined)
 
@@ -128,10 +145,15 @@ QUERIES = {
 # ---------------------------------------------------------------- checks in SQL
 
 ORACLE = {
-    "squad_flatten": f"""WITH {SQL_QA}
-SELECT qid, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS paragraph, 0 AS place, question,
-       coalesce(reply, '') AS context, NOT has_ans AS is_impossible, coalesce(reply, '') AS answers FROM qa""",
-    "qa_view": f"WITH {SQL_QA} SELECT qid, question, reply AS answers FROM qa WHERE has_ans",
+    "squad_flatten": f"""WITH {SQL_QA},
+line AS (
+  SELECT qid, question, has_ans, unnest(CASE WHEN has_ans THEN golds ELSE [''] END) AS t,
+         unnest(range(CASE WHEN has_ans THEN len(golds) ELSE 1 END)) AS paragraph FROM qa)
+SELECT qid || '-' || paragraph AS id, qid, paragraph, 0 AS place, question, t AS context, NOT has_ans AS is_impossible,
+       CASE WHEN has_ans THEN t END AS answer FROM line""",
+    "qa_view": f"""WITH {SQL_QA},
+line AS (SELECT qid, question, unnest(golds) AS t, unnest(range(len(golds))) AS paragraph FROM qa WHERE has_ans)
+SELECT qid || '-' || paragraph AS id, question, t AS answers FROM line""",
     "qa_lookup": f"""WITH {SQL_QA}
 SELECT qid, question, golds[1] AS first_answer, prediction FROM qa JOIN pred USING (qid) WHERE has_ans""",
     "conll_sentences": f"""WITH {SQL_SENTENCES},

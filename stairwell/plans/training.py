@@ -25,20 +25,18 @@ def score_examples(
     ``norm`` rescales the vectors first; ``line`` uses the extremes of a batch of
     ``batch_size`` consecutive ids, or of each example without it.
     """
+    number = F.floor(F.col(idx) / batch_size) if batch_size else F.col(idx)
+    batch = "__batch" if norm == "line" else None
+    if criterion == "wd":
+        # the clouds are normalised where they lie; a layer of a batch has its own extremes
+        ready = hidden.filter(F.col("layer").isin(di.EMBEDDING_LAYER, di.LAST_LAYER))
+        if batch:
+            ready = ready.withColumn(batch, F.struct(number.alias("n"), "layer"))
+        return sinkhorn_difficulty(di.normalise(ready, ["vector"], norm, batch), idx, scaling=scaling)
     paired = di.pair_layers(hidden, idx)
-    batch = None
-    if norm == "line":
-        batch = "__batch"
-        width = F.floor(F.col(idx) / batch_size) if batch_size else F.col(idx)
-        paired = paired.withColumn(batch, width)
-    paired = di.normalise(paired, ["x", "y"], norm, batch)
-    if criterion != "wd":
-        return di.kl_difficulty(paired, idx, symmetric=criterion == "kl")
-    layers = F.array(
-        F.struct(F.lit(di.EMBEDDING_LAYER).alias("layer"), F.col("x").alias("vector")),
-        F.struct(F.lit(di.LAST_LAYER).alias("layer"), F.col("y").alias("vector")),
-    )
-    return sinkhorn_difficulty(paired.select(idx, "token_pos", F.inline(layers)), idx, scaling=scaling)
+    if batch:
+        paired = paired.withColumn(batch, number)
+    return di.kl_difficulty(di.normalise(paired, ["x", "y"], norm, batch), idx, symmetric=criterion == "kl")
 
 
 def build_curriculum(
@@ -49,9 +47,11 @@ def build_curriculum(
     seed: int = 42,
     gated: bool = True,
     idx: str = "idx",
+    batch_scores: bool = False,
 ) -> DataFrame:
     """(``stage``, ``level``, ``idx``) of a curriculum over ``(idx, difficulty)``.
 
+    ``batch_scores`` gives every example the mean difficulty of its batch.
     The scores are written once: the extremes, the level counts and the samples
     must all see the same numbers, and recomputing a score is expensive.
     """
@@ -60,6 +60,9 @@ def build_curriculum(
     if kind.startswith("random"):
         staged = cu.random_stages(scored, n, seed, idx, cumulative=kind == "random_cumulative")
         return staged.select("stage", "level", idx)
+    if batch_scores:
+        means = di.batch_difficulty(scored, idx, batch_size)
+        scored = means.select(idx, F.col("batch_difficulty").alias("difficulty"))
     leveled = cu.difficulty_levels(materialise(scored), n)
     if kind == "ordered":
         return cu.ordered_curriculum(leveled, n, seed, idx)

@@ -144,28 +144,31 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", "lang", "line", space_tokens(F.col("text")).alias("tokens"))
 
 
-def _entity(token):
-    return F.when(F.length(token) > 6, "ORG").otherwise("PER")
-
-
-def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    """Gold tags by capital initials, and stand-in predictions that differ at some positions."""
+def gold_tags(tokens):
+    """Tags by capital initials; long words are organisations, neighbours of one type belong together."""
 
     def capital(token):
         return token.rlike(r"^\p{Lu}")
 
-    def gold(token, i):
-        before = F.get("tokens", F.greatest(i - 1, F.lit(0)))
-        goes_on = (i > 0) & capital(before) & (_entity(before) == _entity(token))
-        return F.when(~capital(token), "O").otherwise(
-            F.concat(F.when(goes_on, "I-").otherwise("B-"), _entity(token))
-        )
+    def entity(token):
+        return F.when(F.length(token) > 6, "ORG").otherwise("PER")
+
+    def tag(token, i):
+        before = F.get(tokens, F.greatest(i - 1, F.lit(0)))
+        goes_on = (i > 0) & capital(before) & (entity(before) == entity(token))
+        return F.when(~capital(token), "O").otherwise(F.concat(F.when(goes_on, "I-").otherwise("B-"), entity(token)))
+
+    return F.transform(tokens, tag)
+
+
+def tagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold tags, and stand-in predictions that differ at some positions."""
 
     def guess(tag, i):
         turn = (F.col("doc_id") + F.col("line") + i) % 7
         return F.when(turn == 0, "O").when(turn == 3, "B-LOC").when((turn == 5) & (tag == "O"), "I-PER").otherwise(tag)
 
-    marked = sentences(spark, folder).withColumn("ner_tags", F.transform("tokens", gold))
+    marked = sentences(spark, folder).withColumn("ner_tags", gold_tags(F.col("tokens")))
     return marked.withColumn("predicted", F.transform("ner_tags", guess))
 
 
