@@ -29,9 +29,10 @@ def edge_count(spark: SparkSession) -> int:
 
 
 def _edges(df: DataFrame, columns: list[str], count: int) -> list[list[float]]:
-    probabilities = [i / count for i in range(1, count)]
-    found = df.approxQuantile(columns, probabilities, 1.0 / (4 * count))
-    return [sorted(set(f)) for f in found]
+    probabilities = [i / count for i in range(1, count)] or [0.5]
+    quantiles = df.agg(*[F.percentile_approx(c, probabilities, 4 * count).alias(c) for c in columns])
+    # one row of at most MAX_EDGES numbers per column
+    return [sorted(set(found or [])) for found in quantiles.first()]
 
 
 def _cell(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:

@@ -8,11 +8,11 @@ bucketed running totals, so ties and hot values do not gather in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stairwell.functions.arrays import let, multiset_overlap
 from stairwell.functions.text import normalize_answer, space_tokens
-from stairwell.operators.ordering import running_totals
+from stairwell.operators.ordering import BUCKET, running_totals, with_order_bucket
 from stairwell.session import materialise
 
 # Scores are summed as decimals: the total does not depend on the order of addition,
@@ -135,6 +135,26 @@ def metric_map(parts: DataFrame) -> DataFrame:
     return exploded.select(F.concat("p", "m").alias("key"), F.col("v").alias("value"))
 
 
+def _hopeful_buckets(placed: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """Buckets in which a running sum can reach its maximum, with the sums before them.
+
+    Inside a bucket the sum rises by at most its positive parts; if that stays
+    below a value some bucket ends on, the bucket need not be walked row by row.
+    """
+    sums = placed.groupBy(BUCKET).agg(
+        *[F.sum(m).alias(f"all_{m}") for m in measures],
+        *[F.sum(F.when(F.col(m) > 0, F.col(m)).otherwise(0)).alias(f"up_{m}") for m in measures],
+    )
+    # one row per bucket: bounded by the number of edges
+    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    based = sums.withColumns({f"base_{m}": F.coalesce(F.sum(f"all_{m}").over(earlier), F.lit(0)) for m in measures})
+    ends = {f"end_{m}": F.max(F.col(f"base_{m}") + F.col(f"all_{m}")).over(Window.partitionBy()) for m in measures}
+    reachable = F.lit(False)
+    for m in measures:
+        reachable = reachable | (F.col(f"base_{m}") + F.col(f"up_{m}") >= F.greatest(f"end_{m}", F.lit(0)))
+    return based.withColumns(ends).filter(reachable).select(BUCKET, *[f"base_{m}" for m in measures])
+
+
 def best_threshold(
     scored: DataFrame,
     unanswerable: DataFrame,
@@ -151,19 +171,24 @@ def best_threshold(
     row per question of the data set without an answer, predicted or not.
     """
 
-    def gain(score: str) -> Column:
+    def gain(score: str, kind: str) -> Column:
         wrong = F.when(F.col(prediction) != "", F.lit(-1)).otherwise(F.lit(0))
-        return F.when(F.col("has_ans"), F.col(score).cast(EXACT_SUM)).otherwise(wrong.cast(EXACT_SUM))
+        return F.when(F.col("has_ans"), F.col(score).cast(kind)).otherwise(wrong.cast(kind))
 
     # several passes follow over four narrow columns; the texts are left behind here
-    gains = materialise(scored.select(na_prob, pos, gain("exact").alias("g_exact"), gain("f1").alias("g_f1")))
-    walked = running_totals(gains, na_prob, {"c_exact": F.col("g_exact"), "c_f1": F.col("g_f1")}, tie=pos)
-
-    def peak(cum: str, out: str) -> Column:
-        order = F.struct(F.col(cum), -F.col(na_prob), -F.col(pos))
-        return F.max_by(F.struct(F.col(cum).alias("gain"), F.col(na_prob).alias("at")), order).alias(out)
-
-    tops = walked.agg(peak("c_exact", "e"), peak("c_f1", "f"), F.count("*").alias("n"))
+    gains = materialise(scored.select(na_prob, pos, gain("exact", "long").alias("e"), gain("f1", EXACT_SUM).alias("f")))
+    placed = with_order_bucket(gains, na_prob, pos)
+    hopeful = _hopeful_buckets(placed, ("e", "f"))
+    inside = Window.partitionBy(BUCKET).orderBy(na_prob, pos).rowsBetween(Window.unboundedPreceding, 0)
+    walked = placed.join(F.broadcast(hopeful), BUCKET)
+    walked = walked.withColumns({f"c_{m}": F.col(f"base_{m}") + F.sum(m).over(inside) for m in ("e", "f")})
+
+    def peak(m: str) -> Column:
+        order = F.struct(F.col(f"c_{m}"), -F.col(na_prob), -F.col(pos))
+        return F.max_by(F.struct(F.col(f"c_{m}").alias("gain"), F.col(na_prob).alias("at")), order).alias(m)
+
+    rows = gains.agg(F.count("*").alias("n")).scalar()
+    tops = walked.agg(peak("e"), peak("f")).withColumn("n", rows)
     base = unanswerable.agg(F.count("*").alias("no_ans")).scalar()
 
     def score(top: str) -> Column:
