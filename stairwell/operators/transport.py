@@ -1,16 +1,15 @@
 """Entropic optimal transport between the token clouds of an example.
 
-Spark gathers the two clouds of each example; the short numeric loop over one
-example runs as an Arrow-batched function.  A cloud is bounded by the feature
-length of a model, and that bound is checked before anything is gathered.
+Spark shuffles the vectors to their example; the short numeric loop over one
+example's two clouds runs as a grouped Arrow function, one example in memory at
+a time.  A cloud is bounded by the feature length of a model, and that bound is
+checked before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stairwell.operators.difficulty import EMBEDDING_LAYER, LAST_LAYER
@@ -57,27 +56,19 @@ def sinkhorn_difficulty(
     more than ``max_tokens`` vectors per layer.
     """
     out_of_bounds = F.raise_error(F.concat(F.lit("token_pos beyond max_tokens: "), F.col("token_pos").cast("string")))
-    place = F.when(F.col("token_pos") < max_tokens, F.col("token_pos")).otherwise(out_of_bounds.cast("int"))
     rows = hidden.filter(F.col("layer").isin(EMBEDDING_LAYER, LAST_LAYER)).select(
-        idx, "layer", F.struct(place.alias("token_pos"), F.col("vector").cast("array<double>").alias("vector")).alias("t")
-    )
-
-    def cloud(layer: int):
-        gathered = F.sort_array(F.collect_list(F.when(F.col("layer") == layer, F.col("t"))))
-        return F.flatten(F.transform(gathered, lambda t: t["vector"]))
-
-    width = F.max(F.size("t.vector"))
-    clouds = rows.groupBy(idx).agg(
-        cloud(EMBEDDING_LAYER).alias("x"), cloud(LAST_LAYER).alias("y"), width.alias("width")
+        idx,
+        F.when(F.col("token_pos") < max_tokens, F.col("layer")).otherwise(out_of_bounds.cast("int")).alias("layer"),
+        F.col("vector").cast("array<double>").alias("vector"),
     )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [
-                source_potential(np.reshape(x, (-1, w)), np.reshape(y, (-1, w)), blur, scaling)
-                for x, y, w in zip(batch["x"], batch["y"], batch["width"])
-            ]
-            yield pd.DataFrame({idx: batch[idx], "difficulty": values})
+    def score(example: pa.Table) -> pa.Table:
+        layer = example["layer"].to_numpy()
+        points = example["vector"].combine_chunks().flatten().to_numpy().reshape(len(layer), -1)
+        value = source_potential(points[layer == EMBEDDING_LAYER], points[layer == LAST_LAYER], blur, scaling)
+        return pa.table({idx: example[idx][:1], "difficulty": [value]})
 
     key_type = hidden.schema[idx].dataType.simpleString()
-    return clouds.mapInPandas(score, f"`{idx}` {key_type}, difficulty double")
+    # a fixed width: the loop costs far more than its bytes suggest, so partitions must not be merged by size
+    width = int(hidden.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, idx).groupBy(idx).applyInArrow(score, f"`{idx}` {key_type}, difficulty double")
