@@ -227,3 +227,15 @@ def test_same_result_for_any_width(spark, partitions):
         seen.append(stages_of(build_curriculum(df.repartition(width), "cumulative")))
     assert seen[0] == seen[1] == seen[2]
     assert not math.isnan(len(seen[0]))
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pickle").write_bytes(cloudpickle.dumps(tr.source_potential))
+    code = "import pickle, numpy as n; f = pickle.load(open('f.pickle', 'rb')); print(f(n.zeros((1, 2)), n.array([[3.0, 4.0]])))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert float(out.stdout) == pytest.approx(25 / 4)
