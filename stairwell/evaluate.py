@@ -21,7 +21,6 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("-o", "--out-file", help="folder for the metrics; printed without it")
     parser.add_argument("--version", type=int, choices=(1, 2), default=2, help="scoring rules")
     parser.add_argument("--curves", action="store_true", help="add average precisions")
-    parser.add_argument("--indented", action="store_true", help="the JSON objects have one entry per line")
     return parser.parse_args(argv)
 
 
@@ -29,13 +28,13 @@ def main(argv: list[str] | None = None) -> None:
     options = arguments(argv)
     spark = SparkSession.builder.appName("evaluate").getOrCreate()
     golds = gold_table(read_squad(spark, options.data))
-    predictions = read_predictions(spark, options.predictions, options.indented)
+    predictions = read_predictions(spark, options.predictions)
     if options.version == 1:
         metrics = evaluate_v1(golds, predictions)
     else:
         chances = None
         if options.na_prob_file:
-            chances = read_na_probabilities(spark, options.na_prob_file, options.indented)
+            chances = read_na_probabilities(spark, options.na_prob_file)
         metrics = evaluate_v2(golds, predictions, chances, options.na_prob_thresh, options.curves)
     if options.out_file:
         write_metrics(metrics, options.out_file)

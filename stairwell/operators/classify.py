@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stairwell.operators.ordering import average_ranks
+from stairwell.session import materialise
 
 
 def _count(condition: Column) -> Column:
@@ -76,11 +77,14 @@ def pearson(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 def spearman(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Correlation of average ranks.
 
-    Rows collapse to distinct (gold, predicted) pairs before any ranking, and
-    ranks come from bucketed running totals over distinct values.
+    Rows collapse to distinct (gold, predicted) pairs, written once, before any
+    ranking; ranks come from bucketed running totals over distinct values.  Rows
+    with a null on either side are left out, as in the plain correlation.
     """
-    pairs = df.groupBy(gold, predicted).agg(F.count("*").alias("__w"))
-    x, y = average_ranks(df, gold, "__x"), average_ranks(df, predicted, "__y")
+    known = df.select(gold, predicted).dropna()
+    pairs = materialise(known.groupBy(gold, predicted).agg(F.count("*").alias("__w")))
+    x = average_ranks(pairs.select(gold, "__w"), gold, "__x", "__w")
+    y = average_ranks(pairs.select(predicted, "__w"), predicted, "__y", "__w")
     ranked = pairs.join(x, gold).join(y, predicted)
     n = F.sum("__w").cast("double")
 

@@ -62,6 +62,12 @@ def distill_batches(units: DataFrame, n: int, batch_size: int, seed: int) -> Dat
     return first_by_hash(units, "batch", seed, quota, "level").drop("group_rows", "total_rows", "rank_floor")
 
 
+def batch_members(df: DataFrame, batches: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
+    """The rows of the given batches, with the batches' level and, if staged, stage."""
+    marks = batches.select("batch", *[c for c in ("stage", "level") if c in batches.columns])
+    return df.withColumn("batch", batch_of(idx, batch_size)).join(marks, "batch")
+
+
 def cumulative_stages(sampled: DataFrame, n: int) -> DataFrame:
     """Stage i holds the samples of levels 0..i; earlier samples are reused."""
     return sampled.withColumn("stage", F.explode(F.sequence(F.col("level"), F.lit(n - 1))))

@@ -42,13 +42,19 @@ def _cell(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame
     return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
 
 
+def _known(column: str) -> Column:
+    """The column as double; a null has no place in the order and is an error, not a lost row."""
+    missing = F.raise_error(F.lit(f"null in order column {column}")).cast("double")
+    return F.when(F.col(column).isNull(), missing).otherwise(F.col(column).cast("double"))
+
+
 def with_order_bucket(df: DataFrame, value: str, tie: str | None = None, edges: int | None = None) -> DataFrame:
     """Add ``__bucket``, non-decreasing in (``value``, ``tie``).  Both columns are numeric and non-null."""
     count = edges or edge_count(df.sparkSession)
-    work = df.withColumn("__value", F.col(value).cast("double"))
+    work = df.withColumn("__value", _known(value))
     columns = ["__value"]
     if tie is not None:
-        work = work.withColumn("__tie", F.col(tie).cast("double"))
+        work = work.withColumn("__tie", _known(tie))
         columns.append("__tie")
     found = _edges(work.select(*columns), columns, count)
     work = _cell(work, "__value", found[0], "__cell")
@@ -98,8 +104,9 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", tie: str | None = No
     return out.withColumn(name, F.col(name) - 1)
 
 
-def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """(``value``, ``name``): average 1-based rank of every distinct value."""
-    counts = materialise(df.groupBy(value).agg(F.count("*").alias("__n")))
+def average_ranks(df: DataFrame, value: str, name: str = "rank", weight: str | None = None) -> DataFrame:
+    """(``value``, ``name``): average 1-based rank of every distinct value; a row counts ``weight`` times."""
+    size = F.sum(weight) if weight else F.count("*")
+    counts = materialise(df.groupBy(value).agg(size.alias("__n")))
     ranked = running_totals(counts, value, {"__upto": F.col("__n")})
     return ranked.select(value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))

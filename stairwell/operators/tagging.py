@@ -95,6 +95,16 @@ def entity_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return sums.select(*parts, (F.col("same").cast("double") / F.col("n")).alias("accuracy"))
 
 
+def entity_metric_map(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """(``key``, ``value``): ``overall_<metric>`` and ``<type>_<metric>``."""
+    overall = entity_scores(df, gold, predicted)
+    pairs = F.array(
+        *[F.struct(F.lit(f"overall_{c}").alias("key"), F.col(c).alias("value")) for c in overall.columns]
+    )
+    by_type = flatten_entity_scores(entity_scores_by_type(df, gold, predicted))
+    return overall.select(F.inline(pairs)).unionByName(by_type)
+
+
 def flatten_entity_scores(by_type: DataFrame) -> DataFrame:
     """(``key``, ``value``) with keys ``<type>_<metric>``."""
     names = ("precision", "recall", "f1", "number")

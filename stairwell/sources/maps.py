@@ -27,14 +27,25 @@ def read_indented_map(
     return number_in_file(rows).select("pos", F.col("e.key").alias(key), F.col("e.value").alias(value))
 
 
-def read_predictions(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+def is_indented(spark: SparkSession, path: str) -> bool:
+    """Whether the object has one entry per line: then its first line is a lone brace."""
+    # a few characters only: without line breaks the first line is the whole object
+    first = spark.read.text(path).select(F.trim(F.substring("value", 1, 8)).alias("start")).head(1)
+    return bool(first) and first[0]["start"] == "{"
+
+
+def _reader(spark: SparkSession, path: str):
+    return read_indented_map if is_indented(spark, path) else read_map
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(``pos``, ``qid``, ``prediction``)."""
-    return (read_indented_map if indented else read_map)(spark, path, "prediction")
+    return _reader(spark, path)(spark, path, "prediction")
 
 
-def read_na_probabilities(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+def read_na_probabilities(spark: SparkSession, path: str) -> DataFrame:
     """(``pos``, ``qid``, ``na_prob``)."""
-    return (read_indented_map if indented else read_map)(spark, path, "na_prob", "double")
+    return _reader(spark, path)(spark, path, "na_prob", "double")
 
 
 def with_na_probabilities(predictions: DataFrame, na_probs: DataFrame | None = None, qid: str = "qid") -> DataFrame:

@@ -195,6 +195,8 @@ def test_batches(spark):
     for ids in leveled([(b, sum(v) / len(v)) for b, v in means.items()], 3).values():
         want |= set(first(ids, int(gate / 3) if len(ids) > gate else len(ids), 1))
     assert kept == want
+    members = cu.batch_members(df, cu.distill_batches(units, 3, 8, 1), 8)
+    assert {r.idx for r in members.collect()} == {i for i, _ in rows if i // 8 in want}
 
 
 def test_random_kinds_and_plan(spark):

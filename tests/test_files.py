@@ -144,8 +144,10 @@ def test_maps(spark, tmp_path, split):
     try:
         said = {f"q{i}": f'text {i}, "x": {{y}},' for i in range(100)}
         (tmp_path / "p.json").write_text(json.dumps(said, indent=4))
-        whole = maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
-        lines = maps.read_predictions(spark, str(tmp_path / "p.json"), indented=True).collect()
+        (tmp_path / "flat.json").write_text(json.dumps(said))
+        whole = maps.read_predictions(spark, str(tmp_path / "flat.json")).collect()
+        lines = maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
+        assert maps.is_indented(spark, str(tmp_path / "p.json")) and not maps.is_indented(spark, str(tmp_path / "flat.json"))
         want = [(i, q, t) for i, (q, t) in enumerate(said.items())]
         assert sorted(map(tuple, whole)) == sorted(map(tuple, lines)) == sorted(want)
     finally:
@@ -209,7 +211,7 @@ def test_command_line(spark, nested, tmp_path, capsys):
     (tmp_path / "p.json").write_text(json.dumps({"a": "rome", "b": "Rome"}, indent=4))
     (tmp_path / "n.json").write_text(json.dumps({"a": 0.1, "b": 0.9}, indent=4))
     common = [nested, str(tmp_path / "p.json")]
-    evaluate.main([*common, "-n", str(tmp_path / "n.json"), "-t", "0.5", "-o", str(tmp_path / "out"), "--curves", "--indented"])
+    evaluate.main([*common, "-n", str(tmp_path / "n.json"), "-t", "0.5", "-o", str(tmp_path / "out"), "--curves"])
     lines = [json.loads(x) for x in text_of(tmp_path / "out").splitlines()]
     got = {x["key"]: x["value"] for x in lines}
     assert got["exact"] == 100.0 and got["best_exact_thresh"] == 0.1 and got["pr_oracle_ap"] == 100.0

@@ -185,6 +185,7 @@ def test_rank_correlation_with_ties(spark, partitions, width):
     partitions(width)
     rows, df = labels(spark)
     table = pd.DataFrame([r[2:] for r in rows], columns=["x", "y"])
+    df = df.unionByName(df.limit(3).withColumn("y", F.lit(None).cast("double")))
     row = cl.task_metrics(df, "x", "y", "stsb").first()
     want = table.x.rank().corr(table.y.rank())
     assert (row.pearson, row.spearman) == pytest.approx((table.x.corr(table.y), want))
@@ -225,6 +226,8 @@ def test_entity_scores(spark):
     row = tg.entity_scores(df, "g", "p").first()
     assert tuple(row) == pytest.approx((2 / 3, 2 / 3, 2 / 3, 4 / 6))
     flat = {r.key: r.value for r in tg.flatten_entity_scores(tg.entity_scores_by_type(df, "g", "p")).collect()}
+    named = {r.key: r.value for r in tg.entity_metric_map(df, "g", "p").collect()}
+    assert named == {**flat, **{f"overall_{k}": v for k, v in row.asDict().items()}}
     assert flat["LOC_recall"] == 0.5 and flat["PER_precision"] == 0.5 and flat["PER_number"] == 1.0
 
 

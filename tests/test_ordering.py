@@ -59,6 +59,12 @@ def test_average_ranks(spark):
     assert {r.v: r["rank"] for r in od.average_ranks(df, "v").collect()} == {1: 1.0, 2: 2.0, 3: 4.0}
 
 
+def test_a_null_key_is_an_error(spark):
+    df = spark.createDataFrame([(1,), (None,)], "key long")
+    with pytest.raises(Exception, match="null in order column"):
+        od.dense_index(df, "key").collect()
+
+
 def hash_order(ids, seed):
     return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
 
