@@ -119,7 +119,8 @@ def label_spans(features: DataFrame, start_char: str, answer_text: str) -> DataF
     context token the forward scan runs on through the trailing special tokens, whose offset is zero, so
     the position is the last one of the feature.
     """
-    spans = F.filter("offset_mapping", lambda o: o.isNotNull())
+    # context tokens are neighbours, so a slice finds them
+    spans = F.slice("offset_mapping", F.col("context_at") + 1, F.col("context_size"))
     begin = F.col(start_char)
     end = begin + F.length(answer_text)
     size, base = F.col("context_size"), F.col("context_at")

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 
 
@@ -25,6 +26,8 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    types = {r[0]: r[1] for r in con.execute("DESCRIBE " + CHECKS[name]).fetchall()}
+    assert types == {c: SQL_TYPES[t] for c, t in df.dtypes}
     assert mismatch(spark, FOLDER, con, lambda *_: df, CHECKS[name]) is None
 
 
