@@ -8,7 +8,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from stairwell.operators import curriculum as cu, difficulty as di, transport as tr
 from stairwell.plans.training import build_curriculum, score_examples

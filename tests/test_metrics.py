@@ -10,7 +10,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stairwell.functions.text import normalize_answer  # noqa: F401
 from stairwell.operators import bleu, classify as cl, qa_metrics as qa, tagging as tg
 from stairwell.plans import evaluation as ev
 from test_text import normalized
