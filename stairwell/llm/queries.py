@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import quality_rules
+from stairwell.llm import quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import stored
 
@@ -15,6 +15,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _fold(folds: int, held_out: int):
+    """Whether a document's label is withheld."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out third, with the offending spans."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxic_spans.fit(docs, _table(spark, folder, "labels").where(~_fold(3, 1)))
+    scored = toxic_spans.add_toxicity(docs, model)
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out quarter."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = semantic_votes.fit(docs, _table(spark, folder, "labels").where(~_fold(4, 2)))
+    scored = semantic_votes.add_score(docs, model)
+    return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document and the verdict of the risk-controlled rules, strata by language."""
     docs = quality_rules.with_stratum(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
@@ -72,5 +93,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_votes": op10_quality_votes,
+}
 ORACLE = {"op4_quality_rules": _op4_sql()}
