@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from stairwell.llm.common import stored
 
-# Entries of each kind that a worker remembers before it starts over.
-CACHE_WORDS = 400_000
+# Words and pre-tokens that a worker remembers before it starts over.
+CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
+SLICE = 1 << 23  # bytes of results sent back at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +51,7 @@ class _Encoder:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE_WORDS:
+        if len(self.known) >= CACHE_PIECES:
             self.known.clear()
         ids = self.known[piece] = np.array(self.model.encode_ordinary(piece), "<u4").tobytes()
         return ids
@@ -60,7 +61,7 @@ class _Encoder:
             self.words.clear()
         if not word or word[-1].isspace():
             raise ValueError("white space beside the space")
-        ids = self.words[word] = self.ids(self.split.findall(" " + word))
+        ids = self.words[word] = np.array(self.model.encode_ordinary(" " + word), "<u4").tobytes()
         return ids
 
     def ids(self, pieces: list[str]) -> bytes:
@@ -70,14 +71,35 @@ class _Encoder:
     def text(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if first and words and not first[-1].isspace():
-            known, learn = self.words.get, self._learn_word
+            ids = list(map(self.words.get, words))
             try:
-                return self.ids(self.split.findall(first)) + b"".join([known(w) or learn(w) for w in words])
+                if None in ids:
+                    learn = self._learn_word
+                    ids = [learn(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+                return self.ids(self.split.findall(first)) + b"".join(ids)
             except ValueError:
                 pass
         return self.ids(self.split.findall(text))
 
 
+class _Decoder:
+    """Bytes of ids, by lookup in the joined tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.sizes = np.array([len(t) for t in table], "i8")
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(table), "u1")
+
+    def bytes(self, ids: bytes) -> bytes:
+        ids = np.frombuffer(ids, "<u4")
+        size = self.sizes[ids]
+        shift = self.places[ids] - (np.cumsum(size) - size)
+        return self.letters[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file. The ranks (bounded by the vocabulary) are broadcast once."""
 
@@ -87,11 +109,12 @@ class ByteBpe:
         self.ranks = spark.sparkContext.broadcast(read_ranks(path))
         self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
 
-    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, ids): ids as little-endian unsigned 32-bit integers in one binary value."""
+    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+        """(key, ids[, bytes]): ids as little-endian unsigned 32-bit integers in one binary value, and what they decode to."""
         docs = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        short = docs.where(F.length("text") <= self.chunk)
-        return short.select(key, self._whole()("text").alias("ids")).unionByName(self._long(docs, key))
+        short = self._whole(docs.where(F.length("text") <= self.chunk), key, decoded)
+        long = self._long(docs, key)
+        return short.unionByName(long.withColumn("bytes", self.decode(F.col("ids"))) if decoded else long)
 
     def decode(self, ids: Column) -> Column:
         """The tokens' bytes, one after the other."""
@@ -99,34 +122,32 @@ class ByteBpe:
 
         @F.pandas_udf("binary")
         def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            table = [b""] * (max(ranks.value.values(), default=-1) + 1)
-            for token, rank in ranks.value.items():
-                table[rank] = token
-            sizes = np.array([len(t) for t in table], "i8")
-            places = np.cumsum(sizes) - sizes
-            letters = np.frombuffer(b"".join(table), "u1")
-
-            def join(x: bytes) -> bytes:
-                ids = np.frombuffer(x, "<u4")
-                size = sizes[ids]
-                shift = places[ids] - (np.cumsum(size) - size)
-                return letters[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
-
+            decoder = _Decoder(ranks.value)
             for part in parts:
-                yield part.map(join)
+                yield part.map(decoder.bytes)
 
         return decoded(ids)
 
-    def _whole(self):
+    def _whole(self, docs: DataFrame, key: str, decoded: bool = False) -> DataFrame:
+        """Texts encoded each at once, in one pass through Python."""
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf("binary")
-        def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _Encoder(ranks.value, pattern)
+        def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder, decoder = _Encoder(ranks.value, pattern), _Decoder(ranks.value)
             for part in parts:
-                yield part.map(encoder.text)
+                begin, size, ids = 0, 0, []
+                for k, text in enumerate(part.column(1)):
+                    ids.append(encoder.text(text.as_py()))
+                    size += len(ids[-1])
+                    if size >= SLICE or k == len(part) - 1:
+                        columns = [part.column(0).slice(begin, len(ids)), pa.array(ids, pa.binary())]
+                        if decoded:
+                            columns.append(pa.array([decoder.bytes(x) for x in ids], pa.binary()))
+                        yield pa.RecordBatch.from_arrays(columns, [key, "ids", "bytes"][: len(columns)])
+                        begin, size, ids = k + 1, 0, []
 
-        return ids
+        kind = docs.schema[key].dataType.simpleString()
+        return docs.select(key, "text").mapInArrow(encoded, f"`{key}` {kind}, ids binary" + ", bytes binary" * decoded)
 
     def _long(self, docs: DataFrame, key: str) -> DataFrame:
         chunk, overlap, ranks, pattern = self.chunk, self.overlap, self.ranks, self.pattern
@@ -184,7 +205,7 @@ class ByteBpe:
         # Chunks that never agree: their nominal pieces are put together again and split at once.
         nominal = F.col("piece").substr(F.col("at") - F.col("start") + 1, F.lit(chunk))
         again = joined.where("not sure").groupBy("doc").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("k", nominal.alias("x")))).alias("xs"))
-        again = again.select(key, self._whole()(F.array_join("xs.x", "")).alias("ids"))
+        again = self._whole(again.select(key, F.array_join("xs.x", "").alias("text")), key)
 
         @F.pandas_udf("binary")
         def together(parts: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import quality_rules, semantic_votes, toxic_spans
+from stairwell.llm import packing, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import stored
 
@@ -45,15 +45,20 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(counts, cutoffs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     model = ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = model.encode(_table(spark, folder, "documents"))
+    coded = model.encode(_table(spark, folder, "documents"), decoded=True)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(model.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 
@@ -96,6 +101,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
 }

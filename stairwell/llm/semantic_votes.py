@@ -6,8 +6,7 @@ document frequencies and, by a singular value decomposition, the latent space. T
 broadcast; every document is compared with all of them in blocks by exact cosine, and its nearest ones vote.
 
 Defined results: null text counts as empty; an empty text (no terms, no direction) gets the sample's mean label;
-without any labelled document every score is 0.5; ties of similarity go to the earlier row of the sample, whose order
-is fixed by a hash of the id; repeated rows are scored each; labels of null id or value, or without a document, are ignored.
+without any labelled document every score is 0.5; all that tie with the last neighbour vote; repeated rows are scored each; labels of null id or value, or without a document, are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +21,10 @@ from pyspark.sql import functions as F
 
 CLASSES = 16
 TERMS = CLASSES**3 + 24
-SAMPLE_PER_LABEL = 2048  # labelled documents of either label that are fitted
+SAMPLE_PER_LABEL = 1024  # labelled documents of either label that are fitted
 RANK = 64  # dimensions of the latent space
 NEIGHBOURS = 24
+TIE = 1e-5  # cosines this close to the last neighbour's are ties, and all of them vote
 SHARPNESS = 16  # power of the cosine in a vote's weight
 BLOCK = 512  # documents compared at once
 
@@ -97,10 +97,11 @@ class SemanticVotes:
             rows = np.array([term_vector(t) for t in texts[at : at + BLOCK]], "f4")
             rows = _unit((rows * self.weights) @ self.axes)
             cosine = rows @ self.points.T
-            nearest = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-            weight = np.clip(np.take_along_axis(cosine, nearest, 1), 0, 1).astype("f8") ** SHARPNESS
-            total = weight.sum(1)
-            votes = (weight * self.labels[nearest]).sum(1)
+            last = np.partition(cosine, -near, axis=1)[:, -near, None]
+            row, point = np.nonzero(cosine >= last - TIE)
+            weight = np.clip(cosine[row, point], 0, 1).astype("f8") ** SHARPNESS
+            total = np.bincount(row, weight, len(rows))
+            votes = np.bincount(row, weight * self.labels[point], len(rows))
             out[at : at + BLOCK] = np.where(total > 0, votes / np.where(total > 0, total, 1), self.labels.mean())
         return np.clip(out, 0, 1)
 

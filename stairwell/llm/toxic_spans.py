@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stairwell.llm.semantic_votes import labelled_sample
 
-SAMPLE_PER_LABEL = 1536  # labelled documents of either label that are fitted
+SAMPLE_PER_LABEL = 1024  # labelled documents of either label that are fitted
 LEXICON = 4096  # words and stems with a weight of their own, at most
 STEMS = range(3, 9)  # lengths of stems
 ERROR = 1e-3  # chance that any unit at all is tagged by accident
@@ -96,6 +95,43 @@ def _evidence(p: np.ndarray) -> float:
     return float(-np.log(np.maximum(1 - p[p >= CONSPICUOUS], 1e-9)).sum())
 
 
+def _unit_evidence(texts: list[list[str]], labels: list[int]) -> dict[str, float]:
+    """Units that stand in more toxic documents than chance allows, with the evidence for them.
+
+    A unit counts once per document, at its first place, and once per pair of neighbours.
+    """
+    numbers: dict[str, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in ws], "i8") for ws in texts]
+    names: dict[str, int] = {}
+    units = np.full((len(numbers) + 1, 1 + len(STEMS)), -1, "i8")
+    for k, w in enumerate(numbers):
+        own = [names.setdefault(u, len(names)) for u in _units(w)]
+        units[k, : len(own)] = own
+    counts = []
+    for y in (0, 1):
+        found = [np.empty((0, 3), "i8")]
+        for k, ws in enumerate(coded):
+            if labels[k] == y and len(ws):
+                kinds, at = np.unique(ws, return_index=True)
+                sides = np.concatenate([[-1], ws, [-1]])
+                context = sides[at] * (len(numbers) + 1) + sides[at + 2]
+                width = units.shape[1]
+                rows = np.stack([units[kinds].ravel(), np.repeat(context, width), np.repeat(at, width)], 1)
+                rows = rows[rows[:, 0] >= 0]
+                rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+                found.append(rows[np.unique(rows[:, 0], return_index=True)[1]])
+        rows = np.concatenate(found)[:, :2]
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        fresh = np.append(True, (rows[1:] != rows[:-1]).any(1))[: len(rows)]
+        counts.append(np.bincount(rows[fresh, 0], minlength=len(names)))
+    share = (sum(labels) + 1) / (len(labels) - sum(labels) + 1)
+    expected = share * (counts[0] + 1.0)
+    c = np.maximum(counts[1], 1)
+    strength = np.where(c > expected, c * (np.log(c / expected) - 1) + expected, 0)  # Chernoff's bound of a Poisson tail
+    need = math.log((np.count_nonzero(counts[1]) + 1) / ERROR)
+    return {u: float(x) for u, x in zip(names, strength, strict=True) if x >= need}
+
+
 class _Lookup(dict):
     """Word to the id of its unit with the most evidence; 0 without one. Words met are remembered."""
 
@@ -167,28 +203,22 @@ class ToxicSpans:
     def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS) -> ToxicSpans:
         """``weights``: documents that a sampled document of label 0 and of label 1 stands for."""
         words = [words_of(t) for t in texts]
-        seen: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
-        for ws, y in zip(words, labels, strict=True):
-            places = {w: hash((a, b)) for a, w, b in zip(["", *ws[:-1]], ws, [*ws[1:], ""], strict=True)}
-            for unit, neighbours in {u: n for w, n in places.items() for u in _units(w)}.items():
-                seen[y][unit].add(neighbours)
-        share = (sum(labels) + 1) / (len(labels) - sum(labels) + 1)
-        need = math.log((len(seen[1]) + 1) / ERROR)
-        evidence = {}
-        for unit, found in seen[1].items():
-            c, expected = len(found), share * (len(seen[0].get(unit, ())) + 1)
-            if c > expected and (x := c * (math.log(c / expected) - 1) + expected) >= need:  # Chernoff's bound of a Poisson tail
-                evidence[unit] = x
+        evidence = _unit_evidence(words, labels)
         best = sorted(evidence, key=lambda u: (-evidence[u], u))[:LEXICON]
         model = ToxicSpans({u: evidence[u] for u in best})
-        ids, first, near = model._chains(words)
         if not best:
             model.own[:] = -30
             return model
-        sizes = [len(ws) for ws in words]
-        model._climb(ids, first, near, (np.repeat(labels, sizes) * (ids > 0)).astype("f8"), steps)
-        parts = np.split(model._run(ids, first, near)[0], np.cumsum(sizes)[:-1])
-        model._calibrate(np.array([_evidence(p) for p in parts]), np.array(labels, "f8"), np.array(weights)[labels])
+        groups, size = [[]], 0
+        for k, ws in enumerate(words):
+            if size >= TOKENS // 2:
+                groups.append([])
+                size = 0
+            groups[-1].append(k)
+            size += len(ws)
+        model._climb([(*model._chains([words[k] for k in g]), np.repeat([labels[k] for k in g], [len(words[k]) for k in g])) for g in groups], steps)
+        x = np.array([_evidence(p) for g in groups for p in model.marginals([words[k] for k in g])])
+        model._calibrate(x, np.array(labels, "f8"), np.array(weights)[labels])
         return model
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -204,38 +234,40 @@ class ToxicSpans:
                 break
         self.line = (float(line[0]), float(line[1]))
 
-    def _climb(self, ids: np.ndarray, first: np.ndarray, near: np.ndarray, tags: np.ndarray, steps: int) -> None:
-        """Ascend the conditional likelihood with per-parameter step sizes."""
-        begins = first > 0
-        prior = PRIOR * len(ids)
+    def _climb(self, groups: list[tuple[np.ndarray, ...]], steps: int) -> None:
+        """Ascend the conditional likelihood of tagged groups of texts with per-parameter step sizes."""
+        prior = PRIOR * sum(len(g[0]) for g in groups) / len(self.own)
         parts = [self.own, self.near, self.start, self.move]
         self.own[0], self.own[1:] = -4.0, 2.0
-        inner = np.flatnonzero(~begins)
-        pair = lambda p, q: np.array([[((1 - p) * (1 - q)).sum(), ((1 - p) * q).sum()], [(p * (1 - q)).sum(), (p * q).sum()]])
-        seen_pairs = pair(tags[inner - 1], tags[inner])
         mean, square = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
         for step in range(1, steps + 1):
-            p, emit, ahead, behind = self._run(ids, first, near)
-            gap = tags - p
-            move = np.exp(self.move)
-            left = np.stack([np.ones(len(inner)), ahead[inner - 1]])
-            right = np.stack([np.ones(len(inner)), emit[inner] * behind[inner]])
-            joint = left[:, None] * move[:, :, None] * right[None]
-            joint /= joint.sum((0, 1))
-            slopes = [
-                np.bincount(ids, gap, minlength=len(self.own)),
-                near @ gap,
-                np.array([-gap[begins].sum(), gap[begins].sum()]),
-                seen_pairs - joint.sum(2),
-            ]
+            slopes = [-prior * x for x in parts]
+            for ids, first, near, label in groups:
+                for total, part in zip(slopes, self._slope(ids, first, near, (label * (ids > 0)).astype("f8")), strict=True):
+                    total += part
             for x, g, m, s in zip(parts, slopes, mean, square, strict=True):
-                g = g - prior / len(self.own) * x
                 m *= 0.9
                 m += 0.1 * g
                 s *= 0.99
                 s += 0.01 * g * g
                 x += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
+    def _slope(self, ids: np.ndarray, first: np.ndarray, near: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+        """Observed less expected counts of every parameter."""
+        p, emit, ahead, behind = self._run(ids, first, near)
+        inner, gap, move = np.flatnonzero(first == 0), tags - p, np.exp(self.move)
+        expected = np.empty((2, 2))
+        seen = np.empty((2, 2))
+        left, right = ahead[inner - 1], emit[inner] * behind[inner]
+        whole = (move[0, 0] + right * move[0, 1]) + left * (move[1, 0] + right * move[1, 1])
+        before, after = tags[inner - 1], tags[inner]
+        for i in (0, 1):
+            for j in (0, 1):
+                expected[i, j] = (move[i, j] * (left if i else 1) * (right if j else 1) / whole).sum()
+                seen[i, j] = ((before if i else 1 - before) * (after if j else 1 - after)).sum()
+        starts = gap[first > 0].sum()
+        return [np.bincount(ids, gap, minlength=len(self.own)), near @ gap, np.array([-starts, starts]), seen - expected]
+
     def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         """Score and offending spans (character offsets) of every text."""
         out: list[tuple[float, list[dict]]] = []
