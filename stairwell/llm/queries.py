@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import packing, quality_rules, semantic_votes, toxic_spans
+from stairwell.llm import lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import stored
 
@@ -50,6 +50,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-copies: three-word shingles, similarity 0.85."""
+    return lsh_forest.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     model = ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -102,6 +107,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op8_lsh_forest": op8_lsh_forest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
 }
