@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
+from stairwell.llm import binary_codes, lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import stored
 
@@ -36,6 +36,11 @@ def op10_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_binary_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-copies among all embeddings: cosine 0.9."""
+    return binary_codes.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.9)
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document and the verdict of the risk-controlled rules, strata by language."""
     docs = quality_rules.with_stratum(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
@@ -103,12 +108,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 
+_OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) = len(list_filter(embedding, x -> isfinite(x))) AND list_max(list_transform(embedding, x -> abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a)"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_binary_codes": op2_binary_codes,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
 }
-ORACLE = {"op4_quality_rules": _op4_sql()}
+ORACLE = {"op2_binary_codes": _OP2_SQL, "op4_quality_rules": _op4_sql()}
