@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stairwell.llm import binary_codes, lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import stored
+from stairwell.llm.suffix_repeats import SuffixRepeats
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier, as counts and a digest."""
+    cut = SuffixRepeats(_table(spark, folder, "documents"), least=100).cut()
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near-copies: three-word shingles, similarity 0.85."""
     return lsh_forest.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
@@ -122,6 +129,7 @@ QUERIES = {
     "op2_binary_codes": op2_binary_codes,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
