@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import binary_codes, lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
+from stairwell.llm import binary_codes, license_scan, lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
-from stairwell.llm.common import stored
+from stairwell.llm.common import shared_folder, stored
 from stairwell.llm.suffix_repeats import SuffixRepeats
+from stairwell.llm.token_rollups import TokenRollups
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +45,37 @@ def op2_binary_codes(spark: SparkSession, folder: str) -> DataFrame:
     return binary_codes.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.9)
 
 
+# Tokenizer versions whose counts Java's, and the check's, regular expressions can make.
+_COUNTED = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[\p{L}]+|[\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
+
+
+def _changes(docs: DataFrame, op: str, text) -> DataFrame:
+    counts = [F.struct(F.lit(v).alias("tokenizer"), F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).cast("long").alias("n_tokens")) for v, p in _COUNTED.items()]
+    rows = docs.select("doc_id", "source", "lang", F.explode(F.array(*counts)).alias("c"))
+    return rows.select("doc_id", "source", "lang", "c.*", F.lit(op).alias("op"), F.lit(0).alias("seq"))
+
+
+def op3_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after three batches: all documents come in; those labelled toxic go, and those of low quality are
+    counted again without repeated lines; the first batch is delivered once more and changes nothing."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    text = F.coalesce("text", F.lit(""))
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = docs.join(marks.where("toxic = 1 or quality = 0"), "doc_id")
+    arrive = _changes(docs, "insert", text)
+    gone = _changes(marked.where("toxic = 1").withColumn("text", F.lit("")), "delete", text)
+    again = _changes(marked.where("toxic is null or toxic = 0"), "revise", F.array_join(F.array_distinct(F.split(text, "\n")), "\n"))
+    rollups = TokenRollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    for batch, changes in ((0, arrive), (1, gone.unionByName(again)), (0, arrive)):
+        rollups.commit(batch, changes)
+    return rollups.totals(2)
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that covers four fifths of a license notice or text."""
+    return license_scan.scan(_table(spark, folder, "documents"), license_scan.TEMPLATES)
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document and the verdict of the risk-controlled rules, strata by language."""
     docs = quality_rules.with_stratum(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
@@ -115,6 +149,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 
+_OP3_SQL = """
+WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT documents.*, toxic, quality FROM documents LEFT JOIN m USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+t AS (SELECT doc_id, source, lang, CASE WHEN quality = 0 THEN list_distinct(string_split(coalesce(text, ''), chr(10)))
+        ELSE [coalesce(text, '')] END AS parts FROM d),
+p AS (SELECT doc_id, source, lang, unnest(parts) AS x FROM t),
+c AS (SELECT doc_id, source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n FROM p
+      UNION ALL SELECT doc_id, source, lang, 'words-2', len(regexp_extract_all(x, '[\\p{L}]+|[\\p{N}]+|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]')) FROM p)
+SELECT source, lang, tokenizer, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL"""
+
 _OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -127,11 +171,13 @@ FROM (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a)"""
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_binary_codes": op2_binary_codes,
+    "op3_token_rollups": op3_token_rollups,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
 }
-ORACLE = {"op2_binary_codes": _OP2_SQL, "op4_quality_rules": _op4_sql()}
+ORACLE = {"op2_binary_codes": _OP2_SQL, "op3_token_rollups": _OP3_SQL, "op4_quality_rules": _op4_sql()}

@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from stairwell.llm.common import small, stored
 
 GRAM = 32  # bytes of an anchor
-FLAT = 1 << 20  # bytes of text whose anchors are found at once
-DEAL_BYTES = 24 << 20  # text bytes per bucket of anchors
-HOT = 20_000  # different surroundings of one anchor that are gathered
-GROUP_ROWS = 8000  # surroundings per suffix array, roughly
+FLAT = 1 << 18  # bytes of text whose anchors are found at once
+LIMIT = 1 << 19  # anchors a task holds before it settles what it has
+SLICE = 1000  # texts whose anchors are dealt at once
+DEAL_BYTES = 16 << 20  # text bytes per bucket of anchors
+HOT = 5000  # different surroundings of one anchor that are gathered
+GROUP_ROWS = 4000  # surroundings per suffix array, roughly
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -143,19 +145,30 @@ def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def settle(records: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(spans, rest): equal surroundings keep their earliest place; anchors with several surroundings are the rest."""
-    records = records[np.lexsort((records["at"], records["doc"], records["around"], records["gram"]))]
-    same_gram = records["gram"][1:] == records["gram"][:-1]
-    same = same_gram & (records["around"][1:] == records["around"][:-1])
-    twice = same & (records["doc"][1:] == records["doc"][:-1]) & (records["at"][1:] == records["at"][:-1])
-    copy = np.append(False, same)[: len(records)]
-    gone = records[copy & ~np.append(False, twice)[: len(records)]]
-    gone = gone[gone["end"] - gone["begin"] >= least]
+    """(spans, firsts): of equal surroundings the earliest place stays, the other places are covered.
+
+    The hash of the surroundings determines the anchor.
+    """
+    around = records["around"].copy()
+    order = np.argsort(around, kind="stable")
+    around = around[order]
+    same = np.append(False, around[1:] == around[:-1])[: len(around)]
+    several = np.flatnonzero(same | np.append(same[1:], False))
+    if len(several):
+        tied = records[order[several]]
+        order[several] = order[several][np.lexsort((tied["at"], tied["doc"], around[several]))]
+    gone = records[order[same]]
+    before = records[order[np.flatnonzero(same) - 1]]
+    gone = gone[((gone["doc"] != before["doc"]) | (gone["at"] != before["at"])) & (gone["end"] - gone["begin"] >= least)]
     spans = np.empty(len(gone), _SPAN)
     spans["doc"], spans["start"], spans["stop"] = gone["doc"], gone["begin"], gone["end"]
-    first = records[~copy]
-    shared = first["gram"][1:] == first["gram"][:-1]
-    return spans, first[np.append(False, shared)[: len(first)] | np.append(shared, False)[: len(first)]]
+    return _merged(spans), records[order[~same]]
+
+
+def _shared(records: np.ndarray) -> np.ndarray:
+    """The records whose anchor has another one."""
+    _, kind, count = np.unique(records["gram"], return_inverse=True, return_counts=True)
+    return records[count[kind] > 1]
 
 
 def repeat_intervals(pieces: list[bytes], group: np.ndarray, rank: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -185,7 +198,7 @@ def repeat_intervals(pieces: list[bytes], group: np.ndarray, rank: np.ndarray, l
     # The suffix array: suffixes in the order of their group and bytes.
     padded = np.append(flat, np.zeros(wide, "u1"))
     length = sizes[owner] - place
-    rows = padded[begin[:, None] + np.arange(wide)]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[begin]
     rows[np.arange(wide) >= length[:, None]] = 0
     order = np.lexsort((length, rows.view(f"S{wide}").ravel(), group[owner]))
     owner, place, begin, length, rows = owner[order], place[order], begin[order], length[order], rows[order]
@@ -242,13 +255,13 @@ class SuffixRepeats:
 
         def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                found = find_anchors([(d.as_py(), t.as_py().encode("utf-8", "replace")) for d, t in zip(part.column(0), part.column(1), strict=True)], least)
-                # Copies within the batch are settled here, so that the shuffle carries one of them.
-                spans, _ = settle(found, least)
-                found = found[np.lexsort((found["at"], found["doc"], found["around"], found["gram"]))]
-                fresh = np.append(True, (found["gram"][1:] != found["gram"][:-1]) | (found["around"][1:] != found["around"][:-1]))[: len(found)]
-                yield _tagged(_blobs(found[fresh], _bucket_of(found["gram"][fresh], buckets)), 1)
-                yield _tagged(_blobs(spans, _bucket_of(spans["doc"], buckets)), 0)
+                for at in range(0, len(part), SLICE):
+                    piece = part.slice(at, SLICE)
+                    texts = [(d, t.encode("utf-8", "replace")) for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)]
+                    # Copies within the slice are settled here, so that the shuffle carries one of them.
+                    spans, fresh = settle(find_anchors(texts, least), least)
+                    yield _tagged(_blobs(fresh, _bucket_of(fresh["gram"], buckets)), 1)
+                    yield _tagged(_blobs(spans, _bucket_of(spans["doc"], buckets)), 0)
 
         def _tagged(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(batch), pa.int32()), *batch.columns], ["kind", "bucket", "records"])
@@ -258,10 +271,7 @@ class SuffixRepeats:
 
         def compact(kept: np.ndarray, hot: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Settles what a bucket holds so far; surroundings of anchors that are or become hot leave it."""
-            spans, _ = settle(kept, least)
-            kept = kept[np.lexsort((kept["at"], kept["doc"], kept["around"], kept["gram"]))]
-            fresh = np.append(True, (kept["gram"][1:] != kept["gram"][:-1]) | (kept["around"][1:] != kept["around"][:-1]))[: len(kept)]
-            kept = kept[fresh]
+            spans, kept = settle(kept, least)
             grams, kind, count = np.unique(kept["gram"], return_inverse=True, return_counts=True)
             crowded = count > HOT
             if hot:
@@ -273,20 +283,20 @@ class SuffixRepeats:
             def close(kept: np.ndarray, hot: set[int]) -> Iterator[pa.RecordBatch]:
                 for kind, records in zip((0, 1, 2), compact(kept, hot), strict=True):
                     if kind == 1:
-                        records = settle(records, least)[1]
+                        records = _shared(records)
                     yield from send(kind, records)
 
             def send(kind: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
                 if len(records):
                     yield _tagged(_blobs(records, _bucket_of(records["doc"], buckets)), kind)
 
-            bucket, held, rows, limit, hot = None, [], 0, 1 << 20, set()
+            bucket, held, rows, limit, hot = None, [], 0, LIMIT, set()
             for part in parts:
                 for b, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     if b != bucket:
                         if held:
                             yield from close(np.concatenate(held), hot)
-                        bucket, held, rows, limit, hot = b, [], 0, 1 << 20, set()
+                        bucket, held, rows, limit, hot = b, [], 0, LIMIT, set()
                     held.append(np.frombuffer(x.as_py(), _RECORD))
                     rows += len(held[-1])
                     if rows >= limit:
@@ -294,7 +304,7 @@ class SuffixRepeats:
                         yield from send(0, spans)
                         yield from send(2, away)
                         held, rows = [kept], len(kept)
-                        limit = max(1 << 20, 2 * rows)
+                        limit = max(LIMIT, 2 * rows)
             if held:
                 yield from close(np.concatenate(held), hot)
 
