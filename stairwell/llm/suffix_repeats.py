@@ -267,7 +267,7 @@ class SuffixRepeats:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(batch), pa.int32()), *batch.columns], ["kind", "bucket", "records"])
 
         schema = "kind int, bucket long, records binary"
-        found = stored(self.docs.select("doc", "text").mapInArrow(anchors, schema), "anchors")
+        found = self.docs.select("doc", "text").mapInArrow(anchors, schema)
 
         def compact(kept: np.ndarray, hot: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Settles what a bucket holds so far; surroundings of anchors that are or become hot leave it."""
@@ -292,7 +292,12 @@ class SuffixRepeats:
 
             bucket, held, rows, limit, hot = None, [], 0, LIMIT, set()
             for part in parts:
-                for b, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                spans = part.filter(pa.array(kind == 0 for kind in part.column(0).to_pylist()))
+                if len(spans):
+                    yield spans
+                for kind, b, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    if kind == 0:
+                        continue
                     if b != bucket:
                         if held:
                             yield from close(np.concatenate(held), hot)
@@ -308,9 +313,9 @@ class SuffixRepeats:
             if held:
                 yield from close(np.concatenate(held), hot)
 
-        dealt = found.where("kind = 1").select("bucket", "records").repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
-        met = stored(dealt.mapInArrow(meet, schema), "met")
-        return met.unionByName(found.where("kind = 0"))
+        # Spans pass through the same shuffle, so that the texts are read once and nothing is written twice.
+        dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        return stored(dealt.mapInArrow(meet, schema), "met")
 
     def _surroundings(self, settled: DataFrame, kind: int, fn, schema: str) -> DataFrame:
         """``fn(doc, text, records)`` over the documents that have anchors of a kind left."""
