@@ -49,7 +49,9 @@ def log_softmax(values: Column) -> Column:
 
 
 def linear_scale(values: Column, low: Column, high: Column) -> Column:
-    return F.transform(as_doubles(values), lambda x: (x - low) / (high - low))
+    """Components between 0 (``low``) and 1 (``high``); all 0 when the bounds are equal."""
+    width = F.nullif(high - low, F.lit(0.0))
+    return F.transform(as_doubles(values), lambda x: F.coalesce((x - low) / width, F.lit(0.0)))
 
 
 def pad_to(values: Column, length: Column, filler: Column) -> Column:

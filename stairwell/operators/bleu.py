@@ -59,7 +59,7 @@ def corpus_bleu(
         *[total(n, F.col("p")).alias(f"t{n}") for n in ORDERS],
     )
     pairs = df.agg(F.count("*").cast("double").alias("n")).scalar()
-    gen_len = df.agg(F.avg(length)).scalar() if length is not None else F.col("t1") / pairs
+    gen_len = df.agg(F.avg(length)).scalar() if length is not None else F.col("t1") / F.nullif(pairs, F.lit(0.0))
     misses = F.lit(0)
     logs = F.lit(0.0)
     for n in ORDERS:

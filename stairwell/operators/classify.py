@@ -71,11 +71,14 @@ def binary_f1(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, gold: str, predicted: str) -> DataFrame:
-    return df.agg(F.corr(F.col(gold).cast("double"), F.col(predicted).cast("double")).alias("pearson"))
+    """Null when a side is constant."""
+    known = df.select(F.col(gold).cast("double").alias("g"), F.col(predicted).cast("double").alias("p")).dropna()
+    spread = F.stddev_pop("g") * F.stddev_pop("p")
+    return known.agg((F.covar_pop("g", "p") / F.nullif(spread, F.lit(0.0))).alias("pearson"))
 
 
 def spearman(df: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """Correlation of average ranks.
+    """Correlation of average ranks; null when a side is constant.
 
     Rows collapse to distinct (gold, predicted) pairs, written once, before any
     ranking; ranks come from bucketed running totals over distinct values.  Rows
@@ -100,10 +103,10 @@ def spearman(df: DataFrame, gold: str, predicted: str) -> DataFrame:
         moment(b * b).alias("bb"),
         moment(a * b).alias("ab"),
     )
-    cov = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
-    va = F.col("aa") - F.col("a") * F.col("a") / F.col("n")
-    vb = F.col("bb") - F.col("b") * F.col("b") / F.col("n")
-    return sums.select((cov / F.sqrt(va * vb)).alias("spearman"))
+    cov = F.col("ab") - F.col("a") * F.col("b") / F.nullif(F.col("n"), F.lit(0.0))
+    va = F.col("aa") - F.col("a") * F.col("a") / F.nullif(F.col("n"), F.lit(0.0))
+    vb = F.col("bb") - F.col("b") * F.col("b") / F.nullif(F.col("n"), F.lit(0.0))
+    return sums.select((cov / F.nullif(F.sqrt(F.greatest(va * vb, F.lit(0.0))), F.lit(0.0))).alias("spearman"))
 
 
 def combined_score(metrics: DataFrame) -> DataFrame:

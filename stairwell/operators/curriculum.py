@@ -20,11 +20,13 @@ DEFAULT_LEVELS = 3
 def difficulty_levels(df: DataFrame, n: int = DEFAULT_LEVELS, difficulty: str = "difficulty") -> DataFrame:
     """Add ``level``: equal-width bands of the difficulty range, 0 (easy) to n-1.
 
-    The largest difficulty, and with it everything when all are equal, is level n-1.
+    The largest difficulty, and with it everything when all are equal, is level n-1.  A null or NaN is an error.
     """
-    d = F.col(difficulty).cast("double")
+    value = F.col(difficulty).cast("double")
+    unknown = F.raise_error(F.lit(f"{difficulty} is null or not a number")).cast("double")
+    d = F.when(value.isNull() | F.isnan(value), unknown).otherwise(value)
     span = df.agg(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias("s")).scalar()
-    band = F.floor(n * (d - F.col("__s.lo")) / (F.col("__s.hi") - F.col("__s.lo")))
+    band = F.floor(n * (d - F.col("__s.lo")) / F.nullif(F.col("__s.hi") - F.col("__s.lo"), F.lit(0.0)))
     top = F.lit(n - 1)
     level = F.when(d == F.col("__s.hi"), top).otherwise(F.least(band, top))
     return df.withColumn("__s", span).withColumn("level", level.cast("int")).drop("__s")

@@ -26,7 +26,7 @@ def pair_layers(hidden: DataFrame, idx: str = "idx", first: int = EMBEDDING_LAYE
 
 def batch_of(idx: str, batch_size: int) -> Column:
     """Deterministic batch number of a dense id."""
-    return F.floor(F.col(idx) / batch_size).cast("long").alias("batch")
+    return F.expr(f"`{idx}` div {int(batch_size)}").alias("batch")
 
 
 def normalise(df: DataFrame, columns: list[str], kind: str = "org", batch: str | None = None) -> DataFrame:

@@ -189,7 +189,7 @@ def batch_pad(
     Batches are runs of ``batch_size`` consecutive unique ids, so a window
     partition never holds more than ``batch_size`` rows.
     """
-    batched = df.withColumn("batch", F.floor(F.col(idx) / batch_size))
+    batched = df.withColumn("batch", F.expr(f"`{idx}` div {int(batch_size)}"))
     longest = F.max(F.size(column)).over(Window.partitionBy("batch"))
     target = (F.ceil(longest / multiple) * multiple).cast("int")
     sized = batched.withColumn("padded_length", target)
@@ -208,12 +208,18 @@ def label_vocabulary(df: DataFrame, label: str, unknown: object | None = None) -
     return names.distinct().select(label, position.cast("int").alias("label_id"))
 
 
-def model_label_ids(labels: list[str], model_ids: dict[str, int]) -> dict[int, int] | None:
-    """Dataset id -> model id when both use the same names, ignoring the model's case; else None."""
-    lowered = {name.lower(): int(i) for name, i in model_ids.items()}
-    if sorted(lowered) != sorted(labels):
-        return None
-    return {i: lowered[name] for i, name in enumerate(labels)}
+def model_vocabulary(vocabulary: DataFrame, model: DataFrame, label: str = "label") -> DataFrame:
+    """``vocabulary`` with the ids of a model, given as (``name``, ``model_id``), where both name the same classes.
+
+    Names are compared in lower case. If any class of either side has no partner, the vocabulary's own ids stay.
+    """
+    ours = vocabulary.withColumn("__name", F.lower(F.col(label).cast("string")))
+    theirs = model.select(F.lower("name").alias("__name"), "model_id").dropDuplicates(["__name"])
+    paired = ours.join(theirs, "__name", "full")
+    lone = F.sum((F.col("label_id").isNull() | F.col("model_id").isNull()).cast("int")).over(Window.partitionBy())
+    chosen = F.when(lone > 0, F.col("label_id")).otherwise(F.col("model_id")).cast("int")
+    # The window runs over classes, not over rows.
+    return paired.withColumn("label_id", chosen).filter(F.col(label).isNotNull()).select(label, "label_id")
 
 
 def encode_labels(

@@ -220,19 +220,21 @@ def _pr_points(scored: DataFrame, na_prob: str) -> DataFrame:
     return running_totals(materialise(groups), na_prob, measures)
 
 
-def _answerable(scored: DataFrame) -> Column:
-    return scored.agg(F.sum(F.col("has_ans").cast("long")).cast("double").alias("n")).scalar()
+def _answerable(questions: DataFrame) -> Column:
+    """Answerable questions of the data set, whether they were predicted or not."""
+    return questions.agg(F.sum(F.col("has_ans").cast("long")).cast("double").alias("n")).scalar()
 
 
-def pr_curve(scored: DataFrame, na_prob: str = "na_prob") -> DataFrame:
+def pr_curve(scored: DataFrame, questions: DataFrame, na_prob: str = "na_prob") -> DataFrame:
     """(``kind``, ``na_prob``, ``precision``, ``recall``): one point per distinct probability.
 
     A point stands for accepting every answer up to that probability.  The
     curve's fixed first point (precision 1, recall 0) has a null probability.
+    Recall counts all answerable ``questions`` (``has_ans``), predicted or not.
     Empty when no question has an answer.
     """
     points = _pr_points(scored, na_prob)
-    positives = _answerable(scored)
+    positives = _answerable(questions)
     kinds = F.array(
         *[
             F.struct(
@@ -245,15 +247,15 @@ def pr_curve(scored: DataFrame, na_prob: str = "na_prob") -> DataFrame:
     )
     curve = points.select(F.col(na_prob).alias("na_prob"), F.inline(kinds)).filter("recall is not null")
     first = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")) for k in PR_KINDS])
-    start = scored.agg(F.sum(F.col("has_ans").cast("int")).alias("n")).filter("n > 0")
+    start = questions.agg(F.sum(F.col("has_ans").cast("int")).alias("n")).filter("n > 0")
     start = start.select(F.lit(None).cast("double").alias("na_prob"), F.inline(first))
     return curve.unionByName(start).select("kind", "na_prob", "precision", "recall")
 
 
-def average_precision(scored: DataFrame, na_prob: str = "na_prob") -> DataFrame:
-    """(``kind``, ``ap``): area under the stepwise curve, in percent."""
+def average_precision(scored: DataFrame, questions: DataFrame, na_prob: str = "na_prob") -> DataFrame:
+    """(``kind``, ``ap``): area under the stepwise curve, in percent; recall counts all answerable ``questions``."""
     points = _pr_points(scored, na_prob)
-    positives = _answerable(scored)
+    positives = _answerable(questions)
     sums = points.agg(
         *[
             F.sum(F.col(f"cum_{k}").cast("double") / F.col("upto") * F.col(f"__{k}").cast("double")).alias(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from stairwell.operators.ordering import dense_index
@@ -39,10 +39,9 @@ def pair_roles(df: DataFrame, task: str | None = None) -> tuple[str, str | None]
     """The one or two text columns of a sentence task."""
     if task is not None:
         return TASK_COLUMNS[task]
-    texts = [c for c in df.columns if c != "label"]
-    if {"sentence1", "sentence2"} <= set(texts):
-        return "sentence1", "sentence2"
-    return (texts[0], texts[1]) if len(texts) > 1 else (texts[0], None)
+    first, second, *_ = *(c for c in df.columns if c != "label"), None, None
+    named = ("sentence1", "sentence2")
+    return named if all(c in df.columns for c in named) else (first, second)
 
 
 def tag_roles(
@@ -69,8 +68,10 @@ def head(df: DataFrame, n: int | None, *order: str) -> DataFrame:
 
 
 def select_by_index(df: DataFrame, wanted: DataFrame, idx: str = "idx", pos: str = "pos") -> DataFrame:
-    """Rows named by ``wanted(pos, idx)``; repeats stay and ``pos`` carries the order."""
-    return wanted.select(pos, idx).join(df, idx)
+    """Rows named by ``wanted(pos, idx)``; repeats stay, ``pos`` carries the order, an unknown index is an error."""
+    found = wanted.select(pos, idx).join(df.withColumn("__found", F.lit(True)), idx, "left")
+    missing = F.raise_error(F.concat(F.lit("no row has index "), F.col(idx).cast("string"))).cast("boolean")
+    return found.filter(F.coalesce("__found", missing)).drop("__found")
 
 
 def add_index(df: DataFrame, key: str, tie: str | None = None, name: str = "idx") -> DataFrame:

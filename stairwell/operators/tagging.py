@@ -77,7 +77,7 @@ def entity_scores_by_type(df: DataFrame, gold: str, predicted: str) -> DataFrame
 
 
 def entity_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """One row ``precision, recall, f1, accuracy``: all entities together, and tokens."""
+    """One row ``precision, recall, f1, accuracy``: all entities together, and tokens; 0 without any."""
     side = df.select(
         F.size(gold).alias("n"),
         F.size(F.filter(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p")), lambda z: z["g"] == z["p"])).alias("same"),
@@ -92,7 +92,7 @@ def entity_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
         F.sum(F.size("g")).alias("support"),
     )
     parts = _prf(F.col("correct"), F.col("found"), F.col("support"))
-    return sums.select(*parts, (F.col("same").cast("double") / F.col("n")).alias("accuracy"))
+    return sums.select(*parts, F.coalesce(F.col("same").cast("double") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("accuracy"))
 
 
 def entity_metric_map(df: DataFrame, gold: str, predicted: str) -> DataFrame:

@@ -56,12 +56,12 @@ def _best(spark, folder):
 
 
 def _curve(spark, folder):
-    out = qa.pr_curve(_scored(spark, folder))
+    out = qa.pr_curve(_scored(spark, folder), views.questions(spark, folder))
     return out.select("kind", "na_prob", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def _ap(spark, folder):
-    return qa.average_precision(_scored(spark, folder)).select("kind", F.round("ap", 6).alias("ap"))
+    return qa.average_precision(_scored(spark, folder), views.questions(spark, folder)).select("kind", F.round("ap", 6).alias("ap"))
 
 
 def _histogram(spark, folder):
@@ -176,7 +176,7 @@ kinds AS (
   SELECT 'exact' AS kind, na_prob, CASE WHEN has_ans THEN CAST(exact AS DOUBLE) ELSE 0 END AS tp FROM scored
   UNION ALL SELECT 'f1', na_prob, CASE WHEN has_ans THEN f1 ELSE 0 END FROM scored
   UNION ALL SELECT 'oracle', na_prob, CASE WHEN has_ans THEN 1.0 ELSE 0 END FROM scored),
-npos AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM scored WHERE has_ans),
+npos AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM qa WHERE has_ans),
 groups AS (SELECT kind, na_prob, sum(tp) AS tp, count(*) AS n FROM kinds GROUP BY ALL),
 points AS (
   SELECT kind, na_prob, tp, sum(tp) OVER w / sum(n) OVER w AS p, sum(tp) OVER w / (SELECT n FROM npos) AS r

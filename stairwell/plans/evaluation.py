@@ -42,7 +42,7 @@ def evaluate_v2(
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in best.columns])
     metrics = metrics.unionByName(best.select(F.inline(pairs)))
     if curves:
-        areas = qa.average_precision(scored)
+        areas = qa.average_precision(scored, questions)
         metrics = metrics.unionByName(areas.select(F.concat(F.lit("pr_"), "kind", F.lit("_ap")).alias("key"), F.col("ap").alias("value")))
     return metrics
 

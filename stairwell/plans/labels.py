@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from stairwell.functions.arrays import argmax
+from stairwell.functions.arrays import argmax, pad_to
 from stairwell.functions.text import BLEU_RULES, SPACE, space_tokens
 from stairwell.operators import bleu, classify as cl, features as ft, tagging as tg
 from stairwell.plans import views
@@ -12,7 +12,7 @@ from stairwell.sources.pairs import cross_language_splits
 from stairwell.sources.translation import translation_pairs
 
 LOGIT_CLASSES = 5
-PAD_ID, LABEL_LENGTH = 0, 64
+PAD_ID = 0
 SUBWORD = 4  # characters per stand-in subword
 
 
@@ -44,10 +44,11 @@ def _align(spark, folder):
 
 
 def _mask(spark, folder):
-    """Word lengths as label ids, padded to one length with the pad id."""
+    """Word lengths as label ids, padded with the pad id to the longest line of the document."""
     rows = views.sentences(spark, folder)
     lengths = rows.withColumn("ids", F.transform("tokens", lambda w: F.length(w)))
-    padded = ft.pad_truncate(lengths, "ids", LABEL_LENGTH, PAD_ID)
+    longest = F.max(F.size("ids")).over(Window.partitionBy("doc_id"))
+    padded = lengths.withColumn("longest", longest).withColumn("ids", pad_to(F.col("ids"), F.col("longest"), F.lit(PAD_ID)))
     masked = ft.mask_padding(F.col("ids"), PAD_ID)
     return padded.select(
         "doc_id",
@@ -294,7 +295,7 @@ agg AS (
 SELECT doc_id, line, '-100 ' || coalesce(f || ' ', '') || '-100' AS first_only, '-100 ' || coalesce(a || ' ', '') || '-100' AS all_tokens
 FROM sent LEFT JOIN agg USING (doc_id, line)""",
     "mask_labels": f"""WITH {SQL_SENTENCES},
-p AS (SELECT doc_id, line, list_resize(list_transform(tokens, lambda w: length(w)), {LABEL_LENGTH}, 0) AS ids FROM sent)
+p AS (SELECT doc_id, line, list_resize(list_transform(tokens, lambda w: length(w)), max(len(tokens)) OVER (PARTITION BY doc_id), 0) AS ids FROM sent)
 SELECT doc_id, line, array_to_string(list_transform(ids, lambda v: CASE WHEN v = 0 THEN -100 ELSE v END), ' ') AS masked,
        array_to_string(ids, ' ') AS restored, len(list_filter(ids, lambda v: v <> 0)) AS length FROM p""",
     "argmax_label": """SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best,

@@ -103,9 +103,10 @@ def _index(spark, folder):
 
 
 def _select(spark, folder):
-    """Documents in the order of the vector table's labels, with repeats."""
-    wanted = views.table(spark, folder, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").cast("long").alias("doc_id"))
+    """Every document, those of few characters first in the list, and labelled ones a second time."""
     docs = views.table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    again = views.table(spark, folder, "labels").join(docs, "doc_id", "left_semi").select((-1 - F.col("doc_id")).alias("pos"), "doc_id")
+    wanted = docs.select((F.col("n_chars") * 1_000_000_000 + F.col("doc_id")).alias("pos"), "doc_id").unionByName(again)
     return rw.select_by_index(docs, wanted, "doc_id")
 
 
@@ -163,7 +164,8 @@ s AS (
   FROM tags GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS sentence, tokens, pos_tags, chunk_tags, ner_tags FROM s""",
     "add_idx": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events",
-    "select_by_index": """SELECT vec_id AS pos, doc_id, lang, n_chars FROM embeddings JOIN documents ON doc_id = label""",
+    "select_by_index": """SELECT n_chars * 1000000000 + doc_id AS pos, doc_id, lang, n_chars FROM documents
+UNION ALL SELECT -1 - doc_id, doc_id, lang, n_chars FROM labels JOIN documents USING (doc_id)""",
     "peek": f"SELECT doc_id, lang, text FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {PEEK}",
     "map_batches": """SELECT doc_id, len(string_split(text, ' ')) AS words,
 list_max(list_transform(string_split(text, ' '), lambda w: length(w))) AS longest FROM documents""",

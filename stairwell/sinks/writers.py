@@ -59,9 +59,20 @@ def with_samples(metrics: DataFrame, rows: DataFrame, split: str, max_samples: i
     return metrics.withColumn(f"{split}_samples", capped_samples(n, max_samples))
 
 
+def metric_document(metrics: DataFrame) -> DataFrame:
+    """One row ``value``: the metrics as a flat JSON object.
+
+    ``metrics`` is one row with a column per metric, or (``key``, ``value``) rows, of which there are a few dozen.
+    """
+    if set(metrics.columns) == {"key", "value"}:
+        pairs = F.sort_array(F.collect_list(F.struct("key", "value")))
+        return metrics.agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+    return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The one-row metric table as JSON."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+    """The metrics as one flat JSON object, as ``read_metrics`` reads it."""
+    metric_document(metrics).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:

@@ -4,48 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stairwell.sources.lines import number_in_file, read_records
+def parse_map(documents: DataFrame, document: str, value: str, value_type: str = "string", key: str = "qid") -> DataFrame:
+    """(``pos``, ``key``, ``value``) of JSON objects held in a text column, in the order of their entries.
 
-
-def read_map(spark: SparkSession, path: str, value: str, value_type: str = "string", key: str = "qid") -> DataFrame:
-    """(``pos``, ``key``, ``value``) of one JSON object, in file order.  The object is parsed by one task."""
-    document = spark.read.text(path, wholetext=True)
-    entries = F.map_entries(F.from_json("value", f"map<string,{value_type}>"))
-    return document.select(F.posexplode(entries).alias("pos", "e")).select(
-        "pos", F.col("e.key").alias(key), F.col("e.value").alias(value)
-    )
-
-
-def read_indented_map(
-    spark: SparkSession, path: str, value: str, value_type: str = "string", key: str = "qid"
-) -> DataFrame:
-    """The same for an object written with one entry per line, read in splits by many tasks."""
-    records = read_records(spark, path).withColumn("line", F.trim("value"))
-    inner = records.filter(F.col("line").startswith('"'))
-    entry = F.from_json(F.concat(F.lit("{"), F.rtrim("line", F.lit(",")), F.lit("}")), f"map<string,{value_type}>")
-    rows = inner.select(F.get(F.map_entries(entry), F.lit(0)).alias("e"), "__file", "__split")
-    return number_in_file(rows).select("pos", F.col("e.key").alias(key), F.col("e.value").alias(value))
+    Any layout is read. Of a repeated key the last value counts, at the first place; text that is no object is an error.
+    """
+    entries = F.map_entries(F.from_json(document, f"map<string,{value_type}>", {"mode": "FAILFAST"}))
+    rows = documents.select(F.posexplode(entries).alias("pos", "e"))
+    last = F.max_by(F.col("e.value"), F.col("pos"))
+    # A null value stays a value: the pair, not the value, is compared.
+    return rows.groupBy(F.col("e.key").alias(key)).agg(F.min("pos").alias("pos"), last.alias(value)).select("pos", key, value)
 
 
-def is_indented(spark: SparkSession, path: str) -> bool:
-    """Whether the object has one entry per line: then its first line is a lone brace."""
-    # a few characters only: without line breaks the first line is the whole object
-    first = spark.read.text(path).select(F.trim(F.substring("value", 1, 8)).alias("start")).head(1)
-    return bool(first) and first[0]["start"] == "{"
-
-
-def _reader(spark: SparkSession, path: str):
-    return read_indented_map if is_indented(spark, path) else read_map
+def read_map(spark: SparkSession, path: str, value: str, value_type: str = "string", key: str = "qid") -> DataFrame:
+    """The entries of one JSON object in a file. An object is one value, so one task parses it."""
+    return parse_map(spark.read.text(path, wholetext=True), "value", value, value_type, key)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(``pos``, ``qid``, ``prediction``)."""
-    return _reader(spark, path)(spark, path, "prediction")
+    return read_map(spark, path, "prediction")
 
 
 def read_na_probabilities(spark: SparkSession, path: str) -> DataFrame:
     """(``pos``, ``qid``, ``na_prob``)."""
-    return _reader(spark, path)(spark, path, "na_prob", "double")
+    return read_map(spark, path, "na_prob", "double")
 
 
 def with_na_probabilities(predictions: DataFrame, na_probs: DataFrame | None = None, qid: str = "qid") -> DataFrame:

@@ -123,8 +123,14 @@ def test_labels(spark):
     vocabulary = ft.label_vocabulary(df, "label", unknown=-1)
     got = {r.label: r.label_id for r in ft.encode_labels(df, vocabulary, "label").collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "-1": -1}
-    assert ft.model_label_ids(["neutral", "yes"], {"YES": 0, "Neutral": 1}) == {0: 1, 1: 0}
-    assert ft.model_label_ids(["no"], {"YES": 0}) is None
+    names = spark.createDataFrame([("neutral", 0), ("yes", 1)], "label string, label_id int")
+    model = spark.createDataFrame([("YES", 0), ("Neutral", 1)], "name string, model_id int")
+    assert {r.label: r.label_id for r in ft.model_vocabulary(names, model).collect()} == {"yes": 0, "neutral": 1}
+    # one class without a partner, on either side: all keep their own ids
+    other = spark.createDataFrame([("YES", 7), ("no", 5)], "name string, model_id int")
+    more = model.unionByName(spark.createDataFrame([("no", 5)], "name string, model_id int"))
+    for wrong in (other, more, model.limit(1)):
+        assert {r.label: r.label_id for r in ft.model_vocabulary(names, wrong).collect()} == {"neutral": 0, "yes": 1}
 
 
 def test_align_tags(spark):

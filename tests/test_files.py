@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,15 +99,9 @@ def conll_text(n):
 
 
 def walk_sentences(text):
-    out, now = [], []
-    for line in text.split("\n"):
-        if line == "" or line.startswith("-DOCSTART-"):
-            if now:
-                out.append(now)
-            now = []
-        else:
-            now.append(line.split(" "))
-    return [*out, now] if now else out
+    """Blocks of lines between separators, by one regular expression."""
+    blocks = re.split(r"(?m)^(?:-DOCSTART-.*)?$\n?", text)
+    return [[row.split(" ") for row in b.strip("\n").split("\n")] for b in blocks if b.strip("\n")]
 
 
 @pytest.mark.parametrize("split", [128 * 1024 * 1024, 500])
@@ -147,13 +142,34 @@ def test_maps(spark, tmp_path, split):
         (tmp_path / "flat.json").write_text(json.dumps(said))
         whole = maps.read_predictions(spark, str(tmp_path / "flat.json")).collect()
         lines = maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
-        assert maps.is_indented(spark, str(tmp_path / "p.json")) and not maps.is_indented(spark, str(tmp_path / "flat.json"))
         want = [(i, q, t) for i, (q, t) in enumerate(said.items())]
         assert sorted(map(tuple, whole)) == sorted(map(tuple, lines)) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("text", ['{\n"a":"1", "b":"2",\n"c":"3"\n}', '{"a":"1"\n,"b":"2"\n,"c":"3"}', '{"a":"0","b":"2","a":"1","c":"3"}'])
+def test_maps_of_any_layout(spark, tmp_path, text):
+    """All entries of a line, commas first, and repeated keys, of which the last value counts."""
+    (tmp_path / "p.json").write_text(text)
+    rows = maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
+    assert [r.qid for r in sorted(rows, key=lambda r: r.pos)] == ["a", "b", "c"]
+    assert {r.qid: r.prediction for r in rows} == {"a": "1", "b": "2", "c": "3"}
+
+
+def test_an_unreadable_map_is_an_error(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"a": "1", "b": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
+
+
+def test_metric_dictionary_round_trip(spark, tmp_path):
+    said = {"exact": 50.0, "f1": 62.5, "HasAns_total": 3.0}
+    wr.write_metrics(spark.createDataFrame(list(said.items()), "key string, value double"), str(tmp_path / "m"))
+    assert json.loads(text_of(tmp_path / "m")) == said
+    assert {r.key: r.value for r in maps.read_metrics(spark, str(tmp_path / "m")).collect()} == said
+
+
 def test_metric_map(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"f1": 2.5, "total": 17}')
     assert {r.key: r.value for r in maps.read_metrics(spark, str(tmp_path / "m.json")).collect()} == {"f1": 2.5, "total": 17.0}
@@ -212,8 +228,7 @@ def test_command_line(spark, nested, tmp_path, capsys):
     (tmp_path / "n.json").write_text(json.dumps({"a": 0.1, "b": 0.9}, indent=4))
     common = [nested, str(tmp_path / "p.json")]
     evaluate.main([*common, "-n", str(tmp_path / "n.json"), "-t", "0.5", "-o", str(tmp_path / "out"), "--curves"])
-    lines = [json.loads(x) for x in text_of(tmp_path / "out").splitlines()]
-    got = {x["key"]: x["value"] for x in lines}
-    assert got["exact"] == 100.0 and got["best_exact_thresh"] == 0.1 and got["pr_oracle_ap"] == 100.0
+    got = json.loads(text_of(tmp_path / "out"))
+    assert got["exact"] == 100.0 and got["best_exact_thresh"] == 0.1 and got["pr_oracle_ap"] == 50.0
     evaluate.main([*common, "--version", "1"])
     assert "33.33" in capsys.readouterr().out

@@ -114,9 +114,9 @@ def test_threshold_sweep_and_curves(spark, partitions, seed, width):
     for name in ("exact", "f1"):
         want = sweep([(r.na_prob, r.pos, r.has_ans, r.prediction, r[name]) for r in rows], none)
         assert (best[f"best_{name}"], best[f"best_{name}_thresh"]) == pytest.approx(want)
-    positives = sum(r.has_ans for r in rows)
-    areas = {r.kind: r.ap for r in qa.average_precision(scored).collect()}
-    curve = {(r.kind, r.na_prob): (r.precision, r.recall) for r in qa.pr_curve(scored).collect()}
+    positives = sum(h for _, _, h in golds)
+    areas = {r.kind: r.ap for r in qa.average_precision(scored, questions).collect()}
+    curve = {(r.kind, r.na_prob): (r.precision, r.recall) for r in qa.pr_curve(scored, questions).collect()}
     for name in ("exact", "f1", "oracle"):
         value = lambda r: float(r.has_ans) * (1 if name == "oracle" else r[name])
         area, hits, recall = 0.0, 0.0, 0.0
@@ -140,7 +140,7 @@ def test_no_answerable_question(spark):
     questions = spark.createDataFrame([("q", [], False)], QUESTIONS)
     said = spark.createDataFrame([(0, "q", "", 0.5)], PREDICTIONS + ", na_prob double")
     scored = qa.score_answers(questions, said)
-    assert qa.average_precision(scored).count() == 0 and qa.pr_curve(scored).count() == 0
+    assert qa.average_precision(scored, questions).count() == 0 and qa.pr_curve(scored, questions).count() == 0
     assert {r.part for r in qa.evaluate_v2(scored).collect()} == {"overall", "NoAns"}
     assert qa.best_threshold(scored, questions).first().best_exact == 100.0
 
