@@ -5,70 +5,77 @@ placed into buckets that follow the order; each bucket is summed, the bucket
 sums are accumulated (a table bounded by the number of buckets, not by the
 data), and only the remainder is accumulated inside each bucket.
 
-Bucket edges are quantiles of the order column.  A value that fills an edge gets
-a bucket of its own, cut further by quantiles of the tie column, so no bucket
-holds more than about one edge step of the rows, however often a value repeats.
-The edges are fixed numbers in the plan: recomputing a lost partition places
+Bucket edges are values of a sample of the rows, in the columns' own types: numbers of
+any size, times and texts keep their exact order. A value that fills an edge gets
+a bucket of its own, cut further by the sample's values of the tie column, so no bucket
+holds more than a few edge steps of the rows, however often a value repeats.
+The edges are fixed values in the plan: recomputing a lost partition places
 every row in the same bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stairwell.session import materialise
 
 BUCKET = "__bucket"
-MAX_EDGES = 512
+BUCKET_ROWS = 200_000  # rows a bucket should hold; their number grows with the data
+SAMPLE_PER_EDGE = 16
 
 
-def edge_count(spark: SparkSession) -> int:
-    """Edges grow with the cluster's shuffle width and stay broadcastable (at most 2·512² rows)."""
-    return max(2, min(MAX_EDGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def edge_count(df: DataFrame) -> int:
+    """As many edges as the rows need, and at least the shuffle width."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
 
 
-def _edges(df: DataFrame, columns: list[str], count: int) -> list[list[float]]:
-    probabilities = [i / count for i in range(1, count)] or [0.5]
-    quantiles = df.agg(*[F.percentile_approx(c, probabilities, 4 * count).alias(c) for c in columns])
-    # one row of at most MAX_EDGES numbers per column
-    return [sorted(set(found or [])) for found in quantiles.first()]
+def _edges(df: DataFrame, columns: list[str], count: int) -> list[list]:
+    """Distinct edge values per column, from the rows that come first in the order of a hash."""
+    order = [F.xxhash64(*columns), *columns]
+    # SAMPLE_PER_EDGE rows per bucket reach the driver
+    sample = df.select(*columns).orderBy(*order).limit(SAMPLE_PER_EDGE * count).collect()
+    found = []
+    for k in range(len(columns)):
+        values = sorted(row[k] for row in sample)
+        found.append(sorted({values[i * len(values) // count] for i in range(1, count)}) if values else [])
+    return found
 
 
-def _cell(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:
+def _cell(value: Column, edges: list, kind) -> tuple[Column, Column]:
+    """How many edges are not above a value, by halving, and whether the last of them equals it."""
     if not edges:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *edges, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
+        return F.lit(0), F.lit(False)
+    bounds = F.array(*[F.lit(x) for x in edges]).cast(f"array<{kind.simpleString()}>")
+    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
 
+    def step(low: Column, size: Column) -> Column:
+        reached = F.coalesce(F.get(bounds, low + size - 1) <= value, F.lit(False))
+        return F.when(reached, low + size).otherwise(low)
 
-def _known(column: str) -> Column:
-    """The column as double; a null has no place in the order and is an error, not a lost row."""
-    missing = F.raise_error(F.lit(f"null in order column {column}")).cast("double")
-    return F.when(F.col(column).isNull(), missing).otherwise(F.col(column).cast("double"))
+    cell = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
+    return cell, F.coalesce(F.get(bounds, cell - 1) == value, F.lit(False))
+
+
+def _known(df: DataFrame, column: str) -> Column:
+    """The column; a null has no place in the order and is an error, not a lost row."""
+    missing = F.raise_error(F.lit(f"null in order column {column}")).cast(df.schema[column].dataType)
+    return F.when(F.col(column).isNull(), missing).otherwise(F.col(column))
 
 
 def with_order_bucket(df: DataFrame, value: str, tie: str | None = None, edges: int | None = None) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in (``value``, ``tie``).  Both columns are numeric and non-null."""
-    count = edges or edge_count(df.sparkSession)
-    work = df.withColumn("__value", _known(value))
-    columns = ["__value"]
+    """Add ``__bucket``, non-decreasing in (``value``, ``tie``).  Both columns have an order and no nulls."""
+    count = edges or edge_count(df)
+    columns = [value] if tie is None else [value, tie]
+    work = df.withColumns({f"__k{i}": _known(df, c) for i, c in enumerate(columns)})
+    found = _edges(work, [f"__k{i}" for i in range(len(columns))], count)
+    cell, on_edge = _cell(F.col("__k0"), found[0], df.schema[value].dataType)
+    work = work.withColumn("__cell", cell).withColumn("__on", on_edge)
+    slot, width = F.lit(0), 1
     if tie is not None:
-        work = work.withColumn("__tie", _known(tie))
-        columns.append("__tie")
-    found = _edges(work.select(*columns), columns, count)
-    work = _cell(work, "__value", found[0], "__cell")
-    lower = F.array(*[F.lit(x) for x in [float("-inf"), *found[0]]])
-    on_edge = F.col("__value") == F.get(lower, F.col("__cell").cast("int"))
-    if tie is None:
-        slot: Column = F.lit(0)
-        width = 1
-    else:
-        work = _cell(work, "__tie", found[1], "__slot")
-        slot = F.when(on_edge, F.col("__slot").cast("long")).otherwise(F.lit(0))
-        width = len(found[1]) + 1
-    cell = F.col("__cell").cast("long") * 2 + F.when(on_edge, 0).otherwise(1)
-    return work.withColumn(BUCKET, cell * width + slot).drop("__value", "__tie", "__cell", "__slot")
+        inner, _ = _cell(F.col("__k1"), found[1], df.schema[tie].dataType)
+        slot, width = F.when(F.col("__on"), inner).otherwise(F.lit(0)), len(found[1]) + 1
+    place = F.col("__cell").cast("long") * 2 + F.when(F.col("__on"), 0).otherwise(1)
+    return work.withColumn(BUCKET, place * width + slot).drop("__k0", "__k1", "__cell", "__on")
 
 
 def running_totals(
@@ -83,7 +90,7 @@ def running_totals(
     for name, measure in measures.items():
         placed = placed.withColumn(f"__m_{name}", measure)
     sums = placed.groupBy(BUCKET).agg(*[F.sum(f"__m_{n}").alias(f"__s_{n}") for n in measures])
-    # one row per bucket: bounded by the number of edges
+    # one row per bucket: BUCKET_ROWS times fewer than rows, or a fixed number
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(
         BUCKET,

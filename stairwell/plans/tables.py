@@ -102,6 +102,12 @@ def _index(spark, folder):
     return rw.add_index(events, "at", "event_id").select("event_id", "idx")
 
 
+def _index_big(spark, folder):
+    """Keys beyond the exact range of a double, many of them equal; ties are broken by event."""
+    events = views.table(spark, folder, "events").select("event_id", (F.lit(1 << 60) + F.col("user_id")).alias("at"))
+    return rw.add_index(events, "at", "event_id").select("event_id", "idx")
+
+
 def _select(spark, folder):
     """Every document, those of few characters first in the list, and labelled ones a second time."""
     docs = views.table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
@@ -138,6 +144,7 @@ QUERIES = {
     "qa_lookup": _lookup,
     "conll_sentences": _conll,
     "add_idx": _index,
+    "add_idx_big": _index_big,
     "select_by_index": _select,
     "peek": _peek,
     "map_batches": _mapped,
@@ -164,6 +171,7 @@ s AS (
   FROM tags GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS sentence, tokens, pos_tags, chunk_tags, ner_tags FROM s""",
     "add_idx": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events",
+    "add_idx_big": """SELECT event_id, row_number() OVER (ORDER BY 1152921504606846976 + user_id, event_id) - 1 AS idx FROM events""",
     "select_by_index": """SELECT n_chars * 1000000000 + doc_id AS pos, doc_id, lang, n_chars FROM documents
 UNION ALL SELECT -1 - doc_id, doc_id, lang, n_chars FROM labels JOIN documents USING (doc_id)""",
     "peek": f"SELECT doc_id, lang, text FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {PEEK}",

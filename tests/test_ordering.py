@@ -65,6 +65,30 @@ def test_a_null_key_is_an_error(spark):
         od.dense_index(df, "key").collect()
 
 
+@pytest.mark.parametrize("kind,base,step", [("long", 1_700_000_000_000_000_000, 100), ("long", 1 << 60, 1), ("decimal(38,3)", 10**25, 7), ("string", 0, 1)])
+def test_keys_keep_their_own_type(spark, kind, base, step):
+    """Keys beyond the exact range of a double, with ties, and texts."""
+    pick = random.Random(4)
+    keys = [base + step * pick.randrange(300) for _ in range(900)]
+    df = spark.createDataFrame([(str(k), i) for i, k in enumerate(keys)], "key string, tie long").withColumn("key", F.col("key").cast(kind))
+    got = {r.tie: r.idx for r in od.dense_index(df, "key", tie="tie", edges=20).collect()}
+    order = sorted(range(900), key=lambda i: (str(keys[i]) if kind == "string" else keys[i], i))
+    assert got == {i: n for n, i in enumerate(order)}
+
+
+def test_times_are_ordered(spark):
+    df = spark.range(500).select((1_700_000_000_000_000 + (F.col("id") * 7919) % 500).alias("us"), "id")
+    df = df.select(F.timestamp_micros("us").alias("key"), "us")
+    assert [(r.us - 1_700_000_000_000_000, r.idx) for r in od.dense_index(df, "key", edges=16).orderBy("us").collect()] == [(k, k) for k in range(500)]
+
+
+def test_buckets_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(od, "BUCKET_ROWS", 500)
+    for rows in (5_000, 50_000):
+        placed = od.with_order_bucket(spark.range(rows), "id")
+        assert placed.groupBy(od.BUCKET).count().agg(F.max("count")).first()[0] <= 4 * 500
+
+
 def hash_order(ids, seed):
     return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
 
@@ -81,8 +105,9 @@ def test_first_by_hash(spark, n, quota):
 @pytest.mark.parametrize("n", [2, 10, 999, 20000])
 def test_random_stages(spark, n):
     df = spark.range(n).withColumnRenamed("id", "idx")
-    order, split = hash_order(range(n), 5), n // 3
-    want = {(i, x) for i in range(3) for x in order[i * split : i * split + int(1 / 3 * split)]}
+    # A row's stage is its place in the hash order divided by a third of the rows.
+    size = n // 3
+    want = {(place // size, x) for place, x in enumerate(hash_order(range(n), 5)) if size and place < 3 * size and place % size < int(1 / 3 * size)}
     got = cu.random_stages(df, 3, 5).collect()
     assert {(r.stage, r.idx) for r in got} == want and len(got) == len(want)
 
