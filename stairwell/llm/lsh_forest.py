@@ -233,8 +233,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     docs = _documents(docs, key, text)
     sets = stored(forest_rows(docs, width), "forest")
     nodes = sets.where("doc is not null and n_shingles > 0")
-    first = nodes.groupBy("print").agg(F.min("doc").alias("rep"))
-    copies = stored(nodes.select("doc", "print").join(first, "print").select("doc", "rep").where("doc != rep"), "copies")
+    # Sets that occur once need no partner; the others are few enough to meet their copies without a shuffle, mostly.
+    first = nodes.groupBy("print").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("print", "rep")
+    copies = nodes.select("doc", "print").join(small(stored(first, "prints"), 40), "print").select("doc", "rep")
+    copies = stored(copies.where("doc != rep"), "copies")
     alone = nodes.join(small(copies.select("doc").distinct(), 16), "doc", "left_anti")
     heads = alone.select("doc", "print", F.posexplode("heads").alias("tree", "head"))
     shared = heads.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1").select("tree", "head")
