@@ -162,7 +162,7 @@ SELECT source, lang, tokenizer, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS
 _OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE len(embedding) = len(list_filter(embedding, x -> isfinite(x))) AND list_max(list_transform(embedding, x -> abs(x))) > 0),
+  WHERE len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
 r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
