@@ -9,11 +9,12 @@ import pytest
 from compare import connect, mismatch
 
 import __spark_entry__ as entry
+from stairwell.plans.registry import all_oracles, all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,10 @@ def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_the_entry_point_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert {r.part for r in entry.entry(spark).collect()} == {"overall", "HasAns", "NoAns"}
 
