@@ -59,8 +59,12 @@ def window_candidates(
     start_logits: str = "start_logits",
     end_logits: str = "end_logits",
     offsets: str = "offset_mapping",
+    every: bool = False,
 ) -> DataFrame:
-    """Add ``candidates`` (best ``n_best`` spans of the window) and ``null_prediction``.
+    """Add ``candidates`` and ``null_prediction``.
+
+    Starts and ends are the window's best ``n_best``. Of their valid pairs the best ``n_best`` stay, more than a
+    ranking over windows can use, or all of them with ``every``.
 
     ``max_context`` optionally names an array<boolean> that is true where a token
     has its maximum context in this window.
@@ -82,10 +86,11 @@ def window_candidates(
             )
         )
 
+    ranked = F.sort_array(let(tops, pairs))
     first_start, first_end = F.get(start_logits, F.lit(0)), F.get(end_logits, F.lit(0))
     return df.withColumns(
         {
-            "candidates": F.slice(F.sort_array(let(tops, pairs)), F.lit(1), F.lit(n_best)),
+            "candidates": ranked if every else F.slice(ranked, F.lit(1), F.lit(n_best)),
             "null_prediction": F.struct(
                 (first_start + first_end).alias("score"),
                 first_start.alias("start_logit"),

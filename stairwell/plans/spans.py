@@ -92,8 +92,8 @@ def _batch_pad(spark, folder):
     )
 
 
-def _candidates(spark, folder):
-    return nb.window_candidates(views.with_span_logits(views.windows(spark, folder)), N_BEST, MAX_ANSWER)
+def _candidates(spark, folder, every=False):
+    return nb.window_candidates(views.with_span_logits(views.windows(spark, folder)), N_BEST, MAX_ANSWER, every=every)
 
 
 def _nbest(spark, folder):
@@ -110,7 +110,8 @@ def _beam(spark, folder):
 
 
 def _span_rows(spark, folder):
-    rows = nb.span_rows(_candidates(spark, folder), ["doc_id", "window"])
+    """Every valid pair of a window, not only those a ranking over windows can use."""
+    rows = nb.span_rows(_candidates(spark, folder, every=True), ["doc_id", "window"])
     return rows.select("doc_id", "window", "rank", "start_index", "end_index", "score")
 
 
@@ -217,9 +218,8 @@ span AS (
   FROM st JOIN en ON st.doc_id = en.doc_id AND st.w = en.w
   WHERE st.s IS NOT NULL AND en.e IS NOT NULL
     AND en.p >= st.p AND en.p - st.p + 1 <= {MAX_ANSWER}),
-cand AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY score DESC, sp, ep) AS rank
-  FROM span QUALIFY rank <= {N_BEST}),
+every AS (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY score DESC, sp, ep) AS rank FROM span),
+cand AS (SELECT * FROM every WHERE rank <= {N_BEST}),
 nul AS (
   SELECT doc_id, w, sl, el, sl + el AS score FROM lg WHERE p = 0
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sl + el, w) = 1)
@@ -309,7 +309,7 @@ SELECT doc_id, array_to_string(list_resize(l, {FIXED_LENGTH}, '{PAD}'), ' ') AS
 m AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch) / {MULTIPLE}.0) AS BIGINT) * {MULTIPLE} AS padded_length FROM t)
 SELECT doc_id, batch, padded_length, padded_length AS length, padded_length - n AS pads FROM m""",
     "nbest_spans": f"""WITH {SQL_CANDIDATES}
-SELECT doc_id, w AS "window", rank, sp AS start_index, ep AS end_index, score FROM cand""",
+SELECT doc_id, w AS "window", rank, sp AS start_index, ep AS end_index, score FROM every""",
     "null_score": f"""WITH {SQL_CANDIDATES}
 SELECT doc_id, score AS null_score, sl AS start_logit, el AS end_logit, w AS "window" FROM nul""",
     "nbest_topk": f"WITH {SQL_NBEST} SELECT doc_id, rank, text, sl AS start_logit, el AS end_logit FROM listed",
