@@ -39,6 +39,8 @@ GROUP_ROWS = 4000  # surroundings per suffix array, roughly
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 _RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("begin", "<i4"), ("end", "<i4")])
+_LEFT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("begin", "<i4"), ("end", "<i4")])
+_PLACE = np.dtype([("gram", "<u8"), ("begin", "<i4"), ("end", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
@@ -131,6 +133,14 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return kinds, list(zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=False))
 
 
+def _only(records: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The fields of ``kind``, packed."""
+    out = np.empty(len(records), kind)
+    for name in kind.names:
+        out[name] = records[name]
+    return out
+
+
 def _blobs(records: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """(bucket, records as bytes): few rows carry many records through a shuffle."""
     order = np.argsort(bucket, kind="stable")
@@ -288,6 +298,7 @@ class SuffixRepeats:
 
             def send(kind: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
                 if len(records):
+                    records = records if kind == 0 else _only(records, _LEFT)
                     yield _tagged(_blobs(records, _bucket_of(records["doc"], buckets)), kind)
 
             bucket, held, rows, limit, hot = None, [], 0, LIMIT, set()
@@ -323,10 +334,11 @@ class SuffixRepeats:
         def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 for x in part.column(0):
-                    records = np.frombuffer(x.as_py(), _RECORD)
+                    records = np.frombuffer(x.as_py(), _LEFT)
                     records = records[np.argsort(records["doc"], kind="stable")]
                     docs, runs = _runs(records["doc"])
-                    cut = [records[a:b].tobytes() for a, b in runs]
+                    places = _only(records, _PLACE)
+                    cut = [places[a:b].tobytes() for a, b in runs]
                     yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(cut, pa.binary())], ["doc", "records"])
 
         left = settled.where(f"kind = {kind}").select("records").mapInArrow(unpack, "doc long, records binary")
@@ -340,7 +352,7 @@ class SuffixRepeats:
                 for at in range(0, len(part), 256):
                     piece = part.slice(at, 256).to_pydict()
                     for row in zip(piece["doc"], piece["text"], piece["records"], strict=True):
-                        records = np.unique(np.frombuffer(b"".join(row[2]), _RECORD))
+                        records = np.unique(np.frombuffer(b"".join(row[2]), _PLACE))
                         yield from fn(row[0], row[1].encode("utf-8", "replace"), records)
 
         return texts.select("doc", "text", "records").mapInArrow(run, schema)
@@ -348,7 +360,7 @@ class SuffixRepeats:
     def _groups(self, settled: DataFrame) -> DataFrame:
         """Surroundings (cell, gram, doc, begin, piece) of the gathered anchors; a cell's groups share a suffix array."""
         cells = settled.where("kind = 1").agg(F.sum(F.length("records"))).first()[0] or 0
-        cells = max(1, cells // _RECORD.itemsize // GROUP_ROWS)
+        cells = max(1, cells // _LEFT.itemsize // GROUP_ROWS)
 
         def pieces(doc: int, text: bytes, records: np.ndarray) -> Iterator[pa.RecordBatch]:
             cut = [text[a:b] for a, b in zip(records["begin"].tolist(), records["end"].tolist(), strict=True)]
