@@ -27,10 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled rules of their language."""
     docs = quality_rules.with_stratum(docs.select(*COLUMNS))
-    counted = quality_rules.add_base_counts(docs)
-    measures = stored(counted.select("doc_id", "stratum", *quality_rules.COUNTS, "base_failed"), "quality-counts")
-    cutoffs = quality_rules.choose_cutoffs(measures, _table(spark, sf_dir, "labels"))
-    return quality_rules.judge(counted, cutoffs).where("kept").select(*COLUMNS)
+    # Written with the texts: measured once, and no filter can pull the measures' expressions into itself.
+    measured = stored(quality_rules.add_base_counts(docs), "quality-counts")
+    cutoffs = stored(quality_rules.choose_cutoffs(measured, _table(spark, sf_dir, "labels")), "cutoffs")
+    return quality_rules.judge(measured, cutoffs).where("kept").select(*COLUMNS)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
