@@ -7,8 +7,9 @@ crowded and stays at the minimum where it is sparse. In crowded regions the copi
 that original more than each other; so every node also meets the region's most popular node, the one whose
 paths are shared most, at the minimum depth and at full depth.
 
-The first round checks the two likeliest candidates of a node. The second looks for candidates, with many more neighbours,
-only between nodes that are not yet connected, so that a large group of copies costs a few rows per node and tree. A sketch
+The first round checks the two likeliest candidates of a node. The second lets all nodes of a region meet that are not yet
+connected: in a region of LAST_LAG + 1 rows at most, as neighbours in the order; a larger one is cut into blocks of about
+BLOCK rows that meet two by two, where the rows of the region's largest group meet only the others. A sketch
 of the signature drops candidates that are far below the threshold; every link is confirmed on the full sets.
 
 Defined results: null or empty text, or text without words, has an empty set and is linked with nothing; a null id is
@@ -30,6 +31,9 @@ from stairwell.llm.common import connected_components, small, stored
 
 TREES, DEPTH, MIN_DEPTH = 20, 8, 4
 FIRST_LAG, LAST_LAG = 2, 16  # neighbours before a row in the two rounds
+BLOCK = 512  # rows of a crowded region that meet as one block
+BLOCK_ROWS = 50_000  # rows of blocks per task, roughly
+DENSE, DENSE_ROWS = 256, 256  # pairs of a document from which its pairs are confirmed in blocks, and documents per block
 SLACK = 0.13  # how far below the threshold a sketch may lie: over 4.5 standard deviations of 160 hashes
 CACHE_WORDS = 400_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -172,6 +176,42 @@ def _neighbours(rows: DataFrame, lag: int, least: float, parts: int) -> DataFram
     return found.where("a is not null").select("a", "b", "alike").unionByName(cuts.where(F.col("alike") >= least))
 
 
+def _crowded(rows: DataFrame, regions: DataFrame, least: float, parts: int) -> DataFrame:
+    """(a, b): all rows of different groups that share a region of ``regions`` (tree, head, n, main, n_main), each pair once.
+
+    The rows of the region's largest group, ``main``, need not meet each other.
+    """
+    regions = regions.withColumn("x_blocks", F.ceil(F.col("n_main") / BLOCK)).withColumn("y_blocks", F.ceil((F.col("n") - F.col("n_main")) / BLOCK))
+    size = regions.agg(F.sum(F.expr("n_main * y_blocks + (n - n_main) * (x_blocks + y_blocks)"))).first()[0] or 0
+    buckets = max(parts, int(size) // BLOCK_ROWS)
+    rows = rows.join(small(regions.select("tree", "head", "main", "x_blocks", "y_blocks"), 48), ["tree", "head"])
+    # Blocks of the main group count from 0, the others' from x_blocks; a cell is a pair of blocks, x <= y.
+    rows = rows.withColumn("block", F.expr("if(grp = main, pmod(xxhash64(doc), x_blocks), x_blocks + pmod(xxhash64(doc), y_blocks))"))
+    others = "transform(sequence(0, x_blocks + y_blocks - 1), j -> named_struct('x', least(j, block), 'y', greatest(j, block)))"
+    main = "transform(sequence(x_blocks, x_blocks + y_blocks - 1), j -> named_struct('x', block, 'y', j))"
+    rows = rows.select("tree", "head", "doc", "grp", "sketch", "block", F.explode(F.expr(f"if(grp = main, {main}, {others})")).alias("cell"))
+    rows = rows.select(F.xxhash64("tree", "head", "cell.x", "cell.y").alias("cell"), "doc", "grp", "sketch", (F.col("block") == F.col("cell.x")).alias("x"), (F.col("block") == F.col("cell.y")).alias("y"))
+    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(cell), {buckets})"))
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cell", kind="stable")
+        cell, doc, grp, in_x, in_y = (part[c].to_numpy() for c in ("cell", "doc", "grp", "x", "y"))
+        sketch = np.frombuffer(b"".join(part["sketch"]), "u1").reshape(len(part), -1)
+        starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        out = [np.empty((0, 2), "i8")]
+        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            left, right = (begin + np.flatnonzero(side[begin:end]) for side in (in_x, in_y))
+            for k in left.tolist():
+                # A block meets itself once.
+                near = right[(grp[right] != grp[k]) & (doc[right] != doc[k]) & ((doc[right] > doc[k]) | ~(in_y[k] & in_x[right]))]
+                near = near[_alike(sketch[near], sketch[k]) >= least]
+                if len(near):
+                    out.append(np.column_stack([np.minimum(doc[near], doc[k]), np.maximum(doc[near], doc[k])]))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    return rows.groupBy("bucket").applyInPandas(meet, "a long, b long")
+
+
 def _likeness(a: str, b: str):
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -209,19 +249,47 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     wanted = docs.join(small(ids, 16), "doc", "left_semi").select("doc", "text")
     table = stored(wanted.mapInArrow(sets, "doc long, shingles binary").distinct(), "shingles")
 
+    def same(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+        if not (len(x) and len(y)) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-            both = len(x) + len(y)
-            common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-            out.append(bool(len(x) and len(y)) and 100 * common >= percent * (both - common))
-        return pd.Series(out, dtype=bool)
-
-    left = pairs.join(table.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(table.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.where(linked("x", "y")).select("a", "b").distinct(), "links")
+        return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(table.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+        both = left.join(table.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.where(linked("x", "y")).select("a", "b")
+
+    # Documents that are in many pairs with each other meet in blocks, so that no set is sent once per pair.
+    often = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("doc")
+    often = stored(often, "often")
+    count = often.count()
+    if not count:
+        return stored(joined(pairs).distinct(), "links")
+    known = small(often.withColumn("known", F.lit(True)), 24, count)
+    marked = pairs.select("a", "b")
+    for end in ("a", "b"):
+        marked = marked.join(known.select(F.col("doc").alias(end), F.col("known").alias(f"{end}_known")), end, "left")
+    marked = stored(marked.select("a", "b", F.expr("a_known is not null and b_known is not null").alias("dense")), "marked")
+    blocks = -(-count // DENSE_ROWS)
+    block = lambda end: F.expr(f"pmod(xxhash64({end}), {blocks})")
+    dense = marked.where("dense").select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
+    needed = dense.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("doc")).distinct().join(table, "doc")
+
+    def confirm(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, list[bytes]] = {}
+        for doc, x in zip(sets["doc"].tolist(), sets["shingles"], strict=True):
+            found.setdefault(doc, []).append(x)  # an id may have several texts
+        good = [any(same(x, y) for x in found.get(a, []) for y in found.get(b, [])) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
+        return pairs.loc[np.array(good, bool), ["a", "b"]]
+
+    met = dense.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInPandas(confirm, "a long, b long")
+    return stored(joined(marked.where("not dense").select("a", "b")).unionByName(met).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,9 +334,12 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     rest = rows.join(found, "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
     rest = stored(rest, "rest")
     # Only regions that hold two groups still matter.
-    mixed = rest.groupBy("tree", "head").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("tree", "head")
-    rest = rest.join(mixed, ["tree", "head"])
-    pairs = _pivots(rest, least).unionByName(_neighbours(rest, LAST_LAG, least, parts)).select("a", "b").distinct()
+    sizes = rest.groupBy("tree", "head", "grp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"), F.count("*").alias("groups"))
+    mixed = stored(sizes.where("groups > 1").select("tree", "head", "n", F.col("top.grp").alias("main"), F.col("top.n").alias("n_main")), "mixed")
+    near = rest.join(mixed.where(F.col("n") <= LAST_LAG + 1).select("tree", "head"), ["tree", "head"])
+    crowds = mixed.where(F.col("n") > LAST_LAG + 1)
+    pairs = _crowded(rest, crowds, least, parts).unionByName(_neighbours(near, LAST_LAG, least, parts).select("a", "b")).distinct()
     pairs = stored(pairs.join(ranked, ["a", "b"], "left_anti"), "second")
     edges = edges.unionByName(_confirmed(pairs, docs, width, percent))
     found = stored(connected_components(edges), "components")

@@ -70,6 +70,31 @@ def test_like_brute_force(spark):
             assert (r.component_id, r.kept, r.n_shingles) == (want[r.doc_id], want[r.doc_id] == r.doc_id, len(shingles(by[r.doc_id])))
 
 
+def test_all_groups_of_a_crowded_region_meet(spark, monkeypatch):
+    """600 rows tie on one path, far more than the lag: every pair of different groups is a candidate once."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 70)
+    group = [0] * 200 + [1] * 100 + list(range(2, 302))
+    rows = [(0, 5, b"t" * 16, d, g, b"s" * 160) for d, g in enumerate(group)]
+    df = spark.createDataFrame(rows, "tree int, head long, tail binary, doc long, grp long, sketch binary").repartition(4)
+    regions = spark.createDataFrame([(0, 5, 600, 0, 200)], "tree int, head long, n long, main long, n_main long")
+    got = [tuple(r) for r in lsh_forest._crowded(df, regions, 0.72, 2).collect()]
+    want = {(a, b) for b in range(600) for a in range(b) if group[a] != group[b]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dense_pairs_are_confirmed_like_single_ones(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [str(rng.random()) for _ in range(60)]
+    texts = [" ".join(base[: rng.randint(48, 60)] + [str(k)] * (k % 3)) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    pairs = spark.createDataFrame([(a, b) for b in range(30) for a in range(b)] + [(30, 31)], "a long, b long")
+    want = {(a, b) for b in range(30) for a in range(b) if 100 * len(shingles(texts[a]) & shingles(texts[b])) >= 85 * len(shingles(texts[a]) | shingles(texts[b]))}
+    for limit in (1000, 8):
+        monkeypatch.setattr(lsh_forest, "DENSE", limit)
+        monkeypatch.setattr(lsh_forest, "DENSE_ROWS", limit)
+        assert {tuple(r) for r in lsh_forest._confirmed(pairs, docs, 3, 85).collect()} == want
+
+
 def test_no_rows(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85).collect() == []
 
