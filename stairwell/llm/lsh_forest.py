@@ -153,8 +153,8 @@ def _neighbours(rows: DataFrame, lag: int, least: float, parts: int) -> DataFram
             whole = part if last is None else pd.concat([last, part], ignore_index=True)
             found = pairs(whole)
             if last is not None:  # pairs within the rows kept from before have been sent already
-                old = pairs(last)
-                found = pd.concat([found, old, old]).drop_duplicates(["a", "b"], keep=False)
+                old = pairs(last).drop_duplicates(["a", "b"])
+                found = pd.concat([old, found]).drop_duplicates(["a", "b"]).iloc[len(old) :]
             yield found.assign(edge=None)
             first = whole.iloc[:lag] if first is None or len(first) < lag else first
             last = whole.iloc[-lag:].reset_index(drop=True)

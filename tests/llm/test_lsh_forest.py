@@ -82,6 +82,19 @@ def test_all_groups_of_a_crowded_region_meet(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_several_trees_in_a_later_batch(spark):
+    """Every pair is found in two trees of the same Arrow batch."""
+    rows = [(t, t, b"t" * 16, 10 * (t // 2) + d, 10 * (t // 2) + d, b"s" * 160) for t in range(40) for d in range(4)]
+    df = spark.createDataFrame(rows, "tree int, head long, tail binary, doc long, grp long, sketch binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "24")
+    try:
+        got = {(r.a, r.b) for r in lsh_forest._neighbours(df, 3, 0.72, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(10 * j + a, 10 * j + b) for j in range(20) for b in range(4) for a in range(b)}
+
+
 def test_dense_pairs_are_confirmed_like_single_ones(spark, monkeypatch):
     rng = random.Random(3)
     base = [str(rng.random()) for _ in range(60)]
