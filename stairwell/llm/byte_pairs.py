@@ -12,7 +12,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stairwell.llm.common import stored
+from stairwell.llm.common import small, stored
 
 # Words and pre-tokens that a worker remembers before it starts over.
 CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
@@ -155,7 +154,7 @@ class ByteBpe:
         def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 for i, x in enumerate(part.column(1)):
-                    x, doc = x.as_py(), uuid.uuid4().hex
+                    x, doc = x.as_py(), part.column(2)[i].as_py()
                     for k, at in enumerate(range(0, len(x), chunk)):
                         start = max(0, at - overlap)
                         piece = pa.array([x[start : at + chunk + overlap]])
@@ -165,8 +164,12 @@ class ByteBpe:
         names = [key, "doc", "k", "start", "at", "size", "piece"]
         kind = docs.schema[key].dataType.simpleString()
         schema = f"`{key}` {kind}, doc string, k long, start long, at long, size long, piece string"
-        table = docs.where(F.length("text") > chunk).mapInArrow(cut, schema).repartition("doc", "k")
-        table = stored(table, "chunks")
+        # A long row's name follows from its key and text, so a task that is run again cuts the same chunks; equal rows share one.
+        long = docs.where(F.length("text") > chunk)
+        long = long.select(key, "text", F.sha2(F.concat(F.to_json(F.struct(key)), F.lit("\0"), "text"), 256).alias("doc"))
+        counts = long.groupBy("doc").agg(F.count("*").alias("n"))
+        counts = stored(counts.where("n > 1"), "counts")
+        table = stored(long.mapInArrow(cut, schema).dropDuplicates(["doc", "k"]), "chunks")
 
         @F.pandas_udf("struct<head:array<int>,tail:array<int>>")
         def starts(start: pd.Series, at: pd.Series, size: pd.Series, piece: pd.Series) -> pd.DataFrame:
@@ -205,11 +208,15 @@ class ByteBpe:
         # Chunks that never agree: their nominal pieces are put together again and split at once.
         nominal = F.col("piece").substr(F.col("at") - F.col("start") + 1, F.lit(chunk))
         again = joined.where("not sure").groupBy("doc").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("k", nominal.alias("x")))).alias("xs"))
-        again = self._whole(again.select(key, F.array_join("xs.x", "").alias("text")), key)
+        again = again.join(small(counts, 80), "doc", "left")
+        # Equal rows have equal ids: each is sent as often as it occurs.
+        times = F.explode(F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1)).cast("int")))
+        again = self._whole(again.select(key, F.array_join("xs.x", "").alias("text"), times.alias("time")), key)
 
         @F.pandas_udf("binary")
         def together(parts: pd.Series) -> pd.Series:
             return parts.map(lambda x: b"".join(x))
 
         done = done.groupBy("doc").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("k", "part"))).alias("xs"))
-        return done.select(key, together(F.col("xs.part")).alias("ids")).unionByName(again)
+        done = done.join(small(counts, 80), "doc", "left").select(key, together(F.col("xs.part")).alias("ids"), "n")
+        return done.select(key, "ids", times.alias("time")).drop("time").unionByName(again)

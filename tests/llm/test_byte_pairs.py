@@ -7,7 +7,9 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from stairwell.llm import byte_pairs
 from stairwell.llm.byte_pairs import ByteBpe, read_ranks
+from stairwell.llm.common import stored
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TEXTS = [
@@ -33,6 +35,21 @@ def test_like_the_whole_text(spark, chunk, overlap):
         assert bytes(row.bytes) == text.encode()
 
 
+def test_chunks_have_the_same_names_in_every_run(spark, monkeypatch):
+    """What a task writes when it is run again must fit what others wrote before; equal rows are all kept."""
+    kept = []
+    monkeypatch.setattr(byte_pairs, "stored", lambda df, label: kept.append((label, df)) or stored(df, label))
+    text, run = "the cat sat, on 12 mats!! " * 40, "q" * 400
+    rows = [(1, text), (1, text), (1, text + "x"), (2, text), (None, text), (None, text), (3, run), (3, run)]
+    model = ByteBpe(spark, PATH, public_tokenizers.PATTERN, 64, 16)
+    got = model.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    decoded = [(r.doc_id, bytes(r.b).decode()) for r in got.select("doc_id", model.decode(F.col("ids")).alias("b")).collect()]
+    assert sorted(decoded, key=str) == sorted(rows, key=str)
+    chunks = next(df for label, df in kept if label == "chunks")
+    first, again = (sorted(chunks.select("doc", "k").collect()) for _ in range(2))  # two plans: nothing of the first is used again
+    assert first == again
+
+
 def test_no_rows(spark):
     model = ByteBpe(spark, PATH, public_tokenizers.PATTERN)
     got = model.encode(spark.createDataFrame([], "doc_id long, text string"))
