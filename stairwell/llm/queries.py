@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stairwell.llm import binary_codes, license_scan, lsh_forest, packing, quality_rules, semantic_votes, toxic_spans
+from stairwell.llm import binary_codes, license_scan, lsh_forest, packing, periodic_runs, quality_rules, semantic_votes, toxic_spans
 from stairwell.llm.byte_pairs import ByteBpe
 from stairwell.llm.common import shared_folder, stored
+from stairwell.llm.merkle_manifest import MerkleManifest, leaf_digest
+from stairwell.llm.subword_lattice import SubwordLattice
 from stairwell.llm.suffix_repeats import SuffixRepeats
 from stairwell.llm.token_rollups import TokenRollups
 
@@ -113,6 +117,89 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document by all segmentations of its words, learnt outside the held-out seventh."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = SubwordLattice(docs, public_tokenizers.path("piece_bpe_32k.model"), learn=~_fold(7, 2))
+    return model.score().select("doc_id", _fold(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _with_repetitions(text: pd.Series, crc: pd.Series) -> pd.Series:
+    """Texts whose crc ends in 0 repeat, from a word on, a few words of theirs up to their end."""
+    out = []
+    for t, h in zip(text, crc, strict=True):
+        words = periodic_runs.words_of(t) if h is not None and h % 10 == 0 else []
+        if n := len(words):
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            t = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode()
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, of which a tenth gets one of its own."""
+    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1).cast("long"))
+    repeat = F.pandas_udf(_with_repetitions, "string")
+    docs = _table(spark, folder, "documents").select("doc_id", repeat("text", crc).alias("text"))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return periodic_runs.add_runs(docs).select("doc_id", *periodic_runs.RESULTS[:5], digest("runs"), digest("collapsed"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and verdict in a manifest of a tree per language; a third is tampered with after it was made."""
+    docs = _table(spark, folder, "documents")
+    before = ["doc_id", "source", "lang", "n_chars"]
+    digest = lambda text: leaf_digest([*map(F.col, before), text])
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaves = docs.select("doc_id", "lang", digest(F.col("text")).alias("leaf"), F.when(third, digest(lower)).alias("tampered"))
+    out = MerkleManifest(leaves, "lang", "doc_id", "leaf", ["tampered"]).proofs(changed="tampered")
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _op13_sql(levels: int = 11) -> str:
+    """The same manifest level by level, for up to 8^levels documents of a language."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode({c})) AS VARCHAR) || ':' || {c}, '-')"
+    fields = " || ".join(field(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+    leaf = lambda text: f"sha256({fields} || {field(text)})"
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: [CAST(ord(s) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    bit = "xor(xor(c, x) >> 1, CAST(3988292384 AS UBIGINT) * (xor(c, x) & 1))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {steps}), lambda c, x: {bit}), CAST(4294967295 AS UBIGINT))"
+    sql = f"""WITH d AS (SELECT *, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS tampered FROM documents),
+a0 AS (SELECT coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+       count(*) OVER (PARTITION BY lang) AS n, leaf AS digest, doc_id, leaf, tampered FROM d)"""
+    for side, base in (("a", "a"), ("b", "b")):
+        if side == "b":
+            sql += f""",
+b0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest, tree AS name FROM a{levels})"""
+        for k in range(levels):
+            near = f"array_to_string(list(digest) OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN "
+            sql += f""",
+{base}p{k} AS (SELECT tree, pos, n, CASE WHEN n > 1 THEN coalesce({near}UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '') END AS l,
+        CASE WHEN n > 1 THEN coalesce({near}1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), '') END AS r FROM {base}{k}),
+{base}{k + 1} AS (SELECT tree, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+        FROM {base}{k} GROUP BY tree, pos // 8, n)"""
+    # Siblings are gathered and folded leaf by leaf.
+    sql += """,
+f0 AS (SELECT a0.tree, a0.pos, doc_id, leaf, coalesce(tampered, leaf) AS fold, '' AS proof FROM a0)"""
+    for k in range(levels):
+        sql += f""",
+f{k + 1} AS (SELECT f{k}.tree, f{k}.pos // 8 AS pos, doc_id, leaf, CASE WHEN p.l IS NULL THEN fold ELSE sha256(p.l || fold || p.r) END AS fold,
+        proof || coalesce(p.l || p.r, '') AS proof FROM f{k} JOIN ap{k} p ON f{k}.tree = p.tree AND f{k}.pos = p.pos)"""
+    sql += f""",
+g0 AS (SELECT f.*, a{levels}.digest AS subroot, b0.pos AS place FROM f{levels} f JOIN a{levels} ON f.tree = a{levels}.tree JOIN b0 ON f.tree = b0.name)"""
+    for k in range(levels):
+        sql += f""",
+g{k + 1} AS (SELECT g.tree, doc_id, leaf, subroot, g.place // 8 AS place, CASE WHEN p.l IS NULL THEN fold ELSE sha256(p.l || fold || p.r) END AS fold,
+        proof || coalesce(p.l || p.r, '') AS proof FROM g{k} g JOIN bp{k} p ON g.place = p.pos)"""
+    return f"""{sql}
+SELECT doc_id, leaf, subroot, b{levels}.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b{levels}.digest AS verified
+FROM g{levels}, b{levels}"""
+
+
 def _op4_sql() -> str:
     """The same counts by unnested words and windows; the binomial sums by the logarithm of the gamma function."""
     cuts = ", ".join(
@@ -179,5 +266,8 @@ QUERIES = {
     "op8_lsh_forest": op8_lsh_forest,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_votes": op10_quality_votes,
+    "op11_subword_lattice": op11_subword_lattice,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE = {"op2_binary_codes": _OP2_SQL, "op3_token_rollups": _OP3_SQL, "op4_quality_rules": _op4_sql()}
+ORACLE = {"op2_binary_codes": _OP2_SQL, "op3_token_rollups": _OP3_SQL, "op4_quality_rules": _op4_sql(), "op13_merkle_manifest": _op13_sql()}
