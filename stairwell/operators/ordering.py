@@ -1,16 +1,16 @@
 """Global order without a single-task sort: running totals, dense ids, average ranks.
 
-A plain ``Window.orderBy`` puts every row into one task.  Here rows are first
-placed into buckets that follow the order; each bucket is summed, the bucket
-sums are accumulated (a table bounded by the number of buckets, not by the
-data), and only the remainder is accumulated inside each bucket.
-
-Bucket edges are values of a sample of the rows, in the columns' own types: numbers of
-any size, times and texts keep their exact order. A value that fills an edge gets
-a bucket of its own, cut further by the sample's values of the tie column, so no bucket
-holds more than a few edge steps of the rows, however often a value repeats.
-The edges are fixed values in the plan: recomputing a lost partition places
-every row in the same bucket.
+A plain ``Window.orderBy`` puts every row into one task.  Here a range shuffle places the
+rows into buckets that follow the order, and the placed rows are written once as a table: every
+later pass, and every repeated task, sees the same buckets.  Each bucket is summed, the
+sums are accumulated on two levels (within groups of buckets, and over the groups), and only
+the remainder is accumulated inside each bucket.
+
+Bucket edges are found and kept by Spark's range partitioner in the columns' own types, so
+numbers of any size, times and texts keep their exact order.  Its sample has a fixed bound
+however many rows there are, and no edge becomes part of a plan: a plan has
+the same size for any number of rows.  Edges hold the tie column too, so a value that
+repeats, however often, is cut like any other stretch of the order.
 """
 
 from __future__ import annotations
@@ -20,42 +20,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stairwell.session import materialise
 
 BUCKET = "__bucket"
+PLACE = "__place"
 BUCKET_ROWS = 200_000  # rows a bucket should hold; their number grows with the data
-SAMPLE_PER_EDGE = 16
+GROUP = 4_096  # buckets whose sums are accumulated by one task
+BROADCAST_BUCKETS = 500_000  # rows up to which a table of buckets is broadcast
 
 
 def edge_count(df: DataFrame) -> int:
-    """As many edges as the rows need, and at least the shuffle width."""
+    """As many buckets as the rows need, and at least the shuffle width."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
 
 
-def _edges(df: DataFrame, columns: list[str], count: int) -> list[list]:
-    """Distinct edge values per column, from the rows that come first in the order of a hash."""
-    order = [F.xxhash64(*columns), *columns]
-    # SAMPLE_PER_EDGE rows per bucket reach the driver
-    sample = df.select(*columns).orderBy(*order).limit(SAMPLE_PER_EDGE * count).collect()
-    found = []
-    for k in range(len(columns)):
-        values = sorted(row[k] for row in sample)
-        found.append(sorted({values[i * len(values) // count] for i in range(1, count)}) if values else [])
-    return found
-
-
-def _cell(value: Column, edges: list, kind) -> tuple[Column, Column]:
-    """How many edges are not above a value, by halving, and whether the last of them equals it."""
-    if not edges:
-        return F.lit(0), F.lit(False)
-    bounds = F.array(*[F.lit(x) for x in edges]).cast(f"array<{kind.simpleString()}>")
-    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
-
-    def step(low: Column, size: Column) -> Column:
-        reached = F.coalesce(F.get(bounds, low + size - 1) <= value, F.lit(False))
-        return F.when(reached, low + size).otherwise(low)
-
-    cell = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
-    return cell, F.coalesce(F.get(bounds, cell - 1) == value, F.lit(False))
-
-
 def _known(df: DataFrame, column: str) -> Column:
     """The column; a null has no place in the order and is an error, not a lost row."""
     missing = F.raise_error(F.lit(f"null in order column {column}")).cast(df.schema[column].dataType)
@@ -63,19 +38,38 @@ def _known(df: DataFrame, column: str) -> Column:
 
 
 def with_order_bucket(df: DataFrame, value: str, tie: str | None = None, edges: int | None = None) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in (``value``, ``tie``).  Both columns have an order and no nulls."""
-    count = edges or edge_count(df)
-    columns = [value] if tie is None else [value, tie]
-    work = df.withColumns({f"__k{i}": _known(df, c) for i, c in enumerate(columns)})
-    found = _edges(work, [f"__k{i}" for i in range(len(columns))], count)
-    cell, on_edge = _cell(F.col("__k0"), found[0], df.schema[value].dataType)
-    work = work.withColumn("__cell", cell).withColumn("__on", on_edge)
-    slot, width = F.lit(0), 1
-    if tie is not None:
-        inner, _ = _cell(F.col("__k1"), found[1], df.schema[tie].dataType)
-        slot, width = F.when(F.col("__on"), inner).otherwise(F.lit(0)), len(found[1]) + 1
-    place = F.col("__cell").cast("long") * 2 + F.when(F.col("__on"), 0).otherwise(1)
-    return work.withColumn(BUCKET, place * width + slot).drop("__k0", "__k1", "__cell", "__on")
+    """Add ``__bucket``, non-decreasing in (``value``, ``tie``), and ``__place``, 0.. in each bucket.  Stored.
+
+    Both columns have an order and no nulls.  Rows equal in both share a bucket.
+    """
+    order = [value] if tie is None else [value, tie]
+    known = df.withColumns({c: _known(df, c) for c in order})
+    placed = known.repartitionByRange(edges or edge_count(df), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition's number above bit 33, the row's below
+    placed = placed.withColumn("__at", at)
+    places = {BUCKET: F.shiftright("__at", 33), PLACE: F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}
+    return materialise(placed).withColumns(places).drop("__at")
+
+
+def sums_before(placed: DataFrame, totals: dict[str, Column], more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per bucket: the ``totals`` of all buckets before it, as ``__before_<name>``, and its own, with ``more``.  Stored."""
+    sums = placed.groupBy(BUCKET).agg(*[c.alias(n) for n, c in {**totals, **(more or {})}.items()])
+    sums = materialise(sums).withColumn("__group", F.floor(F.col(BUCKET) / GROUP))
+    groups = sums.groupBy("__group").agg(*[F.sum(n).alias(f"__all_{n}") for n in totals])
+    # one row per GROUP buckets, that is per GROUP * BUCKET_ROWS rows
+    earlier = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("__group", *[F.sum(f"__all_{n}").over(earlier).alias(f"__all_{n}") for n in totals])
+    inside = Window.partitionBy("__group").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0)
+    based = sums.join(groups, "__group").withColumns(
+        {f"__before_{n}": F.coalesce(F.sum(n).over(inside), nothing) + F.coalesce(f"__all_{n}", nothing) for n in totals}
+    )
+    return materialise(based.drop("__group", *[f"__all_{n}" for n in totals]))
+
+
+def join_buckets(placed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows with the columns of their bucket; ``buckets`` is stored and broadcast only if it is small by its count."""
+    return placed.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets, BUCKET)
 
 
 def running_totals(
@@ -86,29 +80,20 @@ def running_totals(
     edges: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` in the order (``value``, ``tie``)."""
-    placed = with_order_bucket(df, value, tie, edges)
-    for name, measure in measures.items():
-        placed = placed.withColumn(f"__m_{name}", measure)
-    sums = placed.groupBy(BUCKET).agg(*[F.sum(f"__m_{n}").alias(f"__s_{n}") for n in measures])
-    # one row per bucket: BUCKET_ROWS times fewer than rows, or a fixed number
-    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        BUCKET,
-        *[F.sum(f"__s_{n}").over(earlier).alias(f"__b_{n}") for n in measures],
-    )
-    order = [value] if tie is None else [value, tie]
-    inside = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(bases), BUCKET)
-    for name in measures:
-        local = F.sum(f"__m_{name}").over(inside)
-        out = out.withColumn(name, local + F.coalesce(F.col(f"__b_{name}"), F.lit(0)))
-    return out.drop(BUCKET, *[f"__m_{n}" for n in measures], *[f"__b_{n}" for n in measures])
+    placed = with_order_bucket(df, value, tie, edges).withColumns({f"__m_{n}": m for n, m in measures.items()})
+    bases = sums_before(placed, {f"__s_{n}": F.sum(f"__m_{n}") for n in measures}).drop(*[f"__s_{n}" for n in measures])
+    inside = Window.partitionBy(BUCKET).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    out = join_buckets(placed, bases)
+    out = out.withColumns({n: F.sum(f"__m_{n}").over(inside) + F.col(f"__before___s_{n}") for n in measures})
+    return out.drop(BUCKET, PLACE, *[f"__m_{n}" for n in measures], *[f"__before___s_{n}" for n in measures])
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx", tie: str | None = None, edges: int | None = None) -> DataFrame:
     """Add 0..n-1 in the order of ``key`` (then ``tie``); the two together are unique."""
-    out = running_totals(df, key, {name: F.lit(1).cast("long")}, tie, edges)
-    return out.withColumn(name, F.col(name) - 1)
+    placed = with_order_bucket(df, key, tie, edges)
+    bases = sums_before(placed, {"__rows": F.count("*")}).drop("__rows")
+    out = join_buckets(placed, bases)
+    return out.withColumn(name, F.col("__before___rows") + F.col(PLACE)).drop(BUCKET, PLACE, "__before___rows")
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank", weight: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stairwell.functions.arrays import let, multiset_overlap
 from stairwell.functions.text import normalize_answer, space_tokens
-from stairwell.operators.ordering import BUCKET, running_totals, with_order_bucket
+from stairwell.operators.ordering import BUCKET, PLACE, join_buckets, running_totals, sums_before, with_order_bucket
 from stairwell.session import materialise
 
 # Scores are summed as decimals: the total does not depend on the order of addition,
@@ -141,18 +141,14 @@ def _hopeful_buckets(placed: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     Inside a bucket the sum rises by at most its positive parts; if that stays
     below a value some bucket ends on, the bucket need not be walked row by row.
     """
-    sums = placed.groupBy(BUCKET).agg(
-        *[F.sum(m).alias(f"all_{m}") for m in measures],
-        *[F.sum(F.when(F.col(m) > 0, F.col(m)).otherwise(0)).alias(f"up_{m}") for m in measures],
-    )
-    # one row per bucket: bounded by the number of edges
-    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    based = sums.withColumns({f"base_{m}": F.coalesce(F.sum(f"all_{m}").over(earlier), F.lit(0)) for m in measures})
-    ends = {f"end_{m}": F.max(F.col(f"base_{m}") + F.col(f"all_{m}")).over(Window.partitionBy()) for m in measures}
+    ups = {f"up_{m}": F.sum(F.when(F.col(m) > 0, F.col(m)).otherwise(0)) for m in measures}
+    based = sums_before(placed, {f"all_{m}": F.sum(m) for m in measures}, ups)
+    based = based.withColumnsRenamed({f"__before_all_{m}": f"base_{m}" for m in measures})
+    ends = based.agg(F.struct(*[F.max(F.col(f"base_{m}") + F.col(f"all_{m}")).alias(m) for m in measures]).alias("ends")).scalar()
     reachable = F.lit(False)
     for m in measures:
-        reachable = reachable | (F.col(f"base_{m}") + F.col(f"up_{m}") >= F.greatest(f"end_{m}", F.lit(0)))
-    return based.withColumns(ends).filter(reachable).select(BUCKET, *[f"base_{m}" for m in measures])
+        reachable = reachable | (F.col(f"base_{m}") + F.col(f"up_{m}") >= F.greatest(f"__ends.{m}", F.lit(0)))
+    return materialise(based.withColumn("__ends", ends).filter(reachable).select(BUCKET, *[f"base_{m}" for m in measures]))
 
 
 def best_threshold(
@@ -179,8 +175,8 @@ def best_threshold(
     gains = materialise(scored.select(na_prob, pos, gain("exact", "long").alias("e"), gain("f1", EXACT_SUM).alias("f")))
     placed = with_order_bucket(gains, na_prob, pos)
     hopeful = _hopeful_buckets(placed, ("e", "f"))
-    inside = Window.partitionBy(BUCKET).orderBy(na_prob, pos).rowsBetween(Window.unboundedPreceding, 0)
-    walked = placed.join(F.broadcast(hopeful), BUCKET)
+    inside = Window.partitionBy(BUCKET).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    walked = join_buckets(placed, hopeful)
     walked = walked.withColumns({f"c_{m}": F.col(f"base_{m}") + F.sum(m).over(inside) for m in ("e", "f")})
 
     def peak(m: str) -> Column:

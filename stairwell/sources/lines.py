@@ -1,7 +1,6 @@
-"""Line order of splittable text files.
+"""Row order of files that Spark reads in splits.
 
-Spark reads a large text file in splits.  The number of records per split is a
-table of one row per split; accumulating it per file gives every record its
+The number of records per split is a table of one row per split; accumulating it gives every record its
 place in the file without sorting or gathering the records.
 """
 
@@ -9,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from stairwell.session import materialise
+
+BROADCAST_SPLITS = 500_000  # splits up to which their table is broadcast
+
 
 def read_records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """``value, __file, __split, __at``: raw records with their split and order within it."""
@@ -20,18 +23,39 @@ def read_records(spark: SparkSession, path: str, separator: str | None = None) -
     )
 
 
+def _offsets(stored: DataFrame, over: list[str]) -> DataFrame:
+    """(``__file``, ``__split``, ``__shift``): what to add to a row's ``__id`` to get its place among the rows of ``over``.
+
+    ``monotonically_increasing_id`` counts on within a split; subtracting the split's smallest id and adding the rows of
+    earlier splits gives the place.  One row per split; broadcast if their count allows it.
+    """
+    splits = stored.groupBy("__file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*over).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
+    shifts = materialise(splits.select("__file", "__split", shift.alias("__shift")))
+    return F.broadcast(shifts) if shifts.count() <= BROADCAST_SPLITS else shifts
+
+
 def number_in_file(rows: DataFrame, name: str = "pos") -> DataFrame:
-    """Add 0..n-1 per file to rows that still are in read order (after filters and explodes).
+    """Add 0..n-1 per file to rows that still are in read order (after filters and explodes), and ``file``.
 
-    ``monotonically_increasing_id`` counts on within a split; subtracting the
-    split's smallest id and adding the rows of earlier splits gives the place.
-    Both uses see the same file splits, so the ids agree.
+    The rows are written once with their split and order, so counting and numbering see the same rows
+    even if the file is replaced or cut differently meanwhile.
     """
-    marked = rows.withColumn("__id", F.monotonically_increasing_id())
-    splits = marked.groupBy("__file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    # one row per split of a file
-    earlier = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = splits.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    joined = marked.join(bases, ["__file", "__split"])
-    place = (F.col("__base") + F.col("__id") - F.col("__first")).alias(name)
+    stored = materialise(rows.withColumn("__id", F.monotonically_increasing_id()))
+    joined = stored.join(_offsets(stored, ["__file"]), ["__file", "__split"])
+    place = (F.col("__id") + F.col("__shift")).alias(name)
     return joined.select(*[c for c in rows.columns if not c.startswith("__")], F.col("__file").alias("file"), place)
+
+
+def with_position(table: DataFrame, name: str = "pos") -> DataFrame:
+    """Add 0..n-1 in file order (files by path) to a table as it comes from its reader.
+
+    ``table`` still has the reader's hidden ``_metadata``; filters and expressions over its rows do no harm.
+    The source is parsed once.
+    """
+    columns = [c for c in table.columns if c != "_metadata"]
+    meta = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split")]
+    stored = materialise(table.select(*columns, *meta, F.monotonically_increasing_id().alias("__id")))
+    joined = stored.join(_offsets(stored, []), ["__file", "__split"])
+    return joined.select(*columns, (F.col("__id") + F.col("__shift")).alias(name))

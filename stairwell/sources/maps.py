@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stairwell.sources.json_splits import read_entries
+
+
 def parse_map(documents: DataFrame, document: str, value: str, value_type: str = "string", key: str = "qid") -> DataFrame:
     """(``pos``, ``key``, ``value``) of JSON objects held in a text column, in the order of their entries.
 
@@ -17,8 +20,12 @@ def parse_map(documents: DataFrame, document: str, value: str, value_type: str =
 
 
 def read_map(spark: SparkSession, path: str, value: str, value_type: str = "string", key: str = "qid") -> DataFrame:
-    """The entries of one JSON object in a file. An object is one value, so one task parses it."""
-    return parse_map(spark.read.text(path, wholetext=True), "value", value, value_type, key)
+    """The entries of the JSON object in a file, of any size: the file is read in splits, each entry is parsed by itself."""
+    text = F.concat(F.lit("{"), F.col("text"), F.lit("}"))
+    parsed = F.from_json(text, f"map<string,{value_type}>", {"mode": "FAILFAST"})
+    rows = read_entries(spark, path).select("pos", F.explode(F.map_entries(parsed)).alias("e"))
+    last = F.max_by(F.col("e.value"), F.col("pos"))
+    return rows.groupBy(F.col("e.key").alias(key)).agg(F.min("pos").alias("pos"), last.alias(value)).select("pos", key, value)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

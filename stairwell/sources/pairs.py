@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stairwell.sources.lines import with_position
+
 
 def _extension(path: str) -> str:
     return path.rsplit(".", 1)[-1]
@@ -14,11 +16,13 @@ def read_pairs(
     files: dict[str, str],
     label_type: str | None = None,
     schema: str | None = None,
+    position: str | None = None,
 ) -> dict[str, DataFrame]:
     """Split name -> table, from CSV with a header or JSON lines.
 
     The test file must have the training file's extension.  CSV columns come as
     text; ``label_type`` casts the label.  JSON takes ``schema``.
+    ``position`` names a column for the rows' places in their file.
     """
     kind = _extension(files["train"])
     if kind not in ("csv", "json"):
@@ -31,6 +35,8 @@ def read_pairs(
             table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
         else:
             table = (spark.read.schema(schema) if schema else spark.read).json(path)
+        if position:
+            table = with_position(table, position)
         if label_type and "label" in table.columns:
             table = table.withColumn("label", F.col("label").cast(label_type))
         tables[split] = table

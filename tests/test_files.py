@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stairwell import evaluate
 from stairwell.sinks import writers as wr
-from stairwell.sources import cache, conll, maps, pairs, qa, translation
+from stairwell.sources import cache, conll, json_splits, maps, pairs, qa, translation
 
 DOCUMENT = {
     "version": "v2.0",
@@ -163,6 +164,78 @@ def test_an_unreadable_map_is_an_error(spark, tmp_path):
         maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def nasty(rng, size=40):
+    return "".join(rng.choice(['"', "\\", ",", "{", "}", "[", "]", ":", "\n", "é", "a", " "]) for _ in range(rng.randint(0, size)))
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_a_map_in_splits_equals_the_whole(spark, tmp_path, small_splits, indent):
+    """Values full of quotes, escapes, commas and brackets, some longer than several splits; keys too."""
+    rng = random.Random(3)
+    said = {f"{nasty(rng)}{i}": nasty(rng, 3000 if i % 40 == 7 else 40) for i in range(300)}
+    (tmp_path / "p.json").write_text(json.dumps(said, indent=indent, ensure_ascii=False))
+    split = maps.read_predictions(spark, str(tmp_path / "p.json"))
+    whole = maps.parse_map(spark.read.text(str(tmp_path / "p.json"), wholetext=True), "value", "prediction")
+    assert json_splits._states(json_splits._pieces(spark, str(tmp_path / "p.json"))).count() > 20
+    want = [(i, k, v) for i, (k, v) in enumerate(said.items())]
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) == sorted(want)
+
+
+def test_a_document_in_splits_equals_the_whole(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    paragraph = lambda k: {"context": nasty(rng, 900), "qas": [{"id": f"{k}-{j}", "question": nasty(rng), "answers": [{"text": nasty(rng), "answer_start": j}]} for j in range(k % 3)]}
+    data = [{"title": nasty(rng), "paragraphs": [paragraph(k) for k in range(i % 4)]} for i in range(30)]
+    document = {"list": [[1, "]"], {"data": [2]}], "object": {"a": [nasty(rng, 2000)], "b": {"data": []}}, "data": data, "after": ["x", nasty(rng, 900)]}
+    (tmp_path / "d.json").write_text(json.dumps(document, ensure_ascii=False))
+    got = qa.read_squad(spark, str(tmp_path / "d.json")).orderBy("article", "paragraph", "place").collect()
+    want = [(i, j, k, a["title"], p["context"], q["question"], q["id"]) for i, a in enumerate(data) for j, p in enumerate(a["paragraphs"]) for k, q in enumerate(p["qas"])]
+    assert [tuple(r)[:7] for r in got] == want and got[0].answers[0].answer_start == 0
+    flat = {"data": [{"id": str(i), "question": nasty(rng), "context": nasty(rng, 1200), "answers": {"text": [nasty(rng)], "answer_start": [i]}} for i in range(60)]}
+    (tmp_path / "f.json").write_text(json.dumps(flat))
+    rows = qa.read_flat_qa(spark, str(tmp_path / "f.json"), position="pos").orderBy("pos").collect()
+    assert [(r.pos, r.id, r.context) for r in rows] == [(i, x["id"], x["context"]) for i, x in enumerate(flat["data"])]
+
+
+@pytest.mark.parametrize(
+    "text", ['{"a": "1", "b": ', '{"a": "1",, "b": "2"}', '{"a": "1", }', '{"a": "1"]', '["a"]', 'x {"a": "1"}', '{"a": "1"}}', '{"a": "1" "b": "2"}', '{"a" "1"}', '{"a": "1}', '{"a": "1\\,2"}']
+)
+def test_bad_objects_are_errors(spark, tmp_path, text):
+    (tmp_path / "p.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        maps.read_predictions(spark, str(tmp_path / "p.json")).collect()
+
+
+def test_objects_without_entries(spark, tmp_path):
+    for k, text in enumerate(["{}", " {\n} ", ""]):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert maps.read_predictions(spark, str(tmp_path / f"{k}.json")).collect() == []
+    (tmp_path / "d.json").write_text('{"version": "x", "data": []}')
+    assert qa.read_squad(spark, str(tmp_path / "d.json")).collect() == []
+
+
+def test_positions_follow_the_file(spark, tmp_path, small_splits):
+    """JSON lines in many splits, CSV with line breaks in its fields, several files in order of their paths."""
+    rows = [{"sentence1": f"s{i * 7919 % 1000}", "label": i % 3} for i in range(400)]
+    (tmp_path / "train.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    got = pairs.read_pairs(spark, {"train": str(tmp_path / "train.json")}, schema="sentence1 string, label int", position="pos")["train"]
+    assert got.rdd.getNumPartitions() > 4
+    assert [(r.pos, r.sentence1) for r in got.orderBy("pos").collect()] == [(i, r["sentence1"]) for i, r in enumerate(rows)]
+    (tmp_path / "csv").mkdir()
+    for part in (0, 1):
+        body = "".join(f'{part}-{i},"q,\n{i}",c,"{{""text"": [""d""], ""answer_start"": [{i}]}}"\n' for i in range(90))
+        (tmp_path / "csv" / f"{part}.csv").write_text("id,question,context,answers\n" + body)
+    got = qa.read_flat_qa(spark, str(tmp_path / "csv"), "csv", position="pos").orderBy("pos").collect()
+    assert [(r.pos, r.id, r.question, r.answers.answer_start) for r in got] == [(90 * p + i, f"{p}-{i}", f"q,\n{i}", [i]) for p in (0, 1) for i in range(90)]
+
+
 def test_metric_dictionary_round_trip(spark, tmp_path):
     said = {"exact": 50.0, "f1": 62.5, "HasAns_total": 3.0}
     wr.write_metrics(spark.createDataFrame(list(said.items()), "key string, value double"), str(tmp_path / "m"))

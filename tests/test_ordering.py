@@ -89,6 +89,33 @@ def test_buckets_do_not_grow_with_the_rows(spark, monkeypatch):
         assert placed.groupBy(od.BUCKET).count().agg(F.max("count")).first()[0] <= 4 * 500
 
 
+@pytest.mark.parametrize("group", [1, 3, 4_096])
+def test_sums_on_two_levels(spark, monkeypatch, group):
+    """Groups of one, of a few and of all buckets; a join by shuffle instead of a broadcast."""
+    monkeypatch.setattr(od, "GROUP", group)
+    monkeypatch.setattr(od, "BROADCAST_BUCKETS", 0 if group == 3 else 500_000)
+    rows = skewed(900)
+    got = od.running_totals(frame(spark, rows), "value", {"c": F.col("x"), "n": F.lit(1)}, tie="tie", edges=20).collect()
+    total, want = 0, {}
+    for n, (value, tie, x) in enumerate(sorted(rows)):
+        total += x
+        want[tie] = (total, n + 1)
+    assert {r.tie: (r.c, r.n) for r in got} == want
+    index = od.dense_index(frame(spark, rows), "value", tie="tie", edges=20).collect()
+    assert {r.tie: r.idx + 1 for r in index} == {tie: n for tie, (_, n) in want.items()}
+
+
+def test_a_plan_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(od, "BUCKET_ROWS", 100)
+    sizes = set()
+    for rows in (1_000, 10_000):
+        keyed = spark.range(rows).select((F.col("id") * 7919 % 104_729).alias("key"), "id")
+        plan = od.dense_index(keyed, "key", tie="id")._jdf.queryExecution().optimizedPlan().toString()
+        sizes.add((len(plan.splitlines()), plan.count("Join"), plan.count("Window")))
+        assert len(plan) < 5_000
+    assert len(sizes) == 1
+
+
 def hash_order(ids, seed):
     return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
 
@@ -102,6 +129,23 @@ def test_first_by_hash(spark, n, quota):
     assert {r.idx for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("slot_rows", [1, 4])
+def test_cut_slots_are_split_again(spark, monkeypatch, slot_rows):
+    """Slots of one or a few rows at most: several rounds, the same rows, and no larger slot is ranked."""
+    monkeypatch.setattr(sp, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(sp, "HEX_DIGITS", 1)
+    df = spark.createDataFrame([(i, i % 2) for i in range(3000)], "idx long, level int")
+    cut = lambda before, count: before + count <= 700
+    tables = sp.slot_tables(df.withColumn("__hash", sp.shuffle_hash(9, "idx")), ["level"], cut, lambda before, count: before >= 700)
+    assert len(tables) > 2 and tables[0].filter(F.col("__state") == sp.SPLIT).count() in (1, 2)
+    assert all(r["__count"] <= slot_rows for t in tables for r in t.filter(F.col("__state") == sp.CUT).collect())
+    got = sp.first_by_hash(df, "idx", 9, F.lit(700), "level").collect()
+    want = {i for level in (0, 1) for i in hash_order([i for i in range(3000) if i % 2 == level], 9)[:700]}
+    assert {r.idx for r in got} == want and len(got) == len(want)
+    staged = {(r.stage, r.idx) for r in cu.random_stages(df.select("idx"), 3, 5).collect()}
+    assert staged == {(place // 1000, x) for place, x in enumerate(hash_order(range(3000), 5)) if place % 1000 < 333}
+
+
 @pytest.mark.parametrize("n", [2, 10, 999, 20000])
 def test_random_stages(spark, n):
     df = spark.range(n).withColumnRenamed("id", "idx")
