@@ -37,6 +37,7 @@ HOT = 300_000
 PRIOR = 1_000.0
 ROUNDS = 3
 FLUSH = 200_000  # distinct words a task counts before it sends them on
+PAIRS = 50_000  # pairs of text and word sent on at once, if not those of one text
 CELLS = 400_000  # word places worked on at once
 LONG = 400  # bytes from which a word is worked out alone
 DECIMAL = "decimal(38,15)"
@@ -262,7 +263,13 @@ class SubwordLattice:
         docs = (self.docs if docs is None else docs).select(F.col(self.key).alias("key"), F.coalesce(self.text, F.lit("")).alias("text"))
         least = max(1, math.ceil(self.total / HOT))
         words = self.words.withColumn("base", self._base(F.col("learnt")))
-        hot = {bytes(r.word): (int(r.learnt > 0), r.base, r.score) for r in words.where(F.col("total") >= least).collect()}  # HOT rows at most
+        rows = words.where(F.col("total") >= least).orderBy("word").collect()  # HOT rows at most
+        hot = {
+            "place": {bytes(r.word): k for k, r in enumerate(rows)},
+            "known": np.array([r.learnt > 0 for r in rows], np.int64),
+            "base": np.array([r.base for r in rows], float),
+            "score": np.array([r.score for r in rows], float),
+        }
         hot = docs.sparkSession.sparkContext.broadcast(hot)
         end_base = math.log10((self.ends + 1) / (self.tokens + self.kinds + 1))
         end = (int(self.ends > 0), end_base, float(self.scores[-1]) / math.log(10))
@@ -273,29 +280,47 @@ class SubwordLattice:
 
         def heads(parts):
             """Every text's number of words, and the sums over its end and its broadcast words."""
+            place, known, base, score = (hot.value[c] for c in ("place", "known", "base", "score"))
             for part in parts:
                 rows = []
                 for text in part.column(1):
                     text = text.as_py().encode()
                     bag = Counter(text.lower().split())
-                    seen = [(n, *hot.value[w]) for w, n in bag.items() if w in hot.value] + [(1, *end)]
-                    rows.append((name(text), bag.total() + 1, sum(n * k for n, k, _, _ in seen), math.fsum(n * b for n, _, b, _ in seen), math.fsum(n * s for n, _, _, s in seen)))
+                    n = np.fromiter(bag.values(), np.int64, len(bag))
+                    at = np.fromiter((place.get(w, -1) for w in bag), np.int64, len(bag))
+                    all_words, n, at = int(n.sum()), n[at >= 0], at[at >= 0]
+                    rows.append((name(text), all_words + 1, int((n * known[at]).sum()) + end[0], float((n * base[at]).sum()) + end[1], float((n * score[at]).sum()) + end[2]))
                 types = [pa.int64()] * 3 + [pa.float64()] * 2
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "hash", "n_tokens", "known", "base", "score"])
 
         def others(parts):
             """(key, hash, word, n, first) of every text's other words; ``first`` marks one of them."""
+            place = hot.value["place"]
             for part in parts:
+                found, counts, sizes, names = [], [], [], []
+
+                def out(until):
+                    """Pairs of the texts before ``until`` that are not out yet."""
+                    of = np.repeat(np.arange(until - len(sizes), until), sizes)
+                    first = np.diff(of, prepend=-1) > 0
+                    columns = [part.column(0).take(pa.array(of)), pa.array(np.repeat(np.array(names, np.int64), sizes)), pa.array(found, pa.binary()), pa.array(counts, pa.int64()), pa.array(first)]
+                    for lists in (found, counts, sizes, names):
+                        lists.clear()
+                    return pa.RecordBatch.from_arrays(columns, ["key", "hash", "word", "n", "first"])
+
                 for k, text in enumerate(part.column(1)):
                     text = text.as_py().encode()
-                    bag = [(w, n) for w, n in Counter(text.lower().split()).items() if w not in hot.value]
-                    if not bag:
-                        continue
-                    m, key = len(bag), part.column(0).slice(k, 1)
-                    columns = [pa.concat_arrays([key] * m) if m < 4 else key.take(pa.array(np.zeros(m, np.int64)))]
-                    columns += [pa.array(np.full(m, name(text))), pa.array([w for w, _ in bag], pa.binary()), pa.array([n for _, n in bag], pa.int64()), pa.array(np.arange(m) == 0)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "word", "n", "first"])
+                    before = len(found)
+                    for w, n in Counter(text.lower().split()).items():
+                        if w not in place:
+                            found.append(w)
+                            counts.append(n)
+                    sizes.append(len(found) - before)
+                    names.append(name(text))
+                    if len(found) > PAIRS:
+                        yield out(k + 1)
+                yield out(part.num_rows)
 
         head = docs.mapInArrow(heads, f"key {kind}, hash long, n_tokens long, known long, base double, score double")
         rare = docs.mapInArrow(others, f"key {kind}, hash long, word binary, n long, first boolean")
