@@ -53,22 +53,30 @@ def op2_binary_codes(spark: SparkSession, folder: str) -> DataFrame:
 _COUNTED = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[\p{L}]+|[\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
 
 
-def _changes(docs: DataFrame, op: str, text) -> DataFrame:
-    counts = [F.struct(F.lit(v).alias("tokenizer"), F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).cast("long").alias("n_tokens")) for v, p in _COUNTED.items()]
-    rows = docs.select("doc_id", "source", "lang", F.explode(F.array(*counts)).alias("c"))
-    return rows.select("doc_id", "source", "lang", "c.*", F.lit(op).alias("op"), F.lit(0).alias("seq"))
+def _token_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, whole, short): tokens of every text, and of its distinct lines; no text goes further. Stored."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+    count = lambda t, p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0))).cast("long")
+    again = F.size(F.array_distinct(lines)) < F.size(lines)
+    short = lambda p: F.when(again, count(F.array_join(F.array_distinct(lines), "\n"), p))
+    counts = [F.struct(F.lit(v).alias("tokenizer"), count(text, p).alias("whole"), short(p).alias("short")) for v, p in _COUNTED.items()]
+    rows = stored(docs.select("doc_id", "source", "lang", F.array(*counts).alias("counts")), "token-counts")
+    rows = rows.select("doc_id", "source", "lang", F.explode("counts").alias("c")).select("doc_id", "source", "lang", "c.*")
+    return rows.withColumn("short", F.coalesce("short", "whole"))
 
 
 def op3_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
     """Token totals after three batches: all documents come in; those labelled toxic go, and those of low quality are
     counted again without repeated lines; the first batch is delivered once more and changes nothing."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
-    text = F.coalesce("text", F.lit(""))
+    counts = _token_counts(docs)
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = docs.join(marks.where("toxic = 1 or quality = 0"), "doc_id")
-    arrive = _changes(docs, "insert", text)
-    gone = _changes(marked.where("toxic = 1").withColumn("text", F.lit("")), "delete", text)
-    again = _changes(marked.where("toxic is null or toxic = 0"), "revise", F.array_join(F.array_distinct(F.split(text, "\n")), "\n"))
+    marked = counts.join(marks.where("toxic = 1 or quality = 0"), "doc_id")
+    change = lambda df, n, op: df.select("doc_id", "source", "lang", "tokenizer", n.alias("n_tokens"), F.lit(op).alias("op"), F.lit(0).alias("seq"))
+    arrive = change(counts, F.col("whole"), "insert")
+    gone = change(marked.where("toxic = 1"), F.lit(0).cast("long"), "delete")
+    again = change(marked.where("toxic is null or toxic = 0"), F.col("short"), "revise")
     rollups = TokenRollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
     for batch, changes in ((0, arrive), (1, gone.unionByName(again)), (0, arrive)):
         rollups.commit(batch, changes)

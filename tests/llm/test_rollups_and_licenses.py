@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from stairwell.llm import license_scan
+from stairwell.llm import license_scan, queries, token_rollups
 from stairwell.llm.common import shared_folder
 from stairwell.llm.license_scan import TEMPLATES, align, longest_increasing, scan_text, words_at
 from stairwell.llm.token_rollups import TokenRollups
@@ -15,7 +15,9 @@ from stairwell.llm.token_rollups import TokenRollups
 CHANGES = "doc_id long, tokenizer string, source string, lang string, n_tokens long, op string, seq int, docs int"
 
 
-def test_batches_of_changes(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 2, 16])
+def test_batches_of_changes(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(token_rollups, "COMPACT", compact)
     rng = random.Random(3)
     rollups = TokenRollups(spark, f"{tmp_path}/rollups")
     ledger: dict = {}
@@ -37,6 +39,26 @@ def test_batches_of_changes(spark, tmp_path):
         assert got == want
 
 
+def test_compaction_bounds_what_is_read(spark, tmp_path, monkeypatch):
+    """A commit reads the compacted table and the batches since; a broken-off compaction is not read."""
+    monkeypatch.setattr(token_rollups, "COMPACT", 2)
+    rollups = TokenRollups(spark, f"{tmp_path}/rollups")
+    for batch in range(5):
+        change = spark.createDataFrame([(1, "v", "a", "en", batch, "revise", 0, 1), (2, "v", "b", "en", 3, "delete" if batch % 2 else "insert", 0, 1)], CHANGES)
+        rollups.commit(batch, change)
+    read = lambda n: {"/".join(f.split("/")[-3:-1]) for f in rollups._read("ledger", token_rollups.LEDGER, n).inputFiles()}
+    assert read(5) == {"compact-ledger/batch-4", "ledger/batch-4"}
+    (tmp_path / "rollups" / "compact-ledger" / "batch-4" / "_SUCCESS").unlink()
+    assert read(5) == {"compact-ledger/batch-2", "ledger/batch-2", "ledger/batch-3", "ledger/batch-4"}
+    assert sorted(map(tuple, rollups.totals(5).collect())) == [("a", "en", "v", 1, 4), ("b", "en", "v", 1, 3)]
+
+
+def test_no_text_is_shuffled(spark):
+    """Texts are counted where they are read: no exchange of the query's tables has a text."""
+    plan = queries._token_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert "text" not in plan.columns and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     rollups = TokenRollups(spark, f"{tmp_path}/rollups")
     first = spark.createDataFrame([(1, "v", "a", "en", 5, "insert", 0, 1)], CHANGES)
