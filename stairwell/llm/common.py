@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,22 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def shared_model(spark: SparkSession, model: object) -> Callable[[], object]:
+    """A function that gives workers the broadcast ``model``, unpacked once per task.
+
+    Its class travels with it, as functions do, so workers need no package.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    unpacked: list = []
+
+    def get() -> object:
+        if not unpacked:
+            unpacked.append(pickle.loads(packed.value))
+        return unpacked[0]
+
+    return get
+
+
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The spanning forest of one partition's edges, as (node, smallest node of its tree)."""
     parent: dict[int, int] = {}

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stairwell.llm.common import shared_model
+
 CLASSES = 16
 TERMS = CLASSES**3 + 24
 SAMPLE_PER_LABEL = 1024  # labelled documents of either label that are fitted
@@ -130,11 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 def add_score(docs: DataFrame, model: SemanticVotes, text: str = "text") -> DataFrame:
     """``docs`` with a column score (0 to 1); a column of that name is replaced. The model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(shared.value.score(part.tolist()))
+            yield pd.Series(shared().score(part.tolist()))
 
     return docs.withColumn("score", score(F.col(text)))

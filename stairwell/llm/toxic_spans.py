@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stairwell.llm.common import shared_model
 from stairwell.llm.semantic_votes import labelled_sample
 
 SAMPLE_PER_LABEL = 1024  # labelled documents of either label that are fitted
@@ -309,12 +310,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
 def add_toxicity(docs: DataFrame, model: ToxicSpans, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and spans (start, end, p). The model, bounded by its lexicon, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs.sparkSession, model)
 
     @F.pandas_udf("struct<score:double,spans:array<struct<start:int,end:int,p:double>>>")
     def tagged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame(shared.value.score(part.tolist()), columns=["score", "spans"])
+            yield pd.DataFrame(shared().score(part.tolist()), columns=["score", "spans"])
 
     found = docs.withColumn("__toxic", tagged(F.col(text)))
     return found.withColumn("score", F.col("__toxic.score")).withColumn("spans", F.col("__toxic.spans")).drop("__toxic")
