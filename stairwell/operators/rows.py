@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
-from stairwell.operators.ordering import dense_index
+from stairwell.operators.ordering import dense_index, running_totals
 from stairwell.operators.sampling import shuffle_hash
+from stairwell.session import materialise
 
 # The text columns of the known sentence tasks.
 TASK_COLUMNS = {
@@ -67,6 +68,18 @@ def head(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     return df if n is None else df.orderBy(*order).limit(n)
 
 
+def first_windows(features: DataFrame, n: int, position: str, window: str = "window") -> DataFrame:
+    """The first ``n`` windows in the order of their examples' places and, of an example, of their numbers 0, 1, ...
+
+    Window counts per example are summed up along the places, so no task sorts or holds the ``n`` rows.
+    """
+    stored = materialise(features)
+    sizes = stored.groupBy(position).agg(F.count("*").alias("__n"))
+    upto = running_totals(sizes, position, {"__upto": F.col("__n")})
+    before = upto.select(position, (F.col("__upto") - F.col("__n")).alias("__before")).filter(F.col("__before") < n)
+    return stored.join(before, position).filter(F.col("__before") + F.col(window) < n).drop("__before")
+
+
 def select_by_index(df: DataFrame, wanted: DataFrame, idx: str = "idx", pos: str = "pos") -> DataFrame:
     """Rows named by ``wanted(pos, idx)``; repeats stay, ``pos`` carries the order, an unknown index is an error."""
     found = wanted.select(pos, idx).join(df.withColumn("__found", F.lit(True)), idx, "left")

@@ -31,27 +31,33 @@ def question_features(
     context_first: bool = False,
     labels: bool = True,
     max_samples: int | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Windows of question-answering examples, with answer positions for training.
 
     ``max_samples`` limits the examples before they are cut into windows and the
-    windows afterwards.  ``context_first`` gives the beam layout with its answer mask.
+    windows afterwards: the first ones by ``position``, the column with their places in the file, which the
+    windows keep; without it, by key.  ``context_first`` gives the beam layout with its answer mask.
     """
     question, context, answers = rw.qa_roles(examples)
     start, text = first_answer(F.col(answers))
-    picked = rw.head(examples, max_samples, key)
+    placed = position is not None
+    picked = examples.filter(F.col(position) < max_samples) if placed and max_samples is not None else examples if placed else rw.head(examples, max_samples, key)
+    keys = [key, position] if placed else [key]
     ready = picked.select(
-        key,
+        *keys,
         _words(F.col(question)).alias("__question"),
         token_offsets(F.col(context)).alias("__spans"),
         *([start.alias("start_char"), text.alias("answer")] if labels else []),
     )
     carry = ["start_char", "answer"] if labels else []
-    out = ft.window_features(ready, [key], "__question", "__spans", max_length, overlap, context_first, carry)
+    out = ft.window_features(ready, keys, "__question", "__spans", max_length, overlap, context_first, carry)
     if labels:
         out = ft.label_spans(out, "start_char", "answer").drop(*carry)
     if context_first:
         out = ft.answer_mask(out)
+    if placed:
+        return out if max_samples is None else rw.first_windows(out, max_samples, position)
     return rw.head(out, max_samples, key, "window")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from stairwell.functions.text import SPACE, WORD, space_tokens, token_offsets
 from stairwell.operators import features as ft, nbest as nb
-from stairwell.operators.rows import head
 from stairwell.plans import views
+from stairwell.plans.preparation import question_features
 from stairwell.plans.views import MAX_LENGTH, OVERLAP
+from stairwell.sources.lines import first_of_file
 
 PAD = "[PAD]"
 FIXED_LENGTH, BATCH, MULTIPLE = 384, 16, 8
@@ -48,9 +49,15 @@ def _windows(spark, folder):
 
 
 def _head(spark, folder):
-    first = head(views.contexts(spark, folder), HEAD, "doc_id")
-    features = ft.window_features(first, ["doc_id"], "question", "spans", MAX_LENGTH, OVERLAP)
-    return head(features, HEAD, "doc_id", "window").select("doc_id", "window", F.array_join("tokens", " ").alias("tokens"))
+    """The first documents of the file, whose ids are texts and sort otherwise, and the first of their windows."""
+    table = views.table(spark, folder, "documents")
+    source = F.concat(F.lit("what does "), "source", F.lit(" say in "), "lang").alias("question")
+    start = F.struct(F.array(F.lit(None).cast("string")).alias("text"), F.array(F.lit(None).cast("int")).alias("answer_start"))
+    examples = first_of_file(table, HEAD).select(
+        "pos", F.concat(F.lit("d"), "doc_id").alias("id"), source, F.col("text").alias("context"), start.alias("answers")
+    )
+    features = question_features(examples, "id", MAX_LENGTH, OVERLAP, labels=False, max_samples=HEAD, position="pos")
+    return features.select("id", "pos", "window", F.array_join("tokens", " ").alias("tokens"))
 
 
 def _labels(spark, folder):
@@ -283,11 +290,11 @@ FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id""",
 SELECT doc_id, w AS "window", w * {STEP} AS first_token, cs + {EXTRA} AS length, {_SQL_TOKENS_SHOWN} AS tokens,
        repeat('- ', {AT}) || off || ' -' AS offsets
 FROM shown JOIN documents USING (doc_id)""",
-    "head_features": f"""WITH {SQL_WINDOWS}, {_SQL_WINDOW_ROWS}
-SELECT doc_id, w AS "window", {_SQL_TOKENS_SHOWN} AS tokens
-FROM shown JOIN documents USING (doc_id)
-WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {HEAD})
-ORDER BY doc_id, w LIMIT {HEAD}""",
+    "head_features": f"""WITH {SQL_WINDOWS}, {_SQL_WINDOW_ROWS},
+filed AS (SELECT doc_id, source, lang, row_number() OVER () - 1 AS pos FROM documents)
+SELECT 'd' || doc_id AS id, pos, w AS "window", {_SQL_TOKENS_SHOWN} AS tokens
+FROM shown JOIN filed USING (doc_id)
+WHERE pos < {HEAD} ORDER BY pos, w LIMIT {HEAD}""",
     "answer_spans": f"""WITH {SQL_WINDOWS}
 SELECT doc_id, w AS "window",
        CASE WHEN NOT (s0 <= b AND e1 >= f) THEN 0 WHEN na = cs THEN cs + {EXTRA} - 1 ELSE {AT} + na - 1 END AS start_position,

@@ -59,3 +59,23 @@ def with_position(table: DataFrame, name: str = "pos") -> DataFrame:
     stored = materialise(table.select(*columns, *meta, F.monotonically_increasing_id().alias("__id")))
     joined = stored.join(_offsets(stored, []), ["__file", "__split"])
     return joined.select(*columns, (F.col("__id") + F.col("__shift")).alias(name))
+
+
+def first_of_file(table: DataFrame, n: int, name: str = "pos") -> DataFrame:
+    """The first ``n`` rows in file order (files by path) of a table as it comes from its reader, with their places.
+
+    The rows of each split are counted without their columns, then the source is read once more and only rows before the
+    ``n``-th go on; nothing is sorted or gathered. A file that is replaced between the passes is an error.
+    """
+    columns = [c for c in table.columns if c != "_metadata"]
+    meta = {"__file": "file_path", "__split": "file_block_start", "__time": "file_modification_time"}
+    marks = [F.col(f"_metadata.{field}").alias(c) for c, field in meta.items()]
+    splits = table.select(*marks, F.monotonically_increasing_id().alias("__id")).groupBy(*meta).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
+    shifts = materialise(splits.select(*meta, shift.alias("__shift"), F.col("__n").alias("__rows")))
+    near = F.broadcast(shifts) if shifts.count() <= BROADCAST_SPLITS else shifts
+    joined = table.select(*columns, *marks, F.monotonically_increasing_id().alias("__id")).join(near, list(meta), "left")
+    changed = F.raise_error(F.concat(F.lit("the file changed while it was read: "), F.col("__file"))).cast("long")
+    place = F.when(F.col("__shift").isNull(), changed).otherwise(F.col("__id") + F.col("__shift"))
+    return joined.select(*columns, place.alias(name)).filter(F.col(name) < n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stairwell.plans import preparation as pr
 from stairwell.plans.training import score_examples
+from stairwell.sources.lines import first_of_file
 
 ANSWERS = "struct<text:array<string>,answer_start:array<int>>"
 
@@ -23,6 +24,25 @@ def test_questions(spark):
     assert "start_position" not in pr.question_features(df, labels=False).columns
 
 
+def test_first_examples_in_file_order(spark, tmp_path):
+    """Text ids that sort otherwise, several splits; the first examples, then the first windows over them."""
+    rows = [(f"{(i * 37) % 50}", "who ?", f"w{i} " * (5 + i % 30)) for i in range(50)]
+    (tmp_path / "x.csv").write_text("id,question,context\n" + "".join(",".join(r) + "\n" for r in rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        table = spark.read.option("header", True).csv(str(tmp_path / "x.csv"))
+        assert table.rdd.getNumPartitions() > 3
+        for n in (0, 1, 7, 20, 60):
+            first = first_of_file(table, n)
+            assert [(r.pos, r.id) for r in first.orderBy("pos").collect()] == [(i, r[0]) for i, r in enumerate(rows[:n])]
+            all_windows = pr.question_features(first, max_length=15, overlap=2, labels=False, position="pos").select("pos", "window").collect()
+            got = pr.question_features(first, max_length=15, overlap=2, labels=False, max_samples=n, position="pos").select("pos", "window").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, all_windows))[:n]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sentences(spark):
     df = spark.createDataFrame([(0, "a b c d", "e f", "yes"), (1, "g", "h", "no")], "idx int, sentence1 string, sentence2 string, label string")
     got = {r.idx: r for r in pr.sentence_features(df, max_length=8).collect()}
