@@ -7,10 +7,11 @@ crowded and stays at the minimum where it is sparse. In crowded regions the copi
 that original more than each other; so every node also meets the region's most popular node, the one whose
 paths are shared most, at the minimum depth and at full depth.
 
-The first round checks the two likeliest candidates of a node. The second lets all nodes of a region meet that are not yet
-connected: in a region of LAST_LAG + 1 rows at most, as neighbours in the order; a larger one is cut into blocks of about
-BLOCK rows that meet two by two, where the rows of the region's largest group meet only the others. A sketch
-of the signature drops candidates that are far below the threshold; every link is confirmed on the full sets.
+The first round checks the two likeliest candidates of a node. In the second, all nodes of a region meet that are not yet
+connected, the longest common prefixes first: every region that holds several groups is a cell, and one of more than
+BLOCK rows is cut into blocks that meet two by two, where the rows of the region's largest group meet only the others. A sketch
+of the signature drops candidates that are far below the threshold; every link is confirmed on the full sets. A cell
+confirms its candidates itself and gives a spanning forest of its groups, never a list of pairs.
 
 Defined results: null or empty text, or text without words, has an empty set and is linked with nothing; a null id is
 linked with nothing and kept; rows of one id are one document, linked if one of its texts is;
@@ -30,10 +31,8 @@ from pyspark.sql import functions as F
 from stairwell.llm.common import connected_components, small, stored
 
 TREES, DEPTH, MIN_DEPTH = 20, 8, 4
-FIRST_LAG, LAST_LAG = 2, 16  # neighbours before a row in the two rounds
+LAG = 2  # neighbours before a row in the first round
 BLOCK = 512  # rows of a crowded region that meet as one block
-BLOCK_ROWS = 50_000  # rows of blocks per task, roughly
-DENSE, DENSE_ROWS = 256, 256  # pairs of a document from which its pairs are confirmed in blocks, and documents per block
 SLACK = 0.13  # how far below the threshold a sketch may lie: over 4.5 standard deviations of 160 hashes
 CACHE_WORDS = 400_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -176,40 +175,138 @@ def _neighbours(rows: DataFrame, lag: int, least: float, parts: int) -> DataFram
     return found.where("a is not null").select("a", "b", "alike").unionByName(cuts.where(F.col("alike") >= least))
 
 
-def _crowded(rows: DataFrame, regions: DataFrame, least: float, parts: int) -> DataFrame:
-    """(a, b): all rows of different groups that share a region of ``regions`` (tree, head, n, main, n_main), each pair once.
+def _cells(rest: DataFrame, regions: DataFrame) -> DataFrame:
+    """(cell, tree, doc, grp, tail, sketch, x, y): the rows of every region, dealt to cells in which they meet.
 
-    The rows of the region's largest group, ``main``, need not meet each other.
+    ``regions`` (tree, head, n, main, n_main) hold several groups. A region is cut into blocks of about BLOCK rows, and a cell is
+    a pair of blocks; most regions are one block and one cell. The rows of the region's largest group, ``main``, need not
+    meet each other. Blocks of the main group count from 0, the others' from x_blocks.
     """
-    regions = regions.withColumn("x_blocks", F.ceil(F.col("n_main") / BLOCK)).withColumn("y_blocks", F.ceil((F.col("n") - F.col("n_main")) / BLOCK))
-    size = regions.agg(F.sum(F.expr("n_main * y_blocks + (n - n_main) * (x_blocks + y_blocks)"))).first()[0] or 0
-    buckets = max(parts, int(size) // BLOCK_ROWS)
-    rows = rows.join(small(regions.select("tree", "head", "main", "x_blocks", "y_blocks"), 48), ["tree", "head"])
-    # Blocks of the main group count from 0, the others' from x_blocks; a cell is a pair of blocks, x <= y.
-    rows = rows.withColumn("block", F.expr("if(grp = main, pmod(xxhash64(doc), x_blocks), x_blocks + pmod(xxhash64(doc), y_blocks))"))
+    one = F.col("n") <= BLOCK
+    blocks = regions.select(
+        "tree",
+        "head",
+        "main",
+        F.when(one, 0).otherwise(F.ceil(F.col("n_main") / BLOCK)).alias("x_blocks"),
+        F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("n_main")) / BLOCK)).alias("y_blocks"),
+    )
+    rows = rest.join(small(blocks, 48), ["tree", "head"])
+    rows = rows.withColumn("block", F.expr("if(x_blocks > 0 and grp = main, pmod(xxhash64(doc), x_blocks), x_blocks + pmod(xxhash64(doc), y_blocks))"))
     others = "transform(sequence(0, x_blocks + y_blocks - 1), j -> named_struct('x', least(j, block), 'y', greatest(j, block)))"
     main = "transform(sequence(x_blocks, x_blocks + y_blocks - 1), j -> named_struct('x', block, 'y', j))"
-    rows = rows.select("tree", "head", "doc", "grp", "sketch", "block", F.explode(F.expr(f"if(grp = main, {main}, {others})")).alias("cell"))
-    rows = rows.select(F.xxhash64("tree", "head", "cell.x", "cell.y").alias("cell"), "doc", "grp", "sketch", (F.col("block") == F.col("cell.x")).alias("x"), (F.col("block") == F.col("cell.y")).alias("y"))
-    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(cell), {buckets})"))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cell", kind="stable")
-        cell, doc, grp, in_x, in_y = (part[c].to_numpy() for c in ("cell", "doc", "grp", "x", "y"))
-        sketch = np.frombuffer(b"".join(part["sketch"]), "u1").reshape(len(part), -1)
-        starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-        out = [np.empty((0, 2), "i8")]
-        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            left, right = (begin + np.flatnonzero(side[begin:end]) for side in (in_x, in_y))
-            for k in left.tolist():
-                # A block meets itself once.
-                near = right[(grp[right] != grp[k]) & (doc[right] != doc[k]) & ((doc[right] > doc[k]) | ~(in_y[k] & in_x[right]))]
-                near = near[_alike(sketch[near], sketch[k]) >= least]
-                if len(near):
-                    out.append(np.column_stack([np.minimum(doc[near], doc[k]), np.maximum(doc[near], doc[k])]))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+    rows = rows.withColumn("cell", F.explode(F.expr(f"if(block < x_blocks, {main}, {others})")))
+    cell = F.xxhash64("tree", "head", "cell.x", "cell.y").alias("cell")
+    sides = [(F.col("block") == F.col(f"cell.{side}")).alias(side) for side in ("x", "y")]
+    return rows.select(cell, "tree", "doc", "grp", "tail", "sketch", *sides)
+
+
+def _by_cell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task, which are in order of their cells, one cell at a time."""
+    kept: list[pa.Table] = []
+    for part in parts:
+        table = pa.Table.from_batches([part])
+        cell = table.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if begin == end:
+                continue
+            if kept and kept[0].column("cell")[0].as_py() != int(cell[begin]):
+                yield pa.concat_tables(kept)
+                kept = []
+            kept.append(table.slice(begin, end - begin))
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+def _candidates_in(cell: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, likeness) of candidates: of different groups and documents, a row of one block with one of the other."""
+    doc, grp, in_x, in_y = (cell.column(c).to_numpy() for c in ("doc", "grp", "x", "y"))
+    sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), "u1").reshape(len(doc), -1)
+    left, right = np.flatnonzero(in_x), np.flatnonzero(in_y)
+    within = in_x & in_y  # a block that meets itself, each pair once
+    step = max(1, 20_000 // max(len(right), 1))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        wanted = (grp[some, None] != grp[right]) & (doc[some, None] != doc[right])
+        wanted &= ~(within[some, None] & within[right]) | (some[:, None] < right)
+        k, j = np.nonzero(wanted)
+        alike = _alike(sketch[some[k]], sketch[right[j]])
+        near = alike >= least
+        if near.any():
+            yield some[k[near]], right[j[near]], alike[near]
+
+
+CELL = "cell long, tree int, doc long, grp long, tail binary, sketch binary, x boolean, y boolean"
+
+
+def _met(cells: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """(a, b): links between rows of different groups that share a cell; of each cell a spanning forest of its groups.
+
+    First the sketches tell which rows have a candidate in their cell, then only those rows' sets are sent there. A cell tests
+    its candidates, the longest common prefixes first, and skips pairs that its own links connect already or that met in
+    an earlier tree; so it gives fewer links than it has rows, however many pairs are alike, and a task holds one cell.
+    """
 
-    return rows.groupBy("bucket").applyInPandas(meet, "a long, b long")
+    def with_candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(parts):
+            near = np.zeros(len(cell), bool)
+            for a, b, _ in _candidates_in(cell, least):
+                near[a], near[b] = True, True
+            if near.any():
+                yield from cell.filter(pa.array(near)).combine_chunks().to_batches()
+
+    ordered = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+    rows = stored(ordered(cells).mapInArrow(with_candidates, CELL), "candidates")
+    heads = sets.where("n_shingles > 0").select("doc", "heads")
+    table = _shingles(docs, stored(rows.select("doc").distinct(), "wanted"), width).join(heads, "doc")
+    full = ordered(rows.join(table, "doc").select(*[c.split()[0] for c in CELL.split(", ")], "heads", "shingles"))
+
+    def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(parts):
+            found = _forest_of(cell, least, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return stored(full.mapInArrow(links, "a long, b long").distinct(), "links")
+
+
+def _forest_of(cell: pa.Table, least: float, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that connect the cell's groups as far as its rows do."""
+    pairs = list(_candidates_in(cell, least))
+    if not pairs:
+        return []
+    a, b, alike = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    doc, grp, tree = (cell.column(c).to_numpy() for c in ("doc", "grp", "tree"))
+    heads = np.array(cell.column("heads").to_pylist(), "i8")
+    tail = np.frombuffer(b"".join(cell.column("tail").to_pylist()), "u4").reshape(len(doc), -1)
+    fresh = np.ones(len(a), bool)  # no earlier tree has both in one region, where they met
+    for s in range(int(tree.max())):
+        fresh &= (heads[a, s] != heads[b, s]) | (s >= tree[a])
+    a, b, alike = a[fresh], b[fresh], alike[fresh]
+    depth = np.logical_and.accumulate(tail[a] == tail[b], axis=1).sum(1)
+    order = np.lexsort((-alike, -depth))
+    sets = [np.frombuffer(x, "u8") for x in cell.column("shingles").to_pylist()]
+    parent = {g: g for g in grp.tolist()}
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = g = parent[parent[g]]
+        return g
+
+    out = []
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = root(int(grp[i])), root(int(grp[j]))
+        if p != q and _linked(sets[i], sets[j], percent):
+            parent[max(p, q)] = min(p, q)
+            out.append((int(doc[i]), int(doc[j])))
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not (len(x) and len(y)) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _likeness(a: str, b: str):
@@ -234,9 +331,8 @@ def _pivots(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", _likeness("sketch", "ps").alias("alike")).where(F.col("alike") >= least)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold; the sets are made anew for the documents that occur in pairs."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+def _shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, shingles): the full sets of the documents in the stored table ``ids``, made anew from their texts. Stored."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -247,49 +343,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], ["doc", "shingles"])
 
     wanted = docs.join(small(ids, 16), "doc", "left_semi").select("doc", "text")
-    table = stored(wanted.mapInArrow(sets, "doc long, shingles binary").distinct(), "shingles")
+    return stored(wanted.mapInArrow(sets, "doc long, shingles binary").distinct(), "shingles")
 
-    def same(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-        if not (len(x) and len(y)) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            return False
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * common >= percent * (len(x) + len(y) - common)
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs, a few per document, whose full sets reach the threshold."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    table = _shingles(docs, ids, width)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(table.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(table.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.where(linked("x", "y")).select("a", "b")
-
-    # Documents that are in many pairs with each other meet in blocks, so that no set is sent once per pair.
-    often = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("doc")
-    often = stored(often, "often")
-    count = often.count()
-    if not count:
-        return stored(joined(pairs).distinct(), "links")
-    known = small(often.withColumn("known", F.lit(True)), 24, count)
-    marked = pairs.select("a", "b")
-    for end in ("a", "b"):
-        marked = marked.join(known.select(F.col("doc").alias(end), F.col("known").alias(f"{end}_known")), end, "left")
-    marked = stored(marked.select("a", "b", F.expr("a_known is not null and b_known is not null").alias("dense")), "marked")
-    blocks = -(-count // DENSE_ROWS)
-    block = lambda end: F.expr(f"pmod(xxhash64({end}), {blocks})")
-    dense = marked.where("dense").select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
-    needed = dense.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("doc")).distinct().join(table, "doc")
-
-    def confirm(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, list[bytes]] = {}
-        for doc, x in zip(sets["doc"].tolist(), sets["shingles"], strict=True):
-            found.setdefault(doc, []).append(x)  # an id may have several texts
-        good = [any(same(x, y) for x in found.get(a, []) for y in found.get(b, [])) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
-        return pairs.loc[np.array(good, bool), ["a", "b"]]
-
-    met = dense.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInPandas(confirm, "a long, b long")
-    return stored(joined(marked.where("not dense").select("a", "b")).unionByName(met).distinct(), "links")
+        return pd.Series([_linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    left = pairs.join(table.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(table.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    return stored(both.where(linked("x", "y")).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +388,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     least = percent / 100 - SLACK
 
     fresh = rows.withColumn("grp", F.col("doc"))
-    pairs = _pivots(fresh, least).unionByName(_neighbours(fresh, FIRST_LAG, least, parts)).dropDuplicates(["a", "b"])
+    pairs = _pivots(fresh, least).unionByName(_neighbours(fresh, LAG, least, parts)).dropDuplicates(["a", "b"])
     best = Window.partitionBy("doc").orderBy(F.desc("alike"), "a", "b")
     sides = stored(pairs, "pairs")
     likeliest = sides.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("doc"))
@@ -337,11 +405,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     sizes = rest.groupBy("tree", "head", "grp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"), F.count("*").alias("groups"))
     mixed = stored(sizes.where("groups > 1").select("tree", "head", "n", F.col("top.grp").alias("main"), F.col("top.n").alias("n_main")), "mixed")
-    near = rest.join(mixed.where(F.col("n") <= LAST_LAG + 1).select("tree", "head"), ["tree", "head"])
-    crowds = mixed.where(F.col("n") > LAST_LAG + 1)
-    pairs = _crowded(rest, crowds, least, parts).unionByName(_neighbours(near, LAST_LAG, least, parts).select("a", "b")).distinct()
-    pairs = stored(pairs.join(ranked, ["a", "b"], "left_anti"), "second")
-    edges = edges.unionByName(_confirmed(pairs, docs, width, percent))
+    edges = edges.unionByName(_met(_cells(rest, mixed), docs, sets, width, percent, least))
     found = stored(connected_components(edges), "components")
     out = sets.select("doc", "n_shingles").join(found.withColumnRenamed("id", "doc"), "doc", "left")
     component = F.coalesce("component", "doc")

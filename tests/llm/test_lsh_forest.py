@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from stairwell.llm import lsh_forest
 from stairwell.llm.common import connected_components
 
@@ -70,18 +73,48 @@ def test_like_brute_force(spark):
             assert (r.component_id, r.kept, r.n_shingles) == (want[r.doc_id], want[r.doc_id] == r.doc_id, len(shingles(by[r.doc_id])))
 
 
-def test_all_groups_of_a_crowded_region_meet(spark, monkeypatch):
-    """600 rows tie on one path, far more than the lag: every pair of different groups is a candidate once."""
-    monkeypatch.setattr(lsh_forest, "BLOCK", 70)
+@pytest.mark.parametrize("block", [70, 1000])
+def test_all_groups_of_a_crowded_region_meet(spark, monkeypatch, block):
+    """600 rows tie on one path: every pair of different groups is a candidate once, in many cells or in one."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
     group = [0] * 200 + [1] * 100 + list(range(2, 302))
     rows = [(0, 5, b"t" * 16, d, g, b"s" * 160) for d, g in enumerate(group)]
     df = spark.createDataFrame(rows, "tree int, head long, tail binary, doc long, grp long, sketch binary").repartition(4)
     regions = spark.createDataFrame([(0, 5, 600, 0, 200)], "tree int, head long, n long, main long, n_main long")
-    got = [tuple(r) for r in lsh_forest._crowded(df, regions, 0.72, 2).collect()]
+    cells = lsh_forest._cells(df, regions).repartition(3, "cell").sortWithinPartitions("cell")
+
+    def pairs(parts):
+        for cell in lsh_forest._by_cell(parts):
+            doc = cell.column("doc").to_numpy()
+            for a, b, _ in lsh_forest._candidates_in(cell, 0.72):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], ["a", "b"])
+
+    got = [(min(r), max(r)) for r in cells.mapInArrow(pairs, "a long, b long").collect()]
     want = {(a, b) for b in range(600) for a in range(b) if group[a] != group[b]}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_cells_give_forests(spark, monkeypatch):
+    """Groups in one region of two trees: the links connect what brute force connects, and each cell has fewer links than groups."""
+    rng = random.Random(3)
+    base = [str(rng.random()) for _ in range(60)]
+    texts = [" ".join(base[: rng.randint(40, 60)] + [str(k)] * (k % 3)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(3)
+    sets = lsh_forest.forest_rows(docs, 3)
+    rows = [(t, 5, bytes([d % 7]) * 16, d, d, b"s" * 160) for d in range(60) for t in (0, 1)]
+    rest = spark.createDataFrame(rows, "tree int, head long, tail binary, doc long, grp long, sketch binary")
+    regions = spark.createDataFrame([(t, 5, 60, 0, 1) for t in (0, 1)], "tree int, head long, n long, main long, n_main long")
+    want = brute(list(enumerate(texts)))
+    for block in (1000, 20):
+        monkeypatch.setattr(lsh_forest, "BLOCK", block)
+        links = lsh_forest._met(lsh_forest._cells(rest, regions), docs, sets, 3, 85, 0.0)
+        links = [tuple(r) for r in links.collect()]
+        found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert {d: found.get(d, d) for d in range(60)} == want
+        assert block == 20 or len(links) <= 59 * 2
+        assert all(100 * len(shingles(texts[a]) & shingles(texts[b])) >= 85 * len(shingles(texts[a]) | shingles(texts[b])) for a, b in links)
+
+
 def test_pairs_of_several_trees_in_a_later_batch(spark):
     """Every pair is found in two trees of the same Arrow batch."""
     rows = [(t, t, b"t" * 16, 10 * (t // 2) + d, 10 * (t // 2) + d, b"s" * 160) for t in range(40) for d in range(4)]
@@ -95,19 +128,6 @@ def test_pairs_of_several_trees_in_a_later_batch(spark):
     assert got == {(10 * j + a, 10 * j + b) for j in range(20) for b in range(4) for a in range(b)}
 
 
-def test_dense_pairs_are_confirmed_like_single_ones(spark, monkeypatch):
-    rng = random.Random(3)
-    base = [str(rng.random()) for _ in range(60)]
-    texts = [" ".join(base[: rng.randint(48, 60)] + [str(k)] * (k % 3)) for k in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
-    pairs = spark.createDataFrame([(a, b) for b in range(30) for a in range(b)] + [(30, 31)], "a long, b long")
-    want = {(a, b) for b in range(30) for a in range(b) if 100 * len(shingles(texts[a]) & shingles(texts[b])) >= 85 * len(shingles(texts[a]) | shingles(texts[b]))}
-    for limit in (1000, 8):
-        monkeypatch.setattr(lsh_forest, "DENSE", limit)
-        monkeypatch.setattr(lsh_forest, "DENSE_ROWS", limit)
-        assert {tuple(r) for r in lsh_forest._confirmed(pairs, docs, 3, 85).collect()} == want
-
-
 def test_no_rows(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85).collect() == []
 
