@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and all that the stage before it kept; all but the last return the columns of
 ``documents``. Labels come from the folder's tables. Nulls, empty texts and repeated rows have the results
-that the operators define; rows that repeat an id are one document to the near-duplicate stage, which keeps one of them.
+that the operators define; rows that repeat an id are one
+document to the near-duplicate stage, which keeps the one with the smallest text (then lang, source, n_chars).
 """
 
 from __future__ import annotations
@@ -45,10 +46,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = lsh_forest.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     dropped = stored(found.where("not kept").select("doc_id").distinct(), "dropped")
     left = docs.join(small(dropped, 16), "doc_id", "left_anti")
-    ids = left.where("doc_id is not null").select("doc_id")
-    if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    ids = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stored(ids, "repeated-ids")
+    if again.isEmpty():
+        return left
+    again = small(again, 16)
+    first = F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "r.*").select(*COLUMNS)
+    return left.join(again, "doc_id", "left_anti").unionByName(one)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

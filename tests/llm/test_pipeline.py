@@ -62,6 +62,16 @@ def test_near_duplicates(kept):
     assert after == {i: r for i, r in before.items() if group[i] == i}
 
 
+def test_rows_of_one_id(spark):
+    """Of an id's rows the one with the smallest text stays; null ids stay; a copy of another id goes with all rows of its id."""
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, "zebra", "en", "b", 5), (1, "apple pie", "en", "a", 9), (1, "apple pie", "de", "a", 9), (2, long, "en", "a", 1), (3, long, "en", "a", 1), (3, "other", "en", "a", 1), (None, "x", None, None, None), (None, "x", None, None, None), (4, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    want = [(1, "apple pie", "de", "a", 9), (2, long, "en", "a", 1), (None, "x", None, None, None), (None, "x", None, None, None), (4, None, "en", "a", 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_repeats(kept):
     before, after = rows(kept[2]), rows(kept[3])
     order = sorted(before)
