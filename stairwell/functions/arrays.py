@@ -1,4 +1,4 @@
-"""Array expressions: argmax, softmax, padding, multiset overlap, running offsets."""
+"""Array expressions: argmax, softmax, padding, multiset overlap."""
 
 from __future__ import annotations
 
@@ -84,45 +84,3 @@ def multiset_overlap(left: Column, right: Column) -> Column:
 
     both = F.struct(F.sort_array(left).alias("a"), F.sort_array(right).alias("b"))
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0)).otherwise(let(both, walk))
-
-
-def running_offsets(lengths: Column, chunk: int = 32) -> Column:
-    """Exclusive running sums of an int array, one element longer than the array.
-
-    Appending inside one long fold copies the output at every step; folding
-    chunk by chunk keeps each copy short, so long texts stay near linear.
-    """
-
-    def fold(values: Column) -> Column:
-        return F.aggregate(
-            values,
-            F.array(F.lit(0)),
-            lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n),
-        )
-
-    def last(sums: Column) -> Column:
-        return F.element_at(sums, -1)
-
-    def merge(folds: Column) -> Column:
-        return let(
-            fold(F.transform(folds, last)),
-            lambda bases: F.concat(
-                F.flatten(
-                    F.transform(
-                        folds,
-                        lambda sums, k: let(
-                            F.get(bases, k),
-                            lambda base: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda x: x + base),
-                        ),
-                    )
-                ),
-                F.array(last(bases)),
-            ),
-        )
-
-    def whole(v: Column) -> Column:
-        count = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / chunk).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(v, k * chunk + 1, F.lit(chunk)))
-        return let(F.transform(pieces, fold), merge)
-
-    return let(lengths.cast("array<int>"), whole)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
+import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from stairwell.functions.arrays import let, running_offsets
-
 # The articles dropped by answer normalisation, and the code points
 # that count as white space.
 ARTICLES = ("a", "an", "the")
@@ -21,6 +22,8 @@ SPACE_CHARS = "".join(
 )
 # Letters, numbers and the underscore make up words.
 WORD = r"\p{L}\p{N}_"
+SCAN_BYTES = 4 << 20
+_TOKENS = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -40,33 +43,68 @@ def space_tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda t: t != "")
 
 
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """Per code point 0 in a gap, 1 in a word, 2 for a symbol of its own."""
+    present = np.zeros(int(points.max(initial=0)) + 1, bool)
+    present[points] = True
+    kinds = np.zeros(len(present), np.uint8)
+    for p in np.flatnonzero(present).tolist():
+        c = chr(p)
+        if c not in SPACE_CHARS:
+            kinds[p] = 1 if c == "_" or unicodedata.category(c)[0] in "LN" else 2
+    return kinds[points]
+
+
+def _located(texts: pa.Array) -> pa.Array:
+    """Tokens of all texts at once, from the texts' bytes: no loop over texts or tokens."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    begins = (data & 0xC0) != 0x80  # bytes that begin a code point
+    at_byte = np.append(np.flatnonzero(begins), len(data))
+    of_byte = np.cumsum(begins) - 1
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    bounds = np.append(np.cumsum(begins) - begins, len(points))[offsets - offsets[0]]  # first code point of each text
+    kind = _kinds(points)
+    inside, word = kind > 0, kind == 1
+    first = np.zeros(len(points) + 1, bool)
+    first[bounds] = True
+    goes_on = np.zeros(len(points), bool)  # in a word, not its first
+    goes_on[1:] = word[1:] & word[:-1] & ~first[1:-1]
+    starts = np.flatnonzero(inside & ~goes_on)
+    ends = np.flatnonzero(inside & ~np.append(goes_on, False)[1:]) + 1
+    of_text = np.searchsorted(starts, bounds)
+    shift = np.repeat(bounds[:-1], np.diff(of_text))
+    spelled = np.append(0, np.cumsum(at_byte[ends] - at_byte[starts])).astype(np.int32)
+    kept = data[inside[of_byte]] if len(data) else data
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(spelled), pa.py_buffer(kept.tobytes()))
+    columns = [tokens, pa.array((starts - shift).astype(np.int32)), pa.array((ends - shift).astype(np.int32))]
+    found = pa.StructArray.from_arrays(columns, ["tok", "start", "end"])
+    mask = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), found, mask=mask)
+
+
+def _token_offsets(texts: pa.Array) -> pa.Array:
+    """In stretches of about SCAN_BYTES, which bound the memory; a longer text is a stretch of its own."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1)
+    parts, at = [], 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(ends, ends[at] + SCAN_BYTES, "right")) - 1)
+        parts.append(_located(texts.slice(at, until - at)))
+        at = until
+    return pa.concat_arrays(parts) if parts else pa.array([], _TOKENS)
+
+
 def token_offsets(text: Column) -> Column:
     """``array<struct<tok,start,end>>``: words and single symbols with character offsets.
 
-    A token starts after the gap before the text and the lengths of all earlier
-    tokens with the gaps behind them, which is a running sum over the tokens.
+    Words are letters, numbers and underscores. The bytes of an Arrow batch are scanned at once: positions come from one
+    comparison of neighbours, so the cost per byte does not depend on how long a text is.
     """
-    pattern = F.lit(rf"[{WORD}]+|[^{WORD}{SPACE}]")
-    parts = F.struct(
-        F.regexp_extract_all(text, pattern, 0).alias("toks"), F.split(text, rf"[{WORD}]+|[^{WORD}{SPACE}]").alias("gaps")
-    )
-
-    def located(p: Column) -> Column:
-        toks, gaps = p["toks"], p["gaps"]
-        steps = F.transform(
-            gaps, lambda g, i: F.length(g) + F.when(i == 0, 0).otherwise(F.length(F.get(toks, i - 1)))
-        )
-        return let(
-            running_offsets(steps),
-            lambda at: F.transform(
-                toks,
-                lambda t, i: F.struct(
-                    t.alias("tok"), F.get(at, i + 1).alias("start"), (F.get(at, i + 1) + F.length(t)).alias("end")
-                ),
-            ),
-        )
-
-    return let(parts, located)
+    return F.arrow_udf(_token_offsets, "array<struct<tok:string,start:int,end:int>>")(text)
 
 
 # The substitutions of the standard machine-translation tokeniser

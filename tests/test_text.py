@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import string
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -83,11 +86,18 @@ def test_multiset_overlap(spark, pairs):
     assert {r.i: r.n for r in got} == {i: sum((Counter(a) & Counter(b)).values()) for i, (a, b) in enumerate(pairs)}
 
 
-@pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 64, 1000])
-def test_running_offsets(spark, size):
-    values = [i % 7 for i in range(size)]
-    want = [sum(values[:i]) for i in range(size + 1)]
-    assert column(spark, [values], ar.running_offsets, "array<int>") == [want]
+@pytest.mark.parametrize("stretch", [1, 50, 1 << 20])
+def test_token_offsets_of_a_batch(monkeypatch, stretch):
+    """Stretches of one text, of a few, of all; nulls, slices of arrays, code points of every length, words that touch across texts."""
+    monkeypatch.setattr(tx, "SCAN_BYTES", stretch)
+    pick = random.Random(5)
+    values = ["".join(pick.choice("aZ_9é字𝒳 \t\u3000,.!\u0301😀") for _ in range(pick.randint(0, 30))) for _ in range(200)]
+    values = [None if i % 17 == 3 else v for i, v in enumerate(values)] + ["a", "a", "", None]
+    want = [None if v is None else [(m.group(), *m.span()) for m in regex.finditer(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", v)] for v in values]
+    show = lambda rows: [None if r is None else [tuple(s.values()) for s in r] for r in rows]
+    assert show(tx._token_offsets(pa.array(values)).to_pylist()) == want
+    assert show(tx._token_offsets(pa.array(values).slice(7, 90)).to_pylist()) == want[7:97]
+    assert tx._token_offsets(pa.array([], pa.string())).to_pylist() == []
 
 
 def test_argmax_takes_the_first_of_equals(spark):
