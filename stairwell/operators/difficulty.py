@@ -15,13 +15,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stairwell.functions.arrays import linear_scale, log_softmax, softmax, vector_sum
 
 EMBEDDING_LAYER, LAST_LAYER = 0, -1
+TILE = 256  # components of a tile's side
+MOMENT_BYTES = 256 << 20  # open tiles of a task
 
 
-def pair_layers(hidden: DataFrame, idx: str = "idx", first: int = EMBEDDING_LAYER, last: int = LAST_LAYER) -> DataFrame:
-    """One row per token with its vector in both layers."""
-    pick = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("vector")))
-    wanted = hidden.filter(F.col("layer").isin(first, last))
-    return wanted.groupBy(idx, "token_pos").agg(pick(first).alias("x"), pick(last).alias("y"))
+def pair_layers(
+    hidden: DataFrame, idx: str = "idx", first: int = EMBEDDING_LAYER, last: int = LAST_LAYER, by: str | None = None
+) -> DataFrame:
+    """One row per token with its vector in both layers; a vector that is missing is null.
+
+    ``(idx, layer, token_pos)`` is unique.  The rows go once to their ``by`` (a column of ``hidden`` that an
+    example's rows share, such as its batch; default: the example), where the two layers lie side by side
+    in order of the tokens; what is grouped by ``by`` afterwards needs no further shuffle.
+    """
+    keys = list(dict.fromkeys([by or idx, idx, "token_pos"]))
+    wanted = hidden.filter(F.col("layer").isin(first, last)).select(*keys, "layer", "vector").repartition(by or idx)
+    token = Window.partitionBy(*keys).orderBy((F.col("layer") == last).cast("int"))
+    begins = F.col("layer") == first
+    paired = wanted.select(
+        *keys,
+        F.row_number().over(token).alias("__row"),
+        F.when(begins, F.col("vector")).alias("x"),
+        F.when(begins, F.lead("vector").over(token)).otherwise(F.col("vector")).alias("y"),
+    )
+    return paired.filter("__row = 1").drop("__row")
 
 
 def batch_of(idx: str, batch_size: int) -> Column:
@@ -100,34 +117,51 @@ def vector_std(df: DataFrame, vector: str, sample: str | None = None) -> DataFra
 def second_moment(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(``group``, ``i``, ``j``, ``value``): sum of outer products of the group's vectors.
 
-    A task reduces each Arrow batch to one d x d matrix per group with a matrix product, so
-    what is shuffled depends on the number of batches, not on rows times d².
+    A task adds up tiles of TILE x TILE components over all its rows, of which only those on and above
+    the diagonal are computed, and sends each tile of a group once; what is shuffled depends on
+    tasks, groups and d², not on rows.  If the open tiles fill MOMENT_BYTES, they are sent and begun anew.
     """
     group_type = df.schema[group].dataType.simpleString()
+    rows = df.select(group, vector).filter(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    sums = rows.mapInArrow(moment_tiles(group), f"`{group}` {group_type}, i int, j int, value double")
+    return sums.groupBy(group, "i", "j").agg(F.sum("value").alias("value"))
+
+
+def moment_tiles(group: str, tile: int = TILE, most_bytes: int = MOMENT_BYTES):
+    """The task of ``second_moment``: batches of (group, vector) to rows (group, i, j, value)."""
+
+    def sent(tiles: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for (label, a, b), block in tiles.items():
+            for begin_i, begin_j, values in ((a, b, block), (b, a, block.T))[: 1 if a == b else 2]:
+                i, j = np.divmod(np.arange(values.size), values.shape[1])
+                columns = [pa.array([label] * values.size, kind), pa.array((i + begin_i).astype(np.int32)), pa.array((j + begin_j).astype(np.int32)), pa.array(values.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=[group, "i", "j", "value"])
+        tiles.clear()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[tuple, np.ndarray] = {}
+        held, kind = 0, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            labels = batch.column(0)
-            lists = batch.column(1)
-            width = len(lists[0])
-            matrix = np.asarray(lists.flatten(), dtype=np.float64).reshape(-1, width)
-            codes = labels.dictionary_encode()
+            kind = batch.column(0).type
+            width = len(batch.column(1)[0])
+            matrix = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, width)
+            codes = batch.column(0).dictionary_encode()
             numbers = np.asarray(codes.indices)
-            i, j = np.divmod(np.arange(width * width), width)
-            for k, label in enumerate(codes.dictionary):
+            for k, label in enumerate(codes.dictionary.to_pylist()):
                 rows = matrix[numbers == k]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([label.as_py()] * (width * width), type=labels.type),
-                        pa.array(i, type=pa.int32()),
-                        pa.array(j, type=pa.int32()),
-                        pa.array((rows.T @ rows).ravel()),
-                    ],
-                    names=[group, "i", "j", "value"],
-                )
-
-    rows = df.select(group, vector).filter(F.col(group).isNotNull() & F.col(vector).isNotNull())
-    sums = rows.mapInArrow(partial, f"`{group}` {group_type}, i int, j int, value double")
-    return sums.groupBy(group, "i", "j").agg(F.sum("value").alias("value"))
+                for a in range(0, width, tile):
+                    for b in range(a, width, tile):
+                        product = rows[:, a : a + tile].T @ rows[:, b : b + tile]
+                        if (label, a, b) in tiles:
+                            tiles[label, a, b] += product
+                        else:
+                            tiles[label, a, b] = product
+                            held += product.nbytes
+                            if held > most_bytes:
+                                yield from sent(tiles, kind)
+                                held = 0
+        yield from sent(tiles, kind)
+
+    return partial

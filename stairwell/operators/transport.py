@@ -1,9 +1,9 @@
 """Entropic optimal transport between the token clouds of an example.
 
-Spark shuffles the vectors to their example; the short numeric loop over one
+Spark shuffles the vectors to their example; the numeric loop over one
 example's two clouds runs as a grouped Arrow function, one example in memory at
-a time.  A cloud is bounded by the feature length of a model, and that bound is
-checked before the shuffle.
+a time.  The cost matrix is never held as a whole: every sweep goes over tiles of it and keeps
+a running logarithm of sums, so memory grows with the points of a cloud, not with their square.
 """
 
 from __future__ import annotations
@@ -14,16 +14,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from stairwell.operators.difficulty import EMBEDDING_LAYER, LAST_LAYER
 
-MAX_TOKENS = 4096
+TILE = 1024  # points on either side of a tile
 
 
-def _soft_min(eps: float, cost: np.ndarray, height: np.ndarray) -> np.ndarray:
-    scores = height[None, :] - cost / eps
-    top = scores.max(axis=1)
-    return -eps * (top + np.log(np.exp(scores - top[:, None]).sum(axis=1)))
+class _Cost:
+    """Tiles of the cost |x-y|²/2; a single one is kept, more are made anew for every sweep."""
 
+    def __init__(self, x: np.ndarray, y: np.ndarray, tile: int) -> None:
+        self.x, self.y, self.tile = x, y, tile
+        self.squares = (x**2).sum(1), (y**2).sum(1)
+        self.whole = self._made(0, 0) if max(len(x), len(y)) <= tile else None
 
-def source_potential(x: np.ndarray, y: np.ndarray, blur: float = 0.05, scaling: float = 0.9) -> float:
+    def _made(self, i: int, j: int) -> np.ndarray:
+        rows, columns = slice(i, i + self.tile), slice(j, j + self.tile)
+        return (self.squares[0][rows, None] + self.squares[1][None, columns] - 2 * self.x[rows] @ self.y[columns].T) / 2
+
+    def at(self, i: int, j: int) -> np.ndarray:
+        return self._made(i, j) if self.whole is None else self.whole
+
+    def soft_min(self, eps: float, height: np.ndarray, transposed: bool = False) -> np.ndarray:
+        """-eps * log of the sum of exp(height - cost / eps) over the other cloud, for every point."""
+        out = []
+        mine, other = (self.y, self.x) if transposed else (self.x, self.y)
+        for i in range(0, len(mine), self.tile):
+            top = total = None
+            for j in range(0, len(other), self.tile):
+                cost = self.at(j, i).T if transposed else self.at(i, j)
+                scores = height[None, j : j + self.tile] - cost / eps
+                peak = scores.max(axis=1)
+                if top is None:
+                    top, total = peak, np.exp(scores - peak[:, None]).sum(axis=1)
+                    continue
+                higher = np.maximum(top, peak)
+                total = total * np.exp(top - higher) + np.exp(scores - higher[:, None]).sum(axis=1)
+                top = higher
+            out.append(-eps * (top + np.log(total)))
+        return np.concatenate(out)
+
+
+def source_potential(x: np.ndarray, y: np.ndarray, blur: float = 0.05, scaling: float = 0.9, tile: int = TILE) -> float:
     """Sum of the source potential of entropic transport with cost |x-y|²/2.
 
     Uniform weights; the temperature falls from the squared diameter of both
@@ -37,36 +66,30 @@ def source_potential(x: np.ndarray, y: np.ndarray, blur: float = 0.05, scaling:
     if diameter > 0:
         ladder = np.exp(np.arange(2 * np.log(diameter), 2 * np.log(blur), 2 * np.log(scaling)))
         temperatures = [diameter**2, *ladder, blur**2]
-    cost = ((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T) / 2
+    cost = _Cost(x, y, tile)
     log_a, log_b = -np.log(len(x)) * np.ones(len(x)), -np.log(len(y)) * np.ones(len(y))
-    f, g = _soft_min(temperatures[0], cost, log_b), _soft_min(temperatures[0], cost.T, log_a)
+    f, g = cost.soft_min(temperatures[0], log_b), cost.soft_min(temperatures[0], log_a, True)
     for eps in temperatures:
-        new_f = _soft_min(eps, cost, log_b + g / eps)
-        new_g = _soft_min(eps, cost.T, log_a + f / eps)
+        new_f = cost.soft_min(eps, log_b + g / eps)
+        new_g = cost.soft_min(eps, log_a + f / eps, True)
         f, g = (f + new_f) / 2, (g + new_g) / 2
-    return float(_soft_min(temperatures[-1], cost, log_b + g / temperatures[-1]).sum())
+    return float(cost.soft_min(temperatures[-1], log_b + g / temperatures[-1]).sum())
 
 
 def sinkhorn_difficulty(
-    hidden: DataFrame, idx: str = "idx", blur: float = 0.05, scaling: float = 0.9, max_tokens: int = MAX_TOKENS
+    hidden: DataFrame, idx: str = "idx", blur: float = 0.05, scaling: float = 0.9, tile: int = TILE
 ) -> DataFrame:
-    """(``idx``, ``difficulty``) from ``(idx, layer, token_pos, vector)``.
-
-    A token position of ``max_tokens`` or more is an error, so no example gathers
-    more than ``max_tokens`` vectors per layer.
-    """
-    out_of_bounds = F.raise_error(F.concat(F.lit("token_pos beyond max_tokens: "), F.col("token_pos").cast("string")))
+    """(``idx``, ``difficulty``) from ``(idx, layer, token_pos, vector)``; clouds of any size, a layer without tokens gives null."""
     rows = hidden.filter(F.col("layer").isin(EMBEDDING_LAYER, LAST_LAYER)).select(
-        idx,
-        F.when(F.col("token_pos") < max_tokens, F.col("layer")).otherwise(out_of_bounds.cast("int")).alias("layer"),
-        F.col("vector").cast("array<double>").alias("vector"),
+        idx, "layer", F.col("vector").cast("array<double>").alias("vector")
     )
 
     def score(example: pa.Table) -> pa.Table:
         layer = example["layer"].to_numpy()
         points = example["vector"].combine_chunks().flatten().to_numpy().reshape(len(layer), -1)
-        value = source_potential(points[layer == EMBEDDING_LAYER], points[layer == LAST_LAYER], blur, scaling)
-        return pa.table({idx: example[idx][:1], "difficulty": [value]})
+        x, y = points[layer == EMBEDDING_LAYER], points[layer == LAST_LAYER]
+        value = source_potential(x, y, blur, scaling, tile) if len(x) and len(y) else None
+        return pa.table({idx: example[idx][:1], "difficulty": pa.array([value], pa.float64())})
 
     key_type = hidden.schema[idx].dataType.simpleString()
     # a fixed width: the loop costs far more than its bytes suggest, so partitions must not be merged by size

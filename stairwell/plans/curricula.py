@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stairwell.operators import curriculum as cu, difficulty as di
 from stairwell.operators.transport import sinkhorn_difficulty
 from stairwell.plans import views
+from stairwell.plans.training import score_examples
 
 LEVELS, BATCH, SEED, EPOCHS = 3, 16, 42, 2
 VECTOR_BATCH = 16
@@ -57,6 +58,12 @@ def _sinkhorn(spark, folder):
     return out.select("idx", F.round("difficulty", 4).alias("difficulty"))
 
 
+def _scored(spark, folder):
+    """Whole scoring from hidden states: both layers of a token side by side, scaled by the extremes of the batch."""
+    scored = score_examples(views.token_clouds(spark, folder), "kl", "line", batch_size=VECTOR_BATCH)
+    return _rounded(scored)
+
+
 def _moment(spark, folder):
     vectors = views.table(spark, folder, "embeddings")
     return _rounded(di.second_moment(vectors, "label", "embedding"), "value")
@@ -133,6 +140,7 @@ QUERIES = {
     "batch_difficulty": _batch_mean,
     "batch_tensor_difficulty": _batch_tensor,
     "sinkhorn_difficulty": _sinkhorn,
+    "score_examples": _scored,
     "density_matrix": _moment,
     "vector_std": _std,
     "difficulty_levels": _levels,
@@ -261,6 +269,7 @@ SELECT vec_id, dim, round(s - ln(sum(exp(s)) OVER (PARTITION BY vec_id)), 6) AS
     "batch_difficulty": f"""WITH {_sql_hidden()}, s AS (SELECT vec_id, batch, avg({_SYM}) AS d FROM h GROUP BY ALL)
 SELECT vec_id, batch, round(avg(d) OVER (PARTITION BY batch), 6) AS difficulty FROM s""",
     "batch_tensor_difficulty": f"WITH {_sql_hidden('batch')} SELECT batch, round(avg({_SYM}), 6) AS difficulty FROM h GROUP BY batch",
+    "score_examples": f"WITH {_sql_hidden('batch')} SELECT vec_id AS idx, round(avg({_SYM}), 6) AS difficulty FROM h GROUP BY vec_id",
     "density_matrix": """SELECT label, i, j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * embedding[j + 1]), 6) AS value
 FROM embeddings, (SELECT unnest(range(64)) AS i) a, (SELECT unnest(range(64)) AS j) b GROUP BY ALL""",
     "vector_std": f"WITH {SQL_VECTORS} SELECT dim, round(stddev_pop(x), 6) AS std FROM v GROUP BY dim",

@@ -33,9 +33,7 @@ def score_examples(
         if batch:
             ready = ready.withColumn(batch, F.struct(number.alias("n"), "layer"))
         return sinkhorn_difficulty(di.normalise(ready, ["vector"], norm, batch), idx, scaling=scaling)
-    paired = di.pair_layers(hidden, idx)
-    if batch:
-        paired = paired.withColumn(batch, number)
+    paired = di.pair_layers(hidden.withColumn(batch, number), idx, by=batch) if batch else di.pair_layers(hidden, idx)
     return di.kl_difficulty(di.normalise(paired, ["x", "y"], norm, batch), idx, symmetric=criterion == "kl")
 
 

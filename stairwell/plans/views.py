@@ -195,7 +195,7 @@ def hidden(spark: SparkSession, folder: str) -> DataFrame:
 def token_clouds(spark: SparkSession, folder: str, width: int = 8) -> DataFrame:
     """The paired vectors cut into tokens of ``width`` components, one row per layer and token."""
     pieces = lambda v: F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(v) / width).cast("int") - 1), lambda k: F.slice(v, k * width + 1, F.lit(width))
+        F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda k: F.slice(v, k * width + 1, F.lit(width))
     )
     both = hidden(spark, folder).select(
         F.col("vec_id").alias("idx"),

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stairwell.operators import curriculum as cu, difficulty as di, transport as tr
 from stairwell.plans.training import build_curriculum, score_examples
@@ -96,10 +97,43 @@ def test_transport_over_a_table(spark):
     assert got == pytest.approx({i: tr.source_potential(clouds(rows, i, 0), clouds(rows, i, -1)) for i in range(6)}, rel=1e-6)
 
 
-def test_oversized_cloud_is_an_error(spark):
-    df = spark.createDataFrame([(0, 0, 9, [0.0]), (0, -1, 0, [0.0])], HIDDEN)
-    with pytest.raises(Exception, match="max_tokens"):
-        tr.sinkhorn_difficulty(df, max_tokens=9).collect()
+@pytest.mark.parametrize("tile", [1, 16, 64, 150])
+def test_tiled_transport_equals_the_dense_one(spark, tile):
+    pick = np.random.default_rng(3)
+    x, y = pick.normal(size=(200, 5)), pick.normal(size=(130, 5)) + 1
+    dense = tr.source_potential(x, y)
+    assert tr.source_potential(x, y, tile=tile) == pytest.approx(dense, rel=1e-9)
+    if tile == 64:
+        rows = [(0, layer, i, v.tolist()) for layer, cloud in ((0, x), (-1, y)) for i, v in enumerate(cloud)] + [(1, 0, 0, [0.0] * 5)]
+        got = {r.idx: r.difficulty for r in tr.sinkhorn_difficulty(spark.createDataFrame(rows, HIDDEN), tile=tile).collect()}
+        assert got[0] == pytest.approx(dense, rel=1e-6) and got[1] is None
+
+
+def test_tiles_are_sent_once(spark):
+    """A task sends one block per group and tile, however many batches it reads; a full memory sends them earlier."""
+    import pyarrow as pa
+
+    pick = np.random.default_rng(2)
+    data, labels = pick.normal(size=(90, 7)), [i % 3 for i in range(90)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(labels[k : k + 10]), pa.array(list(data[k : k + 10]))], ["g", "v"]) for k in range(0, 90, 10)]
+    for tile, most, rows in ((3, 1 << 30, 3 * 49), (7, 1 << 30, 3 * 49), (3, 1, 9 * 3 * 49)):
+        sent = pa.Table.from_batches(di.moment_tiles("g", tile, most)(iter(batches))).to_pandas()
+        assert len(sent) == rows
+        for g in range(3):
+            mine = data[[k for k in range(90) if labels[k] == g]]
+            got = sent[sent.g == g].groupby(["i", "j"]).value.sum().to_numpy().reshape(7, 7)
+            assert np.allclose(got, mine.T @ mine)
+
+
+def test_layers_meet_in_one_shuffle(spark):
+    _, df = hidden(spark)
+    paired = di.pair_layers(df.withColumn("b", F.floor(F.col("idx") / 4)), by="b")
+    for step in (paired, di.kl_difficulty(paired, "b")):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "max(" not in plan
+    some = spark.createDataFrame([(0, 0, 0, [1.0]), (0, -1, 0, [2.0]), (0, 0, 1, [3.0]), (1, -1, 0, [4.0]), (1, 5, 0, [9.0])], HIDDEN)
+    got = sorted((r.idx, r.token_pos, r.x, r.y) for r in di.pair_layers(some).collect())
+    assert got == [(0, 0, [1.0], [2.0]), (0, 1, [3.0], None), (1, 0, None, [4.0])]
 
 
 def test_second_moment(spark):

@@ -261,8 +261,31 @@ def brute_bleu(pairs):
 )
 def test_bleu(spark, pairs):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, p string, r string")
-    row = bleu.corpus_bleu(df, "k", "p", "r").first()
+    row = bleu.corpus_bleu(df, "p", "r").first()
     assert row.bleu == pytest.approx(brute_bleu(pairs), abs=5e-5)
     assert row.gen_len == pytest.approx(sum(len(p.split()) for p, _ in pairs) / len(pairs), abs=5e-5)
-    counted = bleu.corpus_bleu(df, "k", "p", "r", F.lit(7)).first()
+    counted = bleu.corpus_bleu(df, "p", "r", F.lit(7)).first()
     assert counted.gen_len == 7.0 and counted.bleu == row.bleu
+
+
+def test_matches_are_counted_in_the_row(spark, monkeypatch):
+    """Clipped n-grams of random rows against counters, in stretches of any size; no text is shuffled."""
+    import pyarrow as pa
+
+    pick = random.Random(8)
+    texts = lambda: [None if pick.random() < 0.1 else pick.choices("abc", k=pick.randint(0, 12)) for _ in range(60)]
+    said, meant = texts(), texts()
+    want = []
+    for p, r in zip(said, meant, strict=True):
+        grams = lambda t, n: Counter(tuple((t or [])[k : k + n]) for k in range(len(t or []) - n + 1))
+        row = [len(r or [])]
+        for n in bleu.ORDERS:
+            row += [(grams(p, n) & grams(r, n)).total(), grams(p, n).total()]
+        want.append(row)
+    for stretch in (1, 30, 1 << 20):
+        monkeypatch.setattr(bleu, "BATCH_TOKENS", stretch)
+        kind = pa.list_(pa.string())
+        assert bleu._matches(pa.array(said, kind), pa.array(meant, kind)).to_pylist() == want
+    df = spark.range(4).select(F.lit("a b").alias("p"), F.lit("a c").alias("r")).repartition(2)
+    plan = bleu.corpus_bleu(df, "p", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.replace("Repartition 2", "").replace("RepartitionByExpression [], 2", "") and "Generate" not in plan
