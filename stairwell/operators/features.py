@@ -11,6 +11,7 @@ SPAN = "struct<start:int,end:int>"
 NO_SPAN = f"cast(null as {SPAN})"
 QUESTION, CONTEXT, SPECIAL = 0, 1, -1
 CLS, SEP = "[CLS]", "[SEP]"
+WINDOW_TEXT, TEXT_AT, QUESTION_STARTS = "window_text", "text_at", "question_starts"
 
 
 def window_features(
@@ -22,6 +23,8 @@ def window_features(
     overlap: int = 128,
     context_first: bool = False,
     carry: list[str] | None = None,
+    text: str | None = None,
+    question_starts: str | None = None,
 ) -> DataFrame:
     """One row per window of an example's context.
 
@@ -35,7 +38,10 @@ def window_features(
     Output: ``keys``, ``window``, ``first_token`` (context position of the window),
     ``tokens``, ``roles`` (0 question, 1 context, -1 special), ``offset_mapping``
     (null outside the context), ``context_at`` (position of the first context
-    token), ``context_size``, ``cls_index``, and the ``carry`` columns.
+    token), ``context_size``, ``cls_index``, and the ``carry`` columns.  ``text`` names the context's text: every window
+    then has the stretch of it that its tokens cover (``window_text``) and where that begins (``text_at``).
+    ``question_starts`` names the character positions at which the question's tokens start, which the windows then keep:
+    ``label_spans`` needs them where the question follows the context.
     """
     q_size = F.size(question_tokens)
     budget = (F.lit(max_length) - q_size - 3).cast("int")
@@ -46,21 +52,33 @@ def window_features(
     sized = df.select(
         *keys,
         *(carry or []),
+        *([F.col(text).alias("__text")] if text else []),
+        *([F.col(question_starts).alias(QUESTION_STARTS)] if question_starts else []),
         F.col(question_tokens).alias("__q"),
         F.col(context_spans).alias("__c"),
         budget.alias("__budget"),
         F.when(step <= 0, too_long.cast("int")).otherwise(step).alias("__step"),
         F.when(step <= 0, F.lit(0)).otherwise(extra).alias("__last"),
     )
+    def stretch(w: Column) -> list[Column]:
+        if not text:
+            return []
+        begin = F.coalesce(F.get("__c", w * F.col("__step"))["start"], F.lit(0))
+        last = F.least(w * F.col("__step") + F.col("__budget"), F.size("__c")) - 1
+        size = F.coalesce(F.get("__c", last)["end"], F.lit(0)) - begin
+        return [begin.alias(TEXT_AT), F.substring(F.col("__text"), begin + 1, size).alias(WINDOW_TEXT)]
+
     pieces = F.transform(
         F.sequence(F.lit(0), F.col("__last")),
         lambda w: F.struct(
             w.alias("window"),
             (w * F.col("__step")).alias("first_token"),
             F.slice("__c", w * F.col("__step") + 1, F.col("__budget")).alias("spans"),
+            *stretch(w),
         ),
     )
-    cut = sized.select(*keys, *(carry or []), "__q", F.inline(pieces))
+    starts = [QUESTION_STARTS] if question_starts else []
+    cut = sized.select(*keys, *(carry or []), "__q", *starts, F.inline(pieces))
     spans = F.col("spans")
     c_size = F.size(spans)
     words = F.transform(spans, lambda s: s["tok"])
@@ -106,6 +124,8 @@ def window_features(
         c_size.alias("context_size"),
         cls_index.cast("int").alias("cls_index"),
         *(carry or []),
+        *([TEXT_AT, WINDOW_TEXT] if text else []),
+        *starts,
     )
 
 
@@ -116,8 +136,10 @@ def label_spans(features: DataFrame, start_char: str, answer_text: str) -> DataF
     not lie fully inside the window, points at the CLS token.  Otherwise the start
     is the last token beginning at or before the answer, the end the first token
     (scanning back) ending at or after it.  When that start is the window's last
-    context token the forward scan runs on through the trailing special tokens, whose offset is zero, so
-    the position is the last one of the feature.
+    context token the forward scan runs on: through special tokens, whose offset is zero, and, where the question
+    follows the context and its ``question_starts`` are known, through question tokens
+    that start at or before the answer's position in the context.  So the position is the one before the first
+    question token that starts later, or the last one of the feature.
     """
     # context tokens are neighbours, so a slice finds them
     spans = F.slice("offset_mapping", F.col("context_at") + 1, F.col("context_size"))
@@ -132,7 +154,12 @@ def label_spans(features: DataFrame, start_char: str, answer_text: str) -> DataF
     )
     not_after = F.size(F.filter(spans, lambda o: o["start"] <= begin))
     not_before = F.size(F.filter(spans, lambda o: o["end"] >= end))
-    start_token = F.when(not_after == size, F.size("tokens") - 1).otherwise(base + not_after - 1)
+    beyond = F.size("tokens") - 1
+    if QUESTION_STARTS in features.columns:
+        passed = F.size(F.filter(QUESTION_STARTS, lambda s: s <= begin))
+        stops = (base == 0) & (passed < F.size(QUESTION_STARTS))
+        beyond = F.when(stops, size + passed).otherwise(beyond)
+    start_token = F.when(not_after == size, beyond).otherwise(base + not_after - 1)
     end_token = base + size - not_before
     cls = F.col("cls_index")
     hit = F.coalesce(inside, F.lit(False))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stairwell.functions.arrays import let
+from stairwell.operators.features import TEXT_AT, WINDOW_TEXT
 
 EMPTY_TEXT = "empty"  # fixed value: answer shown when only the null answer exists
 BEAM_FALLBACK = -1e-6  # fixed value: log probabilities of the beam fallback answer
@@ -24,9 +25,16 @@ def attach_logits(features: DataFrame, logits: DataFrame, keys: list[str]) -> Da
 
 
 def _top(values: Column, n: int) -> Column:
-    """``array<struct<neg,idx>>`` of the ``n`` largest elements, earlier index first on ties."""
-    ordered = F.sort_array(F.transform(values, lambda v, i: F.struct((-v).alias("neg"), i.alias("idx"))))
-    return F.slice(ordered, F.lit(1), F.lit(n))
+    """``array<struct<neg,idx>>`` of the ``n`` largest elements, earlier index first on ties.
+
+    The ``n``-th largest value comes from a sort of plain numbers; only elements that reach it become structs.
+    """
+
+    def reaching(least: Column) -> Column:
+        marked = F.transform(values, lambda v, i: F.when(least.isNull() | (v >= least), F.struct((-v).alias("neg"), i.alias("idx"))))
+        return F.slice(F.sort_array(F.filter(marked, lambda x: x.isNotNull())), F.lit(1), F.lit(n))
+
+    return let(F.get(F.sort_array(values, asc=False), F.lit(n - 1)), reaching)
 
 
 def _in_context(offsets: Column, best_context: Column | None, start: Column) -> Column:
@@ -39,15 +47,19 @@ def _fits(start: Column, end: Column, max_answer: int) -> Column:
     return (end >= start) & (end - start < max_answer)
 
 
-def _candidate(start: Column, end: Column, s: Column, e: Column, offsets: Column) -> Column:
+def _candidate(start: Column, end: Column, s: Column, e: Column, offsets: Column, with_text: bool) -> Column:
+    begin, stop = F.get(offsets, start)["start"], F.get(offsets, end)["end"]
+    # the window holds its own stretch of the context, so a short text is cut here and no context travels
+    text = [F.substring(F.col(WINDOW_TEXT), begin - F.col(TEXT_AT) + 1, stop - begin).alias("text")] if with_text else []
     return F.struct(
         (-(s + e)).alias("neg_score"),
         start.alias("start_index"),
         end.alias("end_index"),
         s.alias("start_logit"),
         e.alias("end_logit"),
-        F.get(offsets, start)["start"].alias("start_char"),
-        F.get(offsets, end)["end"].alias("end_char"),
+        begin.alias("start_char"),
+        stop.alias("end_char"),
+        *text,
     )
 
 
@@ -67,7 +79,8 @@ def window_candidates(
     ranking over windows can use, or all of them with ``every``.
 
     ``max_context`` optionally names an array<boolean> that is true where a token
-    has its maximum context in this window.
+    has its maximum context in this window.  Windows with their text (``window_features`` with ``text``) give candidates
+    with theirs.
     """
     off = F.col(offsets)
     best_context = F.col(max_context) if max_context else None
@@ -81,7 +94,7 @@ def window_candidates(
                 t["starts"],
                 lambda s: F.transform(
                     F.filter(t["ends"], lambda e: _fits(s["idx"], e["idx"], max_answer)),
-                    lambda e: _candidate(s["idx"], e["idx"], -s["neg"], -e["neg"], off),
+                    lambda e: _candidate(s["idx"], e["idx"], -s["neg"], -e["neg"], off, WINDOW_TEXT in df.columns),
                 ),
             )
         )
@@ -128,7 +141,7 @@ def beam_candidates(
         & _in_context(off, best_context, x["s"])
         & F.get(off, x["e"]).isNotNull(),
     )
-    spans = F.transform(usable, lambda x: _candidate(x["s"], x["e"], x["ps"], x["pe"], off))
+    spans = F.transform(usable, lambda x: _candidate(x["s"], x["e"], x["ps"], x["pe"], off, WINDOW_TEXT in df.columns))
     return df.withColumns(
         {
             "candidates": F.slice(F.sort_array(spans), F.lit(1), F.lit(n_best)),
@@ -168,7 +181,7 @@ def null_scores(candidates: DataFrame, example: str, window: str = "window") ->
 
 def example_nbest(
     candidates: DataFrame,
-    contexts: DataFrame,
+    contexts: DataFrame | None,
     example: str,
     context: str = "context",
     window: str = "window",
@@ -179,9 +192,12 @@ def example_nbest(
     """One row per example: ``nbest`` (ranked answers with text and probability) and ``null_score``.
 
     ``candidates`` comes from ``window_candidates`` or ``beam_candidates``;
-    ``contexts`` has one row per example with the context text.  Ties are broken
-    by window, start and end.
+    ``contexts`` has one row per example with the context text; None if the candidates have their texts, which spares
+    the join.  Ties are broken by window, start and end.
     """
+    own_text = contexts is None
+    if own_text and "text" not in candidates.schema["candidates"].dataType.elementType.names:
+        raise ValueError("candidates without texts need contexts")
     score_type = candidates.schema["null_prediction"].dataType["score"].dataType.simpleString()
     null_row = F.struct(
         F.lit(1).alias("kind"),
@@ -192,6 +208,7 @@ def example_nbest(
         F.col("null_prediction.end_logit").alias("end_logit"),
         F.lit(0).alias("start_char"),
         F.lit(0).alias("end_char"),
+        F.lit("").alias("text"),
     )
     span_row = F.transform(
         "candidates",
@@ -204,6 +221,7 @@ def example_nbest(
             c["end_logit"].cast(score_type).alias("end_logit"),
             c["start_char"].alias("start_char"),
             c["end_char"].alias("end_char"),
+            (c["text"] if own_text else F.lit("")).alias("text"),
         ),
     )
     rows = candidates.select(example, F.col(window).alias("__w"), F.inline(F.concat(span_row, F.array(null_row))))
@@ -218,6 +236,7 @@ def example_nbest(
         "end_logit",
         "start_char",
         "end_char",
+        "text",
     )
     null_answer = F.struct(
         F.lit(0).alias("rank"),
@@ -226,13 +245,14 @@ def example_nbest(
         "end_logit",
         F.lit(0).alias("start_char"),
         F.lit(0).alias("end_char"),
+        F.lit("").alias("text"),
     )
     # at most n_best + 1 rows per example remain
     grouped = ranked.groupBy(example).agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == 0, answer))).alias("spans"),
         F.max(F.when(F.col("kind") == 1, null_answer)).alias("null_answer"),
     )
-    joined = grouped.join(contexts.select(example, F.col(context).alias("__context")), example)
+    joined = grouped if own_text else grouped.join(contexts.select(example, F.col(context).alias("__context")), example)
     spans, null = F.col("spans"), F.col("null_answer")
     if with_negatives and not beam:
         ahead = F.filter(spans, lambda s: s["score"] >= null["score"])
@@ -242,7 +262,7 @@ def example_nbest(
         ).otherwise(F.concat(spans, F.array(null)))
     else:
         kept = spans
-    text = lambda s: F.substring(F.col("__context"), s["start_char"] + 1, s["end_char"] - s["start_char"])
+    text = lambda s: s["text"] if own_text else F.substring(F.col("__context"), s["start_char"] + 1, s["end_char"] - s["start_char"])
     answers = F.transform(
         kept,
         lambda s: F.struct(

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stairwell.functions.arrays import argmax, pad_to
-from stairwell.functions.text import BLEU_RULES, SPACE, space_tokens
+from stairwell.functions.text import BLEU_RULES, SPACE, WORD, space_tokens
 from stairwell.operators import bleu, classify as cl, features as ft, tagging as tg
 from stairwell.plans import views
+from stairwell.plans.preparation import sentence_features, tag_features, translation_features
+from stairwell.sources.conll import NER_TAGS, class_ids
 from stairwell.sources.pairs import cross_language_splits
 from stairwell.sources.translation import translation_pairs
 
 LOGIT_CLASSES = 5
 PAD_ID = 0
 SUBWORD = 4  # characters per stand-in subword
+MAX_TAGGED, MAX_PAIR, MAX_SOURCE, MAX_TARGET, PREFIX = 64, 96, 64, 32, "translate: "
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -29,6 +32,28 @@ def _vocabulary(spark, folder):
     return ft.tag_vocabulary(views.tagged(spark, folder), "predicted")
 
 
+def _declared(spark, folder):
+    """Whole preparation of sentences whose tags are ids of declared classes; long words are cut into pieces."""
+    lines = views.tagged(spark, folder).select(F.concat_ws("-", "doc_id", "line").alias("id"), "tokens", class_ids(F.col("ner_tags"), NER_TAGS).alias("ner_tags"))
+    ready = tag_features(lines, max_length=MAX_TAGGED, piece_length=SUBWORD)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return ready.select("id", joined("tokens"), joined("labels"))
+
+
+def _sentence_pairs(spark, folder):
+    """Whole preparation of sentence pairs: every labelled document beside its language and source."""
+    docs = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("sentence1"), F.concat_ws(" ", "lang", "source").alias("sentence2"))
+    labelled = docs.join(views.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    ready = sentence_features(labelled, "doc_id", max_length=MAX_PAIR)
+    return ready.select("doc_id", F.array_join("tokens", " ").alias("tokens"), "label")
+
+
+def _translated(spark, folder):
+    """Whole preparation of translations, cut to their lengths."""
+    ready = translation_features(views.translations(spark, folder), "src", "ref", PREFIX, MAX_SOURCE, MAX_TARGET, ["doc_id"])
+    return ready.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("tokens", "labels")])
+
+
 def _align(spark, folder):
     """Words cut into subwords of a few characters, with a special token at both ends."""
     rows = views.tagged(spark, folder)
@@ -147,6 +172,9 @@ def _bleu(spark, folder):
 QUERIES = {
     "label_encode": _encode,
     "tag_vocab": _vocabulary,
+    "tag_features": _declared,
+    "sentence_features": _sentence_pairs,
+    "translation_features": _translated,
     "align_tags": _align,
     "mask_labels": _mask,
     "argmax_label": _argmax,
@@ -285,6 +313,24 @@ ORACLE = {
 SELECT doc_id, lang, label_id FROM documents JOIN v USING (lang)""",
     "tag_vocab": f"""WITH {SQL_SENTENCES}
 SELECT pred AS tag, CAST(row_number() OVER (ORDER BY pred) - 1 AS INT) AS tag_id FROM (SELECT DISTINCT pred FROM tags)""",
+    "tag_features": f"""WITH {SQL_SENTENCES},
+sub AS (
+  SELECT doc_id, line, i, tok, gold, unnest(range(CAST(ceil(length(tok) / {SUBWORD}.0) AS BIGINT))) AS k FROM tags),
+cut AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i, k) AS place FROM sub QUALIFY place <= {MAX_TAGGED - 2}),
+lab AS (
+  SELECT doc_id, line, string_agg(substring(tok, k * {SUBWORD} + 1, {SUBWORD}), ' ' ORDER BY place) AS t,
+         string_agg(CASE WHEN k = 0 THEN CAST(list_position({list(NER_TAGS)}, gold) - 1 AS VARCHAR) ELSE '{ft.IGNORED}' END, ' ' ORDER BY place) AS l
+  FROM cut GROUP BY ALL)
+SELECT sent.doc_id || '-' || sent.line AS id, concat_ws(' ', '[CLS]', t, '[SEP]') AS tokens, concat_ws(' ', '{ft.IGNORED}', l, '{ft.IGNORED}') AS labels
+FROM sent LEFT JOIN lab USING (doc_id, line)""",
+    "sentence_features": f"""WITH t AS (
+  SELECT doc_id, quality, lang, source, regexp_extract_all(text, '[{WORD}]+|[^{WORD}{SPACE}]') AS w FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, CAST(quality AS INT) AS label,
+       concat_ws(' ', '[CLS]', nullif(array_to_string(list_slice(w, 1, least(len(w), {MAX_PAIR - 5})), ' '), ''), '[SEP]', lang, source, '[SEP]') AS tokens FROM t""",
+    "translation_features": f"""WITH p AS (
+  SELECT doc_id, text AS ref, '{PREFIX}' || array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) < 10), ' ') AS src FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(src, '[{SPACE}]+'), lambda x: x <> ''), 1, {MAX_SOURCE}), ' ') AS tokens,
+       array_to_string(list_slice(list_filter(regexp_split_to_array(ref, '[{SPACE}]+'), lambda x: x <> ''), 1, {MAX_TARGET}), ' ') AS labels FROM p""",
     "align_tags": f"""WITH {SQL_SENTENCES},
 sub AS (
   SELECT doc_id, line, i, unnest(range(CAST(ceil(length(tok) / {SUBWORD}.0) AS BIGINT))) AS k,

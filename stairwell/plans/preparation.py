@@ -46,14 +46,16 @@ def question_features(
     keys = [key, position] if placed else [key]
     ready = picked.select(
         *keys,
-        _words(F.col(question)).alias("__question"),
+        token_offsets(F.col(question)).alias("__q"),
         token_offsets(F.col(context)).alias("__spans"),
         *([start.alias("start_char"), text.alias("answer")] if labels else []),
     )
     carry = ["start_char", "answer"] if labels else []
-    out = ft.window_features(ready, keys, "__question", "__spans", max_length, overlap, context_first, carry)
+    asked = {"__question": F.transform("__q", lambda t: t["tok"]), "__starts": F.transform("__q", lambda t: t["start"])}
+    starts = "__starts" if context_first and labels else None
+    out = ft.window_features(ready.withColumns(asked), keys, "__question", "__spans", max_length, overlap, context_first, carry, question_starts=starts)
     if labels:
-        out = ft.label_spans(out, "start_char", "answer").drop(*carry)
+        out = ft.label_spans(out, "start_char", "answer").drop(*carry, ft.QUESTION_STARTS)
     if context_first:
         out = ft.answer_mask(out)
     if placed:
@@ -108,12 +110,16 @@ def tag_features(
     """``key``, ``tokens``, ``word_ids`` and aligned ``labels`` of tagged sentences.
 
     ``piece_length`` cuts words into pieces of that many characters, as a subword
-    tokeniser would.  Tags become ids by ``vocabulary`` (``tag``, ``tag_id``).
+    tokeniser would.  Tags become ids by ``vocabulary`` (``tag``, ``tag_id``), by default that of all tags in order;
+    tags that are numbers are ids of declared classes already and stay.
     """
     tokens, tags = rw.tag_roles(examples, task)
-    names = vocabulary if vocabulary is not None else ft.tag_vocabulary(examples, tags)
-    # the tags a classifier tells apart: one array literal row
-    listed = names.agg(F.transform(F.sort_array(F.collect_list(F.struct("tag_id", "tag"))), lambda s: s["tag"])).scalar()
+    declared = dict(examples.dtypes)[tags] in ("array<int>", "array<bigint>")
+    if not declared:
+        names = vocabulary if vocabulary is not None else ft.tag_vocabulary(examples, tags)
+        # the tags a classifier tells apart: one array literal row
+        listed = names.agg(F.transform(F.sort_array(F.collect_list(F.struct("tag_id", "tag"))), lambda s: s["tag"])).scalar()
+        examples = examples.withColumn("__names", listed)
     size = piece_length or 1 << 30
 
     def pieces(word: Column, i: Column) -> Column:
@@ -123,10 +129,11 @@ def tag_features(
             lambda k: F.struct(F.substring(word, k * size + 1, F.lit(size)).alias("t"), i.alias("w")),
         )
 
-    cut = examples.withColumn("__names", listed).select(
+    ids = F.col(tags).cast("array<int>") if declared else F.transform(tags, lambda t: (F.array_position("__names", t) - 1).cast("int"))
+    cut = examples.select(
         key,
         F.slice(F.flatten(F.transform(tokens, pieces)), 1, max_length - 2).alias("p"),
-        F.transform(tags, lambda t: (F.array_position("__names", t) - 1).cast("int")).alias("ids"),
+        ids.alias("ids"),
     )
     nothing = F.array(F.lit(None).cast("int"))
     shaped = cut.select(

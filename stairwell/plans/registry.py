@@ -18,6 +18,7 @@ _INTEGERS = {
     "nbest_spans": "window rank start_index end_index",
     "null_score": "window",
     "nbest_topk": "rank",
+    "nbest_topk_spans": "rank",
     "nbest_softmax": "rank",
     "beam_nbest": "rank",
     "align_tags": "line",

@@ -99,21 +99,18 @@ def _batch_pad(spark, folder):
     )
 
 
-def _candidates(spark, folder, every=False):
-    return nb.window_candidates(views.with_span_logits(views.windows(spark, folder)), N_BEST, MAX_ANSWER, every=every)
+def _candidates(spark, folder, every=False, text=False):
+    scored = views.with_span_logits(views.windows(spark, folder, text=text))
+    return nb.window_candidates(scored, N_BEST, MAX_ANSWER, every=every)
 
 
-def _nbest(spark, folder):
-    contexts = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("context"))
-    return nb.example_nbest(_candidates(spark, folder), contexts, "doc_id", n_best=N_BEST)
+def _nbest(spark, folder, with_negatives=True):
+    return nb.example_nbest(_candidates(spark, folder, text=True), None, "doc_id", n_best=N_BEST, with_negatives=with_negatives)
 
 
 def _beam(spark, folder):
-    scored = views.with_beam_logits(views.windows(spark, folder, context_first=True))
-    contexts = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("context"))
-    return nb.example_nbest(
-        nb.beam_candidates(scored, N_BEST, MAX_ANSWER), contexts, "doc_id", n_best=N_BEST, beam=True
-    )
+    scored = views.with_beam_logits(views.windows(spark, folder, context_first=True, text=True))
+    return nb.example_nbest(nb.beam_candidates(scored, N_BEST, MAX_ANSWER), None, "doc_id", n_best=N_BEST, beam=True)
 
 
 def _span_rows(spark, folder):
@@ -130,6 +127,12 @@ def _topk(spark, folder):
     return nb.nbest_rows(_nbest(spark, folder), "doc_id").select("doc_id", "rank", "text", "start_logit", "end_logit")
 
 
+def _topk_spans(spark, folder):
+    """Answers to data without unanswerable questions: the null answer does not compete."""
+    rows = nb.nbest_rows(_nbest(spark, folder, with_negatives=False), "doc_id")
+    return rows.select("doc_id", "rank", "text", "start_logit", "end_logit")
+
+
 def _softmax(spark, folder):
     rows = nb.nbest_rows(_nbest(spark, folder), "doc_id")
     return rows.select("doc_id", "rank", F.round("probability", 6).alias("probability"))
@@ -160,6 +163,7 @@ QUERIES = {
     "nbest_spans": _span_rows,
     "null_score": _null,
     "nbest_topk": _topk,
+    "nbest_topk_spans": _topk_spans,
     "nbest_softmax": _softmax,
     "null_decision": _decision,
     "beam_nbest": _beam_rows,
@@ -302,11 +306,13 @@ SELECT doc_id, w AS "window",
 FROM wl""",
     "answer_mask": f"""WITH {SQL_WINDOWS}
 SELECT doc_id, w AS "window", cs + {EXTRA - 1} AS cls_index,
-       CASE WHEN NOT (s0 <= b AND e1 >= f) OR na = cs THEN cs + {EXTRA - 1} ELSE na - 1 END AS start_position,
+       CASE WHEN NOT (s0 <= b AND e1 >= f) THEN cs + {EXTRA - 1} WHEN na < cs THEN na - 1
+            WHEN qn < {Q_SIZE} THEN cs + qn ELSE cs + {EXTRA - 1} END AS start_position,
        CASE WHEN NOT (s0 <= b AND e1 >= f) THEN cs + {EXTRA - 1} ELSE cs - nb END AS end_position,
        CAST(CASE WHEN s0 <= b AND e1 >= f THEN 0 ELSE 1 END AS DOUBLE) AS is_impossible,
        repeat('0', cs) || repeat('1', {EXTRA - 1}) || '0' AS p_mask
-FROM wl""",
+FROM (SELECT wl.*, len(list_filter([0, 5, 10, 11 + length(source), 15 + length(source), 18 + length(source)], lambda x: x <= b)) AS qn
+      FROM wl JOIN documents USING (doc_id))""",
     "pad_truncate": f"""WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, array_to_string(list_resize(l, {FIXED_LENGTH}, '{PAD}'), ' ') AS tokens FROM t""",
@@ -320,6 +326,9 @@ SELECT doc_id, w AS "window", rank, sp AS start_index, ep AS end_index, score FR
     "null_score": f"""WITH {SQL_CANDIDATES}
 SELECT doc_id, score AS null_score, sl AS start_logit, el AS end_logit, w AS "window" FROM nul""",
     "nbest_topk": f"WITH {SQL_NBEST} SELECT doc_id, rank, text, sl AS start_logit, el AS end_logit FROM listed",
+    "nbest_topk_spans": f"""WITH {SQL_NBEST}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w, sp, ep) AS rank, text, sl AS start_logit, el AS end_logit FROM texts
+UNION ALL SELECT doc_id, 1, '{nb.EMPTY_TEXT}', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM counted WHERE doc_id NOT IN (SELECT doc_id FROM texts)""",
     "nbest_softmax": f"""WITH {_sql_softmax(SQL_NBEST)}
 SELECT doc_id, rank, {_SQL_SHARE} FROM listed JOIN peak USING (doc_id) JOIN mass USING (doc_id)""",
     "null_decision": f"""WITH {SQL_NBEST},

@@ -80,9 +80,12 @@ def contexts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def windows(spark: SparkSession, folder: str, context_first: bool = False) -> DataFrame:
+def windows(spark: SparkSession, folder: str, context_first: bool = False, text: bool = False) -> DataFrame:
+    docs = contexts(spark, folder)
+    if context_first:
+        docs = docs.withColumn("starts", F.transform(token_offsets(F.array_join("question", " ")), lambda t: t["start"]))
     return window_features(
-        contexts(spark, folder),
+        docs,
         ["doc_id"],
         "question",
         "spans",
@@ -90,6 +93,8 @@ def windows(spark: SparkSession, folder: str, context_first: bool = False) -> Da
         OVERLAP,
         context_first,
         carry=["start_char", "answer"],
+        text="context" if text else None,
+        question_starts="starts" if context_first else None,
     )
 
 

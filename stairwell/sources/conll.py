@@ -11,9 +11,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stairwell.sources.lines import number_in_file, read_records
 
-# The marker of a document start, and the entity tags of the format.
+# The marker of a document start, and the declared classes of the format's three tag columns, in order of their ids.
 DOCUMENT_START = "-DOCSTART-"
+POS_TAGS = tuple(
+    "\" '' # $ ( ) , . : `` CC CD DT EX FW IN JJ JJR JJS LS MD NN NNP NNPS NNS NN|SYM PDT POS PRP PRP$ "
+    "RB RBR RBS RP SYM TO UH VB VBD VBG VBN VBP VBZ WDT WP WP$ WRB".split()
+)
+CHUNK_TAGS = tuple(
+    "O B-ADJP I-ADJP B-ADVP I-ADVP B-CONJP I-CONJP B-INTJ I-INTJ B-LST I-LST B-NP I-NP B-PP I-PP B-PRT I-PRT "
+    "B-SBAR I-SBAR B-UCP I-UCP B-VP I-VP".split()
+)
 NER_TAGS = ("O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC")
+CLASSES = {"pos_tags": POS_TAGS, "chunk_tags": CHUNK_TAGS, "ner_tags": NER_TAGS}
+
+
+def class_ids(tags: Column, names: tuple[str, ...]) -> Column:
+    """``array<int>``: places of the tags among the declared classes; a tag that is none of them is an error."""
+    declared = F.array(*[F.lit(n) for n in names])
+
+    def one(tag: Column) -> Column:
+        place = F.array_position(declared, tag)
+        unknown = F.raise_error(F.concat(F.lit("no declared class: "), F.coalesce(tag, F.lit("null")))).cast("int")
+        return F.when(place > 0, (place - 1).cast("int")).otherwise(unknown)
+
+    return F.transform(tags, one)
 
 
 def block_sentences(block: Column) -> Column:
@@ -44,9 +65,16 @@ def parse_conll(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return sentences.select(*keys, "sentence", *sentence_columns(F.col("lines")))
 
 
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``id`` ("0".."n-1" per file), ``tokens``, ``pos_tags``, ``chunk_tags``, ``ner_tags``."""
-    blocks = read_records(spark, path, separator="\n\n")
+def read_conll(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
+    """``file``, ``id`` ("0".."n-1" per file), ``tokens``, ``pos_tags``, ``chunk_tags``, ``ner_tags``.
+
+    With ``ids`` the tags are the numbers of the declared CLASSES.  Large files are read in splits; the first line
+    tells whether the empty line between them ends in a carriage return, too.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    end = "\r\n" if first and first.value.endswith("\r") else "\n"
+    blocks = read_records(spark, path, separator=end * 2)
     lines = blocks.select(F.explode(block_sentences(F.col("value"))).alias("lines"), "__file", "__split")
     numbered = number_in_file(lines, "place")
-    return numbered.select("file", F.col("place").cast("string").alias("id"), *sentence_columns(F.col("lines")))
+    out = numbered.select("file", F.col("place").cast("string").alias("id"), *sentence_columns(F.col("lines")))
+    return out.withColumns({c: class_ids(F.col(c), names) for c, names in CLASSES.items()}) if ids else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,23 @@ def test_label_spans(spark, context_first):
         assert r.p_mask == want
 
 
+@pytest.mark.parametrize("question,position", [("one two three four five", 6), ("one two", 8), ("a b c d e", 8)])
+def test_an_answer_on_the_last_context_token(spark, question, position):
+    """Context first: "a b c d [SEP] question [SEP] [CLS]", answer "d" at character 6. The scan passes the separator and
+    question tokens that start at or before character 6, and stops before the first that starts later."""
+    df = spark.createDataFrame([("e", question, "a b c d", 6, "d")], "id string, question string, context string, begin int, answer string")
+    asked = token_offsets(F.col("question"))
+    df = df.select("*", token_offsets(F.col("context")).alias("spans"), F.transform(asked, lambda t: t["tok"]).alias("q"), F.transform(asked, lambda t: t["start"]).alias("starts"))
+    got = ft.window_features(df, ["id"], "q", "spans", 30, 4, True, ["begin", "answer"], question_starts="starts")
+    row = ft.label_spans(got, "begin", "answer").first()
+    assert (row.start_position, row.end_position) == (min(position, len(row.tokens) - 1), 3)
+    offsets = [(0, 1), (2, 3), (4, 5), (6, 7), (0, 0), *[(m.start(), m.end()) for m in re.finditer(r"\w+", question)], (0, 0), (0, 0)]
+    k = 0
+    while k < len(offsets) and offsets[k][0] <= 6:
+        k += 1
+    assert row.start_position == k - 1
+
+
 def test_empty_context(spark):
     got = ft.label_spans(windows(examples(spark, [("e", ["who"], "", 0, "")])), "begin", "answer").collect()
     assert [(r.context_size, r.start_position, r.is_impossible) for r in got] == [(0, 0, 1.0)]

@@ -127,6 +127,24 @@ def test_read_conll(spark, tmp_path, split, ending):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_declared_classes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(conll_text(40).replace("\n", "\r\n").encode())
+    named, ids = (conll.read_conll(spark, str(tmp_path), ids=x).orderBy(F.col("id").cast("int")).collect() for x in (False, True))
+    for a, b in zip(named, ids, strict=True):
+        for column, names in conll.CLASSES.items():
+            assert [names[k] for k in b[column]] == a[column]
+    assert [len(names) for names in conll.CLASSES.values()] == [47, 23, 9]
+    (tmp_path / "a.txt").write_text("w NN B-NP B-XYZ\n")
+    with pytest.raises(Exception, match="no declared class: B-XYZ"):
+        conll.read_conll(spark, str(tmp_path), ids=True).collect()
+
+
+def test_files_with_carriage_returns_are_split(spark, tmp_path, small_splits):
+    (tmp_path / "a.txt").write_bytes(conll_text(200).replace("\n", "\r\n").encode())
+    blocks = conll.read_records(spark, str(tmp_path), "\r\n\r\n")
+    assert blocks.select("__split").distinct().count() > 5 and blocks.count() > 50
+
+
 def test_translation(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"translation": {"en": "a", "ro": "b"}}\n')
     row = translation.read_translation(spark, str(tmp_path / "t.json"), "en_XX", "ro_RO", "go: ").first()

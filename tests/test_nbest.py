@@ -91,6 +91,29 @@ def test_nbest(spark, n_best, max_answer, negatives, use_best):
             assert decided[r.id].prediction_text == ""
 
 
+def test_texts_of_the_windows_equal_those_of_the_contexts(spark):
+    """Windows with their own stretch of the text need no contexts, and the plan joins none."""
+    from stairwell.functions.text import token_offsets
+    from stairwell.operators.features import window_features
+
+    pick = random.Random(6)
+    texts = [(i, " ".join(pick.choice(["é", "𝒳y", "ab,", "c", "\n dd"]) for _ in range(pick.randint(0, 60)))) for i in range(20)]
+    docs = spark.createDataFrame(texts, "id long, context string").withColumn("spans", token_offsets(F.col("context")))
+    docs = docs.withColumn("q", F.array(F.lit("why"), F.lit("?")))
+    for context_first in (False, True):
+        features = window_features(docs, ["id"], "q", "spans", 16, 4, context_first, text="context")
+        logits = lambda a: F.transform("tokens", lambda _, p: ((p * a + F.col("id") * 3 + F.col("window")) % 13).cast("double"))
+        scored = nb.window_candidates(features.withColumns({"start_logits": logits(7), "end_logits": logits(5)}), 6, 5)
+        own = nb.example_nbest(scored, None, "id", n_best=6)
+        assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+        joined = nb.example_nbest(scored, docs, "id", n_best=6)
+        assert sorted(map(str, own.collect())) == sorted(map(str, joined.collect()))
+        covered = {r.id: r.t for r in features.groupBy("id").agg(F.max(F.col("text_at") + F.length("window_text")).alias("t")).collect()}
+        assert covered == {i: len(t.rstrip()) for i, t in texts}
+    with pytest.raises(ValueError, match="need contexts"):
+        nb.example_nbest(nb.window_candidates(spark.createDataFrame(make_features(1), SCHEMA)), None, "id")
+
+
 def test_masked_window_falls_back(spark):
     row = ("x", 0, [None, None], [2.0, 1.0], [1.5, 1.0], [True, True])
     features = spark.createDataFrame([row], SCHEMA)
