@@ -8,8 +8,8 @@ probability MISS at most, if bits differ as often as for random hyperplanes. Can
 double precision. Equal vectors are one node with a count; a crowded bucket is cut into blocks that are
 compared two by two, each in a task of its own.
 
-Defined results: a vector that is null, zero, holds a null or non-finite component, or has another length than most
-of the sample, links with nothing; so does a null id, which is kept; rows of one id are one vector if equal, and
+Defined results: a vector that is null, zero or holds a null or non-finite component links with nothing; vectors of different
+lengths do not link, and every length has tables of its own; a null id links with nothing, which is kept; rows of one id are one vector if equal, and
 one node with several directions else; other columns are ignored; no rows give no rows.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,29 +104,11 @@ def _near_pairs(first: pd.DataFrame, second: pd.DataFrame | None, table: int, la
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id, kept): every vector with the number of others at cosine >= threshold."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
-
-    def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            places, units = unit_rows(part.column(1))
-            raw = [np.array(part.column(1)[int(k)].as_py(), "f8").tobytes() for k in places]
-            columns = [part.column(0).take(pa.array(places)), pa.array(raw, pa.binary()), pa.array([len(x) // 8 for x in raw], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in units], pa.binary())], ["id", "raw", "width", "unit"])
-
-    usable = rows.where("id is not null").mapInArrow(clean, "id long, raw binary, width int, unit binary")
-    nodes = usable.groupBy("raw").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("width").alias("width"), F.first("unit").alias("unit"))
-    nodes = stored(nodes, "vectors")
-    sample = nodes.orderBy(F.xxhash64("raw"), "raw").select("width", "unit").limit(SAMPLE).collect()
-    if not sample:
-        return vectors.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    widths = [r.width for r in sample]
-    width = max(sorted(set(widths)), key=widths.count)
-    nodes = nodes.where(F.col("width") == width)
-    layout = Tables(nodes.count(), width, threshold)
-    rotations = spark.sparkContext.broadcast(learn_rotations(np.array([np.frombuffer(r.unit) for r in sample if r.width == width]), layout.codes))
+def _links(nodes: DataFrame, width: int, rows: int, threshold: float) -> DataFrame:
+    """(a, b): links among the ``rows`` distinct vectors of one width."""
+    layout = Tables(rows, width, threshold)
+    sample = nodes.orderBy(F.xxhash64("raw"), "raw").select("unit").limit(SAMPLE).collect()
+    rotations = nodes.sparkSession.sparkContext.broadcast(learn_rotations(np.array([np.frombuffer(r.unit) for r in sample]), layout.codes))
 
     def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -161,7 +144,28 @@ def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", c
 
     units = nodes.select("id", "unit")
     both = pairs.join(units.select(F.col("id").alias("a"), F.col("unit").alias("u")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("v")), "b")
-    links = stored(both.where(linked("u", "v")).select("a", "b").distinct(), "links")
+    return stored(both.where(linked("u", "v")).select("a", "b").distinct(), "links")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(key, n_links, component_id, kept): every vector with the number of others at cosine >= threshold."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+
+    def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            places, units = unit_rows(part.column(1))
+            raw = [np.array(part.column(1)[int(k)].as_py(), "f8").tobytes() for k in places]
+            columns = [part.column(0).take(pa.array(places)), pa.array(raw, pa.binary()), pa.array([len(x) // 8 for x in raw], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in units], pa.binary())], ["id", "raw", "width", "unit"])
+
+    usable = rows.where("id is not null").mapInArrow(clean, "id long, raw binary, width int, unit binary")
+    nodes = usable.groupBy("raw").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("width").alias("width"), F.first("unit").alias("unit"))
+    nodes = stored(nodes, "vectors")
+    # Tables for each width that occurs more than once; vectors of different widths have no cosine.
+    widths = nodes.groupBy("width").count().orderBy("width").collect()
+    found = [_links(nodes.where(F.col("width") == r.width), r.width, r["count"], threshold) for r in widths if r["count"] > 1]
+    links = reduce(DataFrame.unionByName, found, spark.createDataFrame([], "a long, b long"))
     # Links of a node: its copies, and the copies of the nodes it is linked with.
     counts = nodes.groupBy("id").agg(F.sum("copies").alias("copies"))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(counts.withColumnRenamed("id", "b"), "b")

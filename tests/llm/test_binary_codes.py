@@ -59,6 +59,25 @@ def test_crowded_buckets_are_cut(spark, monkeypatch):
     run(spark, monkeypatch)
 
 
+def test_every_length_links(spark):
+    """Lengths as common as others and rare ones: pairs of one length link, pairs of different lengths never."""
+    rng = np.random.default_rng(5)
+    data, want, i = [], {}, 0
+    for width, pairs in ((24, 40), (23, 40), (3, 1), (1, 1), (200, 2)):
+        for _ in range(pairs):
+            base = rng.normal(size=width)
+            for vector in (base, 2 * base + 0.01 * rng.normal(size=width)):
+                data.append((i, vector.tolist()))
+                want[i] = i - i % 2
+                i += 1
+    data += [(i, [1.0] * 7), (i + 1, [1.0] * 8), (i + 2, [1.0] * 8)]
+    got = {r.vec_id: r for r in binary_codes.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 0.9).collect()}
+    wide = [k for k, v in data if len(v) > 3]
+    expected = want | {i: i, i + 1: i + 1, i + 2: i + 1}
+    assert {k: got[k].component_id for k in wide} == {k: expected[k] for k in wide}
+    assert all(len(data[r.component_id][1]) == len(data[k][1]) for k, r in got.items())
+
+
 def test_nothing_to_compare(spark):
     schema = "vec_id long, embedding array<float>"
     assert binary_codes.near_duplicates(spark.createDataFrame([], schema), 0.9).collect() == []
