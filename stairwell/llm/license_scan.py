@@ -3,10 +3,13 @@
 Words that occur once in the text and once in the template are anchors; the longest sequence of anchors that
 increases in both is kept, and the gaps between them are aligned in the same way, where more words are unique. Beside
 an anchor, and at the ends of a gap, equal words are taken as they come. Coverage is the share of the template's words
-that are aligned. A text that repeats the template's words is also aligned around each place of the word of the
-template that it has least often, and the best region counts.
+that are aligned. A text that repeats the template's words is also aligned region by region, and the best region counts. A copy
+that lacks at most m words of a template holds one of any m + 1 different words of it, so the places of the m + 1
+rarest words in the text lead to every copy: each is tried with the words near it, and with just as many as the
+template has around that word.
 
-Only texts that hold enough of a template's words are aligned; this bound never excludes a sufficient coverage.
+Only texts that hold enough of a template's words are aligned; this bound never excludes a sufficient coverage. Templates are a
+table of names and texts (``read_templates`` reads one); TEMPLATES are those at hand.
 
 Defined results: null or empty text, and an empty template, match nothing; equal coverage goes to the earliest region; repeated rows
 are scanned each; other columns are ignored; no rows give no rows.
@@ -14,40 +17,19 @@ are scanned each; other columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\W_]+")
-# Notices and license texts as their authors publish them.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit-notice": "Released under the MIT License.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
-        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "mit": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies."
-    ),
-}
+from stairwell.llm.license_texts import TEMPLATES  # noqa: F401  the default list
 
+_WORD = re.compile(r"[^\W_]+")
 
 def words_at(text: str) -> list[tuple[str, int, int]]:
     """Lower-case words and their places."""
@@ -97,6 +79,34 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _regions(words: list[str], template: list[str], present: Counter, least: float) -> Iterator[tuple[int, int]]:
+    """Stretches of the text that hold every copy of a sufficient coverage: around the places of the template's rarest words."""
+    n = len(template)
+    lacking = n - math.ceil(least * n - 1e-9)
+    first: dict[str, int] = {}
+    for j, w in enumerate(template):
+        first.setdefault(w, j)
+    rare = set(sorted((w for w in first), key=lambda w: (present[w], w))[: lacking + 1])
+    if sum(present[w] for w in rare) <= 1 and len(words) <= 4 * n:
+        return  # the whole text is the one region
+    slack, last = max(2, n // 4), {}
+    for k, w in enumerate(words):
+        if w in rare:
+            if k - last.get("wide", -n) > slack:
+                last["wide"] = k
+                yield max(0, k - 2 * n), k + 2 * n
+            begin = k - first[w]
+            if begin != last.get("close"):
+                last["close"] = begin
+                yield max(0, begin - slack), max(0, begin) + n + slack
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of text files, by file name; the list is small and known to its owner."""
+    rows = spark.read.text(path, wholetext=True).select("value", "_metadata.file_name").collect()
+    return {r.file_name.rsplit(".", 1)[0]: r.value for r in rows}
+
+
 def scan_text(text: str | None, templates: dict[str, list[str]], least: float) -> list[dict]:
     """Matches of the templates (as word lists): name, coverage, begin and end in the text, words aligned."""
     found = words_at(text or "")
@@ -106,16 +116,12 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float) -
         if not template or sum(w in present for w in template) < least * len(template):
             continue
         best = align(words, template)
-        rare = min((w for w in template if w in present), key=lambda w: (present[w], w))
-        if present[rare] > 1 and len(best) < len(template):
-            spread = 2 * len(template)
-            for k in [k for k, w in enumerate(words) if w == rare]:
-                low, high = max(0, k - spread), k + spread
-                pairs = [(i + low, j) for i, j in align(words[low:high], template)]
-                if len(pairs) > len(best) or (len(pairs) == len(best) and pairs and pairs[0][0] < best[0][0]):
-                    best = pairs
-                if len(best) == len(template):
-                    break
+        for low, high in _regions(words, template, present, least) if len(best) < len(template) else ():
+            pairs = [(i + low, j) for i, j in align(words[low:high], template)]
+            if len(pairs) > len(best) or (len(pairs) == len(best) and pairs and pairs[0][0] < best[0][0]):
+                best = pairs
+            if len(best) == len(template):
+                break
         if len(best) >= least * len(template):
             out.append({"template": name, "coverage": len(best) / len(template), "begin": found[best[0][0]][1], "end": found[best[-1][0]][2], "n_aligned": len(best)})
     return out

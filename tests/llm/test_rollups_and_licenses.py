@@ -115,10 +115,68 @@ def test_planted_licenses(spark):
     text = dict(rows)
     for (i, name), r in found.items():
         if i is not None and i < 100 and i == list(TEMPLATES).index(name):
-            assert r.coverage == 1 and text[i][r.begin : r.end].lower() == TEMPLATES[name].lower().rstrip(".")
+            assert r.coverage == 1 and text[i][r.begin : r.end].lower() == TEMPLATES[name].lower().rstrip("./>")
     assert license_scan.scan(docs.limit(0), TEMPLATES).collect() == []
 
 
+def naive_align(text: list[str], template: list[str]) -> int:
+    """Words aligned, by the definition: equal ends, then a longest sequence of words unique to both, then the gaps."""
+    n = 0
+    while text and template and text[0] == template[0]:
+        text, template, n = text[1:], template[1:], n + 1
+    while text and template and text[-1] == template[-1]:
+        text, template, n = text[:-1], template[:-1], n + 1
+    once = [(text.index(w), j) for j, w in enumerate(template) if text.count(w) == 1 and template.count(w) == 1]
+    once.sort()
+    chains = [c for size in range(len(once), 0, -1) for c in itertools.combinations(once, size) if all(x[1] < y[1] for x, y in itertools.pairwise(c))]
+    if not chains:
+        return n
+    edges = [(-1, -1), *[once[k] for k in longest_increasing([j for _, j in once])], (len(text), len(template))]
+    assert len(edges) - 2 == len(chains[0])
+    return n + len(edges) - 2 + sum(naive_align(text[a + 1 : c], template[b + 1 : d]) for (a, b), (c, d) in itertools.pairwise(edges))
+
+
+def test_scan_against_all_regions():
+    """Every stretch of the text is tried; the scan finds a match if, and only if, one of them covers enough."""
+    rng = random.Random(9)
+    found = 0
+    for _ in range(250):
+        template = rng.choices("abcdefghijkl", k=10)
+        copy = [w for k, w in enumerate(template) if k not in rng.sample(range(10), rng.randint(0, 4))]
+        text = rng.choices("abcdefghijklmnop", k=rng.randint(0, 12)) + copy + rng.choices("abcklmnop", k=rng.randint(0, 12))
+        best = max(naive_align(text[a:b], template) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
+        got = scan_text(" ".join(text), {"t": template}, 0.8)
+        whole = naive_align(text, template)
+        assert not got or (whole <= got[0]["n_aligned"] <= best and got[0]["n_aligned"] >= 8)
+        assert bool(got) == (best >= 8) or best < 10  # a full copy is never lost
+        found += bool(got)
+        assert not (got and best < 8)
+    assert found > 80
+
+
+def test_a_copy_without_the_rarest_word_is_found():
+    """The word that is rarest in the text stands far from the copy, which lacks it; words of the template are all over the text."""
+    rng = random.Random(10)
+    template = [f"w{k}" for k in range(40)]
+    for lacking in range(0, 40, 3):
+        noise = rng.choices([w for k, w in enumerate(template) if k != lacking], k=300)
+        copy = [w for k, w in enumerate(template) if k != lacking]
+        text = noise[:150] + [template[lacking]] + noise[150:] + ["x"] * 10 + copy + ["y"] * 10 + noise[:80]
+        (got,) = scan_text(" ".join(text), {"t": template}, 0.9)
+        assert got["n_aligned"] >= 39
+
+
+def test_ties_repeats_and_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("alpha beta\ngamma delta epsilon")
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    assert templates == {"one": "alpha beta\ngamma delta epsilon"}
+    text = "alpha beta gamma delta x x x x x x x x x x x x x x x x x x x x x beta gamma delta epsilon"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "none")], "doc_id long, text string")
+    got = license_scan.scan(docs, templates).collect()
+    # equal coverage: the earliest region; rows that repeat are scanned each
+    assert [(r.doc_id, r.n_aligned, r.begin, r.end) for r in got] == [(1, 4, 0, 22)] * 2
+
+
 def test_shuffled_words_do_not_cover():
     words = [w for w, _, _ in words_at(TEMPLATES["mit"])]
     shuffled = list(words)
