@@ -3,8 +3,8 @@
 Words that occur once in the text and once in the template are anchors; the longest sequence of anchors that
 increases in both is kept, and the gaps between them are aligned in the same way, where more words are unique. Beside
 an anchor, and at the ends of a gap, equal words are taken as they come. Coverage is the share of the template's words
-that are aligned. A text that repeats the template's words is also aligned region by region, and the best region counts. A copy
-that lacks at most m words of a template holds one of any m + 1 different words of it, so the places of the m + 1
+that are aligned. A longer text than SPREAD templates is aligned region by region, and the best region counts, so words scattered over
+a long text are no match. A copy that lacks at most m words of a template holds one of any m + 1 different words of it, so the places of the m + 1
 rarest words in the text lead to every copy: each is tried with the words near it, and with just as many as the
 template has around that word.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from stairwell.llm.license_texts import TEMPLATES  # noqa: F401  the default list
 
+SPREAD = 4  # times its length over which a copy of a template may be spread by words between its own
 _WORD = re.compile(r"[^\W_]+")
 
 def words_at(text: str) -> list[tuple[str, int, int]]:
@@ -87,14 +88,14 @@ def _regions(words: list[str], template: list[str], present: Counter, least: flo
     for j, w in enumerate(template):
         first.setdefault(w, j)
     rare = set(sorted((w for w in first), key=lambda w: (present[w], w))[: lacking + 1])
-    if sum(present[w] for w in rare) <= 1 and len(words) <= 4 * n:
+    if sum(present[w] for w in rare) <= 1 and len(words) <= SPREAD * n:
         return  # the whole text is the one region
     slack, last = max(2, n // 4), {}
     for k, w in enumerate(words):
         if w in rare:
             if k - last.get("wide", -n) > slack:
                 last["wide"] = k
-                yield max(0, k - 2 * n), k + 2 * n
+                yield max(0, k - SPREAD // 2 * n), k + SPREAD // 2 * n
             begin = k - first[w]
             if begin != last.get("close"):
                 last["close"] = begin
@@ -115,7 +116,7 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float) -
     for name, template in templates.items():
         if not template or sum(w in present for w in template) < least * len(template):
             continue
-        best = align(words, template)
+        best = align(words, template) if len(words) <= SPREAD * len(template) else []
         for low, high in _regions(words, template, present, least) if len(best) < len(template) else ():
             pairs = [(i + low, j) for i, j in align(words[low:high], template)]
             if len(pairs) > len(best) or (len(pairs) == len(best) and pairs and pairs[0][0] < best[0][0]):
