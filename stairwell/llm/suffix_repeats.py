@@ -398,9 +398,10 @@ class SuffixRepeats:
         return again.select("doc", "start", (F.col("start") + least).alias("stop"))
 
     def groups(self) -> DataFrame:
-        """(length, occurrences): the maximal repeats among gathered anchors, with all places, the earliest first.
+        """(length, occurrences): the maximal repeats among the gathered surroundings of anchors, the earliest place first.
 
-        A repeat is seen through a window around its anchor, so a longer one appears as several that overlap.
+        A partial view, which no query uses: of equal surroundings only the earliest is gathered, so a repeat longer than
+        them appears as its ends only, with the places that differ there, and hot anchors are absent. ``covered`` has all.
         """
 
         def rows(found) -> pd.DataFrame:

@@ -95,6 +95,33 @@ def test_votes_on_odd_input(spark):
     assert semantic_votes.add_score(docs.limit(0), model).collect() == []
 
 
+def test_votes_against_all_neighbours_one_by_one():
+    """Every text beside every labelled one, by plain sums: the nearest, with ties, vote with the power of their cosine."""
+    words = ["calm", "plain", "text", "LOUD", "!!", "again", "runs", "on,"]
+    rng = random.Random(4)
+    say = lambda: " ".join(rng.choices(words, k=rng.randint(0, 25)))
+    learnt = [say() for _ in range(70)] + ["calm text"] * 3
+    labels = [int("LOUD" not in t) for t in learnt]
+    model = semantic_votes.SemanticVotes.fit(learnt, labels)
+
+    def vector(text: str) -> list[float]:
+        terms = semantic_votes.term_vector(text).astype(float) * model.weights
+        out = [float(sum(terms[k] * model.axes[k, a] for k in np.flatnonzero(terms))) for a in range(model.axes.shape[1])]
+        size = sum(x * x for x in out) ** 0.5
+        return [x / size if size else 0.0 for x in out]
+
+    points = [vector(t) for t in learnt]
+    texts = [say() for _ in range(40)] + ["", "calm text"]
+    for text, got in zip(texts, model.score(texts), strict=True):
+        v = vector(text)
+        cosines = [sum(a * b for a, b in zip(v, p, strict=True)) for p in points]
+        last = sorted(cosines, reverse=True)[semantic_votes.NEIGHBOURS - 1]
+        votes = [(max(0.0, c) ** semantic_votes.SHARPNESS, y) for c, y in zip(cosines, labels, strict=True) if c >= last - semantic_votes.TIE]
+        total = sum(w for w, _ in votes)
+        want = sum(w * y for w, y in votes) / total if total else sum(labels) / len(labels)
+        assert got == pytest.approx(want, abs=2e-3)
+
+
 def test_blocks_do_not_change_votes(monkeypatch):
     texts = [f"text {i} with, commas" * (i % 7) + "!" * (i % 3) for i in range(60)]
     model = semantic_votes.SemanticVotes.fit(texts, [i % 2 for i in range(60)])
