@@ -36,9 +36,12 @@ def result_lines(df: DataFrame, index: str, prediction: Column, regression: bool
 
 
 def write_test_results(df: DataFrame, path: str, index: str, prediction: Column, regression: bool = False) -> None:
-    """Tab-separated ``index, prediction`` with a header, in index order across the part files."""
-    lines = result_lines(df, index, prediction, regression).orderBy("index")
-    lines.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """Tab-separated ``index, prediction`` in index order across the part files, after one header line."""
+    lines = result_lines(df, index, prediction, regression)
+    body = lines.select("index", F.to_csv(F.struct("index", "prediction"), {"sep": "\t"}).alias("value"))
+    kind = body.schema["index"].dataType
+    header = df.sparkSession.range(1).select(F.lit(None).cast(kind).alias("index"), F.lit("\t".join(lines.columns)).alias("value"))
+    header.unionByName(body).orderBy(F.asc_nulls_first("index")).select("value").write.mode("overwrite").text(path)
 
 
 def write_tag_lines(df: DataFrame, path: str, tags: str, order: str) -> None:

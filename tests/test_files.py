@@ -286,6 +286,12 @@ def test_writers(spark, tmp_path):
     wr.write_test_results(df.coalesce(1), str(tmp_path / "r"), "i", F.col("v"), regression=True)
     assert text_of(tmp_path / "r").splitlines()[:2] == ["index\tprediction", "0\t2.000"]
     assert "1\t0.123" in text_of(tmp_path / "r")
+    many = spark.range(1000).select((999 - F.col("id")).alias("i"), F.lit("a\tb").alias("v")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    wr.write_test_results(many, str(tmp_path / "many"), "i", F.col("v"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shown = text_of(tmp_path / "many").splitlines()
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1 and shown == ["index\tprediction", *[f'{i}\t"a\tb"' for i in range(1000)]]
     wr.write_tag_lines(df, str(tmp_path / "t"), "tags", "i")
     assert text_of(tmp_path / "t") == "O\nO B-X\n"
     wr.write_generated(df, str(tmp_path / "g"), "text", "i")
