@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stairwell.llm.common import connected_components, small, stored
+from stairwell.llm.common import batches_of, connected_components, small, stored
 
 TREES, DEPTH, MIN_DEPTH = 20, 8, 4
 LAG = 2  # neighbours before a row in the first round
 BLOCK = 512  # rows of a crowded region that meet as one block
 SLACK = 0.13  # how far below the threshold a sketch may lie: over 4.5 standard deviations of 160 hashes
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+BATCH = 500  # rows that carry a text or a whole set in an Arrow batch
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -267,7 +268,8 @@ def _met(cells: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return stored(full.mapInArrow(links, "a long, b long").distinct(), "links")
+    with batches_of(docs.sparkSession, BATCH):
+        return stored(full.mapInArrow(links, "a long, b long").distinct(), "links")
 
 
 def _forest_of(cell: pa.Table, least: float, percent: int) -> list[tuple[int, int]]:
@@ -343,7 +345,8 @@ def _shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], ["doc", "shingles"])
 
     wanted = docs.join(small(ids, 16), "doc", "left_semi").select("doc", "text")
-    return stored(wanted.mapInArrow(sets, "doc long, shingles binary").distinct(), "shingles")
+    with batches_of(docs.sparkSession, BATCH):
+        return stored(wanted.mapInArrow(sets, "doc long, shingles binary").distinct(), "shingles")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -357,7 +360,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     left = pairs.join(table.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(table.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.where(linked("x", "y")).select("a", "b").distinct(), "links")
+    with batches_of(docs.sparkSession, BATCH):
+        return stored(both.where(linked("x", "y")).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,7 +371,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     """
     spark = docs.sparkSession
     docs = _documents(docs, key, text)
-    sets = stored(forest_rows(docs, width), "forest")
+    with batches_of(spark, BATCH):
+        sets = stored(forest_rows(docs, width), "forest")
     nodes = sets.where("doc is not null and n_shingles > 0")
     # Sets that occur once need no partner; the others are few enough to meet their copies without a shuffle, mostly.
     first = nodes.groupBy("print").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("print", "rep")
