@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 from hypothesis import given, settings, strategies as st
@@ -100,6 +102,24 @@ def test_token_offsets_of_a_batch(monkeypatch, stretch):
     assert tx._token_offsets(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_token_offsets_leave_the_worker_by_stretch(spark):
+    """A worker never holds the tokens of a whole batch, and the scan's arrays stay small."""
+    batch = pa.array(["some words, 12 " * 200] * 1500 + [None, "", "x"])
+    tracemalloc.start()
+    sizes, words = [], 0
+    for piece in tx._sent_by_stretch(iter([batch, batch.slice(0, 0), batch.slice(1500)])):
+        sizes.append(len(piece))
+        words += pc.sum(pc.list_value_length(piece)).as_py() or 0
+        assert piece.nbytes < 8 * tx.SCAN_BYTES
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 1506 and max(sizes) < 200 and words == 1500 * 800 + 2
+    assert peak < 40 << 20
+    rows = spark.range(0, 300, 1, 1).select(F.concat(F.repeat(F.lit("a b."), 1000), F.col("id").cast("string")).alias("t"))
+    got = rows.select(F.col("t"), tx.token_offsets(F.col("t")).alias("s")).select(F.substring_index("t", ".", -1).alias("id"), F.element_at("s", -1)["tok"].alias("last"), F.size("s").alias("n")).collect()
+    assert [(int(r.id), r.last, r.n) for r in got] == [(i, str(i), 3001) for i in range(300)]
+
+
 def test_argmax_takes_the_first_of_equals(spark):
     assert column(spark, [[1.0, 3.0, 3.0], [2.0]], ar.argmax, "array<double>") == [1, 0]
 
