@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stairwell.functions.text import bleu_tokens
 
 ORDERS = (1, 2, 3, 4)
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 16  # tokens counted at once
 
 
 def _numbered(codes: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pandas as pd
@@ -289,3 +290,16 @@ def test_matches_are_counted_in_the_row(spark, monkeypatch):
     df = spark.range(4).select(F.lit("a b").alias("p"), F.lit("a c").alias("r")).repartition(2)
     plan = bleu.corpus_bleu(df, "p", "r")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan.replace("Repartition 2", "").replace("RepartitionByExpression [], 2", "") and "Generate" not in plan
+
+
+def test_counting_a_large_batch_takes_little_memory():
+    """A million tokens in one batch: the arrays that count them cover one stretch at a time."""
+    import pyarrow as pa
+
+    said = pa.array([[f"w{k % 50}" for k in range(i, i + 500)] for i in range(1000)])
+    tracemalloc.start()
+    counts = bleu._matches(said, said)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.to_pylist() == [[500, 500, 500, 499, 499, 498, 498, 497, 497]] * 1000
+    assert peak < 24 << 20
