@@ -58,13 +58,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without passages of 100 bytes or more that start earlier; a character that a cut would split goes, too."""
-    cut = SuffixRepeats(docs.select(*COLUMNS), 100, carry=COLUMNS).cut()
-    # Unchanged texts stay as they are; from cut ones, bytes that are no character any more are left out.
-    @F.pandas_udf("string")
-    def readable(kept):
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("text"))
+    cut = SuffixRepeats(docs.select(*COLUMNS), 100, carry=COLUMNS).cut(readable=True)
+    # Unchanged texts stay as they are.
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     cut = cut.withColumn("text", text)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -172,8 +172,8 @@ def _neighbours(rows: DataFrame, lag: int, least: float, parts: int) -> DataFram
     beside = [F.lag(F.struct("doc", "grp", "sketch"), k).over(ahead).alias(f"l{k}") for k in range(1, lag + 1)]
     cuts = cuts.select("doc", "grp", "sketch", *beside)
     cuts = cuts.select("doc", "grp", "sketch", F.explode(F.array(*[f"l{k}" for k in range(1, lag + 1)])).alias("l")).where("l is not null and l.grp != grp and l.doc != doc")
-    cuts = cuts.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b"), _likeness("sketch", "l.sketch").alias("alike"))
-    return found.where("a is not null").select("a", "b", "alike").unionByName(cuts.where(F.col("alike") >= least))
+    cuts = cuts.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b"), "sketch", F.col("l.sketch").alias("other"))
+    return found.where("a is not null").select("a", "b", "alike").unionByName(_near(cuts, least))
 
 
 def _cells(rest: DataFrame, regions: DataFrame) -> DataFrame:
@@ -311,14 +311,22 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _likeness(a: str, b: str):
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="f8")
-        return pd.Series(_alike(*(np.frombuffer(b"".join(s), "u1").reshape(len(s), -1) for s in (x, y))))
+def _near(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, alike): the pairs (a, b, sketch, other) whose sketches are at least so alike.
 
-    return alike(F.col(a), F.col(b))
+    Likeness and choice are one step: a filter on a column from Python would be pushed down with that function, which
+    then runs twice, in two workers a task.
+    """
+
+    def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not len(part):
+                continue
+            alike = _alike(*(np.frombuffer(b"".join(part.column(c).to_pylist()), "u1").reshape(len(part), -1) for c in (2, 3)))
+            kept = pa.array(alike >= least)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).filter(kept) for c in (0, 1)), pa.array(alike[alike >= least])], ["a", "b", "alike"])
+
+    return pairs.mapInArrow(near, "a long, b long, alike double")
 
 
 def _pivots(rows: DataFrame, least: float) -> DataFrame:
@@ -330,7 +338,7 @@ def _pivots(rows: DataFrame, least: float) -> DataFrame:
         pairs = rows.join(top, region).where("grp != pg and doc != p")
         found.append(pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"), "sketch", "ps").dropDuplicates(["a", "b"]))
     pairs = found[0].unionByName(found[1]).dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", _likeness("sketch", "ps").alias("alike")).where(F.col("alike") >= least)
+    return _near(pairs.select("a", "b", "sketch", F.col("ps").alias("other")), least)
 
 
 def _shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:

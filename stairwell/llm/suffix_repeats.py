@@ -451,8 +451,11 @@ class SuffixRepeats:
 
         return stored(every.groupBy("bucket").applyInPandas(join, "doc long, starts array<int>, stops array<int>"), "covered")
 
-    def cut(self) -> DataFrame:
-        """(key, carried columns, kept, n_bytes, n_removed, n_spans): what remains of every text, as bytes."""
+    def cut(self, readable: bool = False) -> DataFrame:
+        """(key, carried columns, kept, n_bytes, n_removed, n_spans): what remains of every text, as bytes.
+
+        ``readable``: as text; bytes that are no character any more are left out.
+        """
         covered = self.covered()
         size = covered.agg(F.count("*"), F.sum(F.size("starts"))).first()
         covered = small(covered, 1, (size[0] or 0) * 48 + (size[1] or 0) * 8)
@@ -467,14 +470,16 @@ class SuffixRepeats:
                         raw = text.encode("utf-8", "replace")
                         starts, stops = starts or [], stops or []
                         kept = b"".join([raw[a:b] for a, b in zip([0, *stops], [*starts, len(raw)], strict=True)])
-                        for column, x in zip(out, (kept, len(raw), len(raw) - len(kept), len(starts)), strict=True):
+                        shown = kept.decode("utf-8", "ignore") if readable else kept
+                        for column, x in zip(out, (shown, len(raw), len(raw) - len(kept), len(starts)), strict=True):
                             column.append(x)
-                    yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names)
+                    kinds = (pa.string() if readable else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names)
 
         names = ["carry", "kept", "n_bytes", "n_removed", "n_spans"]
         out = rows.select("carry", "text", "starts", "stops")
         kind = out.schema["carry"].dataType.simpleString()
-        return out.mapInArrow(keep, f"carry {kind}, kept binary, n_bytes long, n_removed long, n_spans long").select("carry.*", *names[1:])
+        return out.mapInArrow(keep, f"carry {kind}, kept {'string' if readable else 'binary'}, n_bytes long, n_removed long, n_spans long").select("carry.*", *names[1:])
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:

@@ -138,3 +138,16 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([*zip(order, order[1:]), (1000, 1001), (1001, 1002), (7, 7), (2000, 2000)], "a long, b long").repartition(6)
     got = {r.id: r.component for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_likeness_is_worked_out_once(spark):
+    """A popular row meets its region; likeness and its bound are one Python step, so a task needs one worker."""
+    sketch = [bytes([d] * k + [0] * (160 - k)) for d, k in ((0, 0), (1, 16), (2, 120))]
+    rows = [(0, 7, b"t", d, d, s, 9 - d) for d, s in enumerate(sketch)]
+    rows += [(1, 8, b"u", 5, 1, sketch[0], 1), (1, 8, b"u", 6, 1, sketch[0], 1)]  # of one group
+    df = spark.createDataFrame(rows, "tree int, head long, tail binary, doc long, grp long, sketch binary, popular long")
+    pairs = lsh_forest._pivots(df, 0.5)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1, 0.9)]
+    assert lsh_forest._pivots(df.where("doc < 0"), 0.5).collect() == []
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython|MapInArrow", plan)) == 1

@@ -80,6 +80,18 @@ def test_repeats(kept):
         assert after[i].n_chars == (len(after[i].text) if removed else before[i].n_chars)
 
 
+def test_repeats_take_one_worker_a_task(spark):
+    """Characters that a cut splits go where the text is cut, in one Python step, not in a second one behind it."""
+    shared = "".join(chr(0x100 + k) for k in range(60))  # two bytes a character
+    first, second = "\u00c1" + shared, "\u0081" + shared + "!"  # the characters before differ in their first byte only
+    docs = [(1, first, "en", "a", 61), (2, second, "en", "a", 62), (3, None, None, None, None)]
+    got = corpus_pipeline.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    want = rows(got)
+    assert (want[1].text, want[2].text, want[2].n_chars, want[3].text) == (first, "!", 1, None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_packing_and_run(spark, kept):
     got = kept[4].collect()
     check(got, 2048)
