@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # The articles dropped by answer normalisation, and the code points
@@ -23,7 +24,7 @@ SPACE_CHARS = "".join(
 )
 # Letters, numbers and the underscore make up words.
 WORD = r"\p{L}\p{N}_"
-SCAN_BYTES = 1 << 18  # bytes of texts scanned at once; the scan takes some 70 times as much
+SCAN_BYTES = 1 << 18  # bytes of texts scanned at once; the scan takes some 40 to 70 times as much
 _TOKENS = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -44,15 +45,18 @@ def space_tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda t: t != "")
 
 
+def _kind(c: str) -> int:
+    """0 in a gap, 1 in a word, 2 for a symbol of its own."""
+    return 0 if c in SPACE_CHARS else 1 if c == "_" or unicodedata.category(c)[0] in "LN" else 2
+
+
 def _kinds(points: np.ndarray) -> np.ndarray:
-    """Per code point 0 in a gap, 1 in a word, 2 for a symbol of its own."""
+    """The kind of every code point."""
     present = np.zeros(int(points.max(initial=0)) + 1, bool)
     present[points] = True
     kinds = np.zeros(len(present), np.uint8)
     for p in np.flatnonzero(present).tolist():
-        c = chr(p)
-        if c not in SPACE_CHARS:
-            kinds[p] = 1 if c == "_" or unicodedata.category(c)[0] in "LN" else 2
+        kinds[p] = _kind(chr(p))
     return kinds[points]
 
 
@@ -85,8 +89,36 @@ def _located(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), found, mask=mask)
 
 
+def _located_by_piece(text: pa.Array) -> pa.Array:
+    """Tokens of one text that is longer than SCAN_BYTES: its pieces are scanned one by one, a word cut by a border is joined again."""
+    begin, end = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + 2].tolist()
+    data = np.frombuffer(text.buffers()[2], np.uint8)
+    cuts = []
+    for cut in range(begin, end, SCAN_BYTES):
+        while data[cut] & 0xC0 == 0x80:  # a piece begins with a whole code point
+            cut -= 1
+        cuts.append(cut)
+    cuts = np.append(np.unique(cuts), end).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), text.buffers()[2])
+    found = [_located(pieces.slice(k, 1)).values for k in range(len(pieces))]
+    lengths = pc.utf8_length(pieces).to_numpy()
+    shifts = (np.cumsum(lengths) - lengths).astype(np.int32)
+    starts, ends = (np.concatenate([f.field(n).to_numpy() + s for f, s in zip(found, shifts)]) for n in ("start", "end"))
+    tokens, firsts = pa.concat_arrays([f.field("tok") for f in found]), np.cumsum([len(f) for f in found[:-1]])
+    del found
+    own = np.ones(len(tokens), bool)  # tokens that do not go on with the one before
+    for i in firsts.tolist():
+        if 0 < i < len(tokens) and starts[i] == ends[i - 1]:
+            own[i] = _kind(tokens[i - 1].as_py()[-1]) != 1 or _kind(tokens[i].as_py()[0]) != 1
+    heads = np.flatnonzero(own)
+    spelled = np.append(0, np.cumsum(pc.binary_length(tokens).to_numpy(), dtype=np.int32))[np.append(heads, len(tokens))].astype(np.int32)
+    whole = pa.StringArray.from_buffers(len(heads), pa.py_buffer(spelled), tokens.buffers()[2])
+    columns = [whole, pa.array(starts[heads]), pa.array(ends[np.append(heads, len(tokens))[1:] - 1])]
+    return pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), pa.StructArray.from_arrays(columns, ["tok", "start", "end"]))
+
+
 def _stretches(texts: pa.Array) -> Iterator[pa.Array]:
-    """Tokens in stretches of about SCAN_BYTES, which bound the memory; a longer text is a stretch of its own."""
+    """Tokens in stretches of about SCAN_BYTES, which bound the memory; a longer text is a stretch of its own, scanned by piece."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.string())
@@ -94,7 +126,8 @@ def _stretches(texts: pa.Array) -> Iterator[pa.Array]:
     at = 0
     while at < len(texts):
         until = max(at + 1, int(np.searchsorted(ends, ends[at] + SCAN_BYTES, "right")) - 1)
-        yield _located(texts.slice(at, until - at))
+        stretch = texts.slice(at, until - at)
+        yield _located(stretch) if ends[until] - ends[at] <= SCAN_BYTES else _located_by_piece(stretch)
         at = until
 
 
@@ -114,7 +147,7 @@ def token_offsets(text: Column) -> Column:
 
     Words are letters, numbers and underscores. The bytes of an Arrow batch are scanned at once: positions come from one
     comparison of neighbours, so the cost per byte does not depend on how long a text is. A worker holds one Arrow batch of texts
-    and the tokens of one stretch of it.
+    and the tokens of one stretch of it, or of one text if that is longer.
     """
     return F.arrow_udf(_sent_by_stretch, "array<struct<tok:string,start:int,end:int>>")(text)
 

@@ -120,6 +120,21 @@ def test_token_offsets_leave_the_worker_by_stretch(spark):
     assert [(int(r.id), r.last, r.n) for r in got] == [(i, str(i), 3001) for i in range(300)]
 
 
+def test_a_long_text_is_scanned_by_piece(monkeypatch):
+    """What the scan of one long text takes beside its tokens does not grow with it; words that a border cuts stay whole."""
+    parts = ["é" * 700_000, " ", "字," * 300_000, "\n" * 600_000, "some words, 12 " * 200_000, "x_" * 400_000]
+    text = "".join(parts)
+    batch = pa.array(["before", text, None, text[:10], " " * 600_000, "after"])
+    tracemalloc.start()
+    rows = [row for piece in tx._sent_by_stretch(iter([batch])) for row in piece]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text.encode())
+    want = [(m.group(), *m.span()) for m in regex.finditer(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", text)]
+    assert [tuple(s.values()) for s in rows[1].as_py()] == want and len(want) == 2 + 600_000 + 800_000
+    assert [None if r.as_py() is None else len(r) for r in rows] == [1, len(want), None, 1, 0, 1]
+
+
 def test_argmax_takes_the_first_of_equals(spark):
     assert column(spark, [[1.0, 3.0, 3.0], [2.0]], ar.argmax, "array<double>") == [1, 0]
 
